@@ -1,11 +1,17 @@
-"""Corpus pipeline: quality rules, line dedup and near-duplicate removal over `documents`."""
+"""Corpus pipeline over `documents`: quality rules, line dedup, near-duplicate removal, decontamination, encoding.
+
+All stages but the last return the columns of `documents`; the last returns the
+ids of every text in place of the text. ORACLE_SQL is None: SQL can't express the
+tokenizer. tests/llm holds the stages against brute force, and the first four
+against the SQL of their operators.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitcast.llm import line_dedup, minhash, quality_rules
+from visitcast.llm import decontaminate, line_dedup, minhash, quality_rules, sentencepiece_codec
 from visitcast.llm.common import table, written
 
 
@@ -25,7 +31,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return minhash.keep_one(docs, width=5, percent=80)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash_near_dedup", near_duplicates)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of `benchmark`."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_chars, n_tokens, token_ids and whether the ids decode to the text."""
+    found = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"))
+    return found.selectExpr("doc_id", "lang", "source", "n_chars", "_n_tokens AS n_tokens", "_token_ids AS token_ids", "_round_trip AS round_trip")
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("sentencepiece", encoded),
+]
 
 ORACLE_SQL = None
 
