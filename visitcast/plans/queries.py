@@ -1,6 +1,533 @@
-"""The registered queries of the visit forecast and their SQL twins."""
+"""The registered queries of the visit forecast and their SQL twins.
+
+Doubles are rounded on both sides after a shift that keeps them off exact ties;
+arrays are compared as joined text, and dates are returned as ISO text, since the
+two engines hand them to Python in different types.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from visitcast.functions.fields import tidy_age, tidy_date, tidy_gender
+from visitcast.operators import address, embedding, environment, forecast, icd, panel, profile, visits
+from visitcast.plans import bindings as b
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+SPLIT = date(1995, 3, 1)
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.withColumns({c: F.col(c).cast("string") for c, kind in df.dtypes if kind == "date"})
+
+    QUERIES[f.__name__.rstrip("_")] = dated
+    return f
+
+
+def rnd(x: Column | str, digits: int = 5) -> Column:
+    return F.round((F.col(x) if isinstance(x, str) else x) + 3e-7, digits)
+
+
+def r(x: str, digits: int = 5) -> str:
+    return f"round({x} + 3e-7, {digits})"
+
+
+def _texts(values: Column) -> Column:
+    return F.array_join(values.cast("array<string>"), ",")
+
+
+def _cents(values: Column) -> Column:
+    """Two-decimal values as text of whole hundredths, which both engines write alike."""
+    return _texts(F.transform(values, lambda x: F.round(x * 100).cast("long")))
+
+
+def _clean(spark: SparkSession, sf: str) -> DataFrame:
+    city = visits.drop_placeholder(visits.in_city(b.visits(spark, sf), "current_address", "registered_address", b.CITY))
+    return visits.dedup_visits(city, b.LINE)
+
+
+def _at_merge(readings: DataFrame) -> DataFrame:
+    return readings.withColumn("ts", F.date_sub(F.to_date("ts"), b.SHIFT))
+
+
+# -- descriptive statistics ---------------------------------------------------
+
+
+@query
+def profile_(spark, sf):
+    p = profile.profile(b.table(spark, sf, "lineitem"), PROFILED)
+    return p.select("column", "n", "nulls", "n_distinct", *[rnd(c, 4).alias(c) for c in ("min", "max", "mean", "std")])
+
+
+ORACLE_SQL["profile"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) - count({c}) AS nulls, count(DISTINCT {c}) AS n_distinct, "
+    + ", ".join(f"{r(f'{f}({c})', 4)} AS {a}" for f, a in (("min", "min"), ("max", "max"), ("avg", "mean"), ("stddev_samp", "std")))
+    + " FROM lineitem"
+    for c in PROFILED
+)
+
+
+@query
+def frequencies(spark, sf):
+    return profile.frequencies(b.table(spark, sf, "part"), "p_brand", 10)
+
+
+ORACLE_SQL["frequencies"] = "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 10"
+
+# -- disease codes ------------------------------------------------------------
+
+
+@query
+def icd_exact(spark, sf):
+    return icd.match_exact(b.dirty(spark, sf), b.icd(spark, sf))
+
+
+ORACLE_SQL["icd_exact"] = b.with_(["icd", "dirty"], "SELECT DISTINCT raw, code, 1.0::DOUBLE AS score FROM dirty JOIN icd ON upper(regexp_replace(raw, '\\s+', '', 'g')) = upper(regexp_replace(name, '\\s+', '', 'g'))")
+
+_SIMILAR = """
+, raws AS (SELECT DISTINCT raw FROM dirty),
+gl AS (SELECT DISTINCT raw, raw[i:i + 1] AS g FROM (SELECT raw, unnest(range(1, greatest(length(raw), 2))) AS i FROM raws)),
+gr AS (SELECT DISTINCT code, name, name[i:i + 1] AS g FROM (SELECT code, name, unnest(range(1, greatest(length(name), 2))) AS i FROM icd)),
+nl AS (SELECT raw, count(*) AS n FROM gl GROUP BY raw), nr AS (SELECT code, count(*) AS n FROM gr GROUP BY code),
+sc AS (SELECT raw, code, name, 2 * count(*) / (any_value(nl.n) + any_value(nr.n)) AS score FROM gl JOIN gr USING (g) JOIN nl USING (raw) JOIN nr USING (code) GROUP BY raw, code, name),
+best AS (SELECT raw, code, score FROM sc WHERE score >= 0.5 QUALIFY row_number() OVER (PARTITION BY raw ORDER BY score DESC, levenshtein(raw, name), code) = 1)
+"""
+
+
+@query
+def icd_similar(spark, sf):
+    found = icd.match_similar(b.dirty(spark, sf), b.icd(spark, sf))
+    return found.select("raw", "code", rnd("score").alias("score"))
+
+
+ORACLE_SQL["icd_similar"] = b.with_(["icd", "dirty"], _SIMILAR + f"SELECT raw, code, {r('score')} AS score FROM best")
+
+
+@query
+def icd_unmatched(spark, sf):
+    dirty, lib = b.dirty(spark, sf), b.icd(spark, sf)
+    strict = icd.match_exact(dirty, lib).unionByName(icd.match_similar(dirty, lib, min_score=0.9))
+    return icd.unmatched(dirty, strict.dropDuplicates(["raw"]))
+
+
+ORACLE_SQL["icd_unmatched"] = b.with_(
+    ["icd", "dirty"],
+    _SIMILAR + "SELECT raw, count(*) AS n FROM dirty WHERE raw NOT IN (SELECT raw FROM best WHERE score >= 0.9) AND upper(regexp_replace(raw, '\\s+', '', 'g')) NOT IN (SELECT upper(regexp_replace(name, '\\s+', '', 'g')) FROM icd) GROUP BY raw",
+)
+
+
+@query
+def icd_block(spark, sf):
+    rows = icd.standardise_codes(b.dirty(spark, sf), icd.mapping(b.dirty(spark, sf), b.icd(spark, sf)))
+    return icd.to_block(rows, b.blocks(spark)).groupBy("block").agg(F.count("*").alias("n"), F.count("code").alias("coded"))
+
+
+ORACLE_SQL["icd_block"] = b.with_(
+    ["icd", "dirty"],
+    _SIMILAR
+    + """, ex AS (SELECT DISTINCT raw, code FROM raws JOIN icd ON upper(regexp_replace(raw, '\\s+', '', 'g')) = upper(regexp_replace(name, '\\s+', '', 'g'))),
+mp AS (SELECT raw, code FROM ex UNION ALL SELECT raw, code FROM best WHERE raw NOT IN (SELECT raw FROM ex)),
+bl AS (SELECT * FROM (VALUES ('D00_D01', 'D00', 'D01'), ('D02_D03', 'D02', 'D03'), ('D04_D05', 'D04', 'D05')) t(block, lo, hi))
+SELECT block, count(*) AS n, count(code) AS coded FROM dirty LEFT JOIN mp USING (raw) LEFT JOIN bl ON code[1:3] BETWEEN lo AND hi GROUP BY block""",
+)
+
+# -- addresses ----------------------------------------------------------------
+
+
+@query
+def district_polygon(spark, sf):
+    return address.district_of(b.points(spark, sf), b.polygons(spark)).select("c_custkey", "district")
+
+
+ORACLE_SQL["district_polygon"] = b.with_(
+    ["points", "edges"],
+    """, hits AS (SELECT c_custkey, district FROM points, edges GROUP BY c_custkey, district
+  HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND CASE WHEN y2 = y1 THEN false ELSE lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 END) % 2 = 1)
+SELECT c_custkey, min(district) AS district FROM points LEFT JOIN hits USING (c_custkey) GROUP BY c_custkey""",
+)
+
+
+@query
+def district_text(spark, sf):
+    names = b.table(spark, sf, "region").select(F.col("r_name").alias("district"))
+    return address.district_from_text(b.addresses(spark, sf), names).select("c_custkey", "district")
+
+
+ORACLE_SQL["district_text"] = b.with_(["addresses"], "SELECT c_custkey, (SELECT r_name FROM region WHERE contains(address, r_name) ORDER BY length(r_name) DESC, r_name LIMIT 1) AS district FROM addresses")
+
+
+@query
+def district_geocoded(spark, sf):
+    """Gazetteer coordinates first, then the name in the text."""
+    where = b.points(spark, sf).join(b.addresses(spark, sf), "c_custkey")
+    known = where.filter("c_custkey % 3 = 0").select("address", "lon", "lat")
+    names = b.table(spark, sf, "region").select(F.col("r_name").alias("district"))
+    return address.clean_district(b.addresses(spark, sf), known, b.polygons(spark), names).select("c_custkey", "district")
+
+
+ORACLE_SQL["district_geocoded"] = b.with_(
+    ["points", "edges", "addresses"],
+    """, hits AS (SELECT c_custkey, district FROM points, edges WHERE c_custkey % 3 = 0 GROUP BY c_custkey, district
+  HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND CASE WHEN y2 = y1 THEN false ELSE lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 END) % 2 = 1)
+SELECT c_custkey, coalesce((SELECT min(district) FROM hits WHERE hits.c_custkey = addresses.c_custkey), (SELECT r_name FROM region WHERE contains(address, r_name) ORDER BY length(r_name) DESC, r_name LIMIT 1)) AS district FROM addresses""",
+)
+
+# -- environment and plain fields ---------------------------------------------
+
+
+@query
+def complete_grid(spark, sf):
+    g = environment.complete_grid(b.hourly(spark, sf), ["indicator"], "t")
+    return g.select("indicator", "t", rnd("value").alias("value"))
+
+
+ORACLE_SQL["complete_grid"] = b.with_(["hourly", "grid"], f"SELECT indicator, t, {r('value')} AS value FROM grid")
+
+
+@query
+def lagrange_fill(spark, sf):
+    g = environment.complete_grid(b.hourly(spark, sf), ["indicator"], "t")
+    return environment.fill_lagrange(g, ["indicator"], "t", "value").select("indicator", "t", rnd("filled", 4).alias("filled"))
+
+
+ORACLE_SQL["lagrange_fill"] = b.with_(
+    ["hourly", "grid"],
+    f""", seen AS (SELECT *, count(value) OVER (PARTITION BY indicator ORDER BY t) AS n FROM grid),
+nodes AS (SELECT g.indicator, g.t, g.n, k.n AS o, k.t AS x, k.value AS y FROM seen g JOIN seen k ON k.indicator = g.indicator AND k.value IS NOT NULL AND k.n BETWEEN g.n - 1 AND g.n + 2 WHERE g.value IS NULL),
+terms AS (SELECT a.indicator, a.t, a.o, any_value(a.y) * product((a.t - b.x) / (a.x - b.x)) AS v FROM nodes a JOIN nodes b ON a.indicator = b.indicator AND a.t = b.t AND a.o <> b.o GROUP BY a.indicator, a.t, a.o),
+ok AS (SELECT indicator, t FROM nodes GROUP BY ALL HAVING count(*) FILTER (o <= n) > 0 AND count(*) FILTER (o > n) > 0),
+fill AS (SELECT indicator, t, sum(v) AS v FROM terms JOIN ok USING (indicator, t) GROUP BY ALL)
+SELECT indicator, t, {r('coalesce(value, v)', 4)} AS filled FROM grid LEFT JOIN fill USING (indicator, t)""",
+)
+
+_RAW = """SELECT o_orderkey,
+  CASE o_orderkey % 4 WHEN 0 THEN ' ' || CAST(o_orderkey % 130 AS VARCHAR) || ' years' WHEN 1 THEN 'abc' WHEN 2 THEN '-' || CAST(o_orderkey % 9 AS VARCHAR) ELSE CAST(o_orderkey % 130 AS VARCHAR) END AS age_text,
+  CASE o_orderkey % 6 WHEN 0 THEN ' male ' WHEN 1 THEN 'F' WHEN 2 THEN '2' WHEN 3 THEN 'x' WHEN 4 THEN NULL ELSE 'Female' END AS gender_text,
+  CASE o_orderkey % 4 WHEN 0 THEN {iso} WHEN 1 THEN {slash} WHEN 2 THEN {packed} ELSE 'junk' END AS date_text, CAST(o_orderdate AS DATE) AS d FROM orders"""
+
+
+@query
+def tidy_fields(spark, sf):
+    b.table(spark, sf, "orders").createOrReplaceTempView("visitcast_orders")
+    raw = spark.sql(_RAW.format(iso="date_format(o_orderdate, 'yyyy-MM-dd')", slash="date_format(o_orderdate, 'yyyy/M/d')", packed="date_format(o_orderdate, 'yyyyMMdd')").replace("FROM orders", "FROM visitcast_orders").replace("VARCHAR", "STRING"))
+    return raw.select("o_orderkey", tidy_age(F.col("age_text")).alias("age"), tidy_gender(F.col("gender_text")).alias("gender"), tidy_date(F.col("date_text")).alias("tidy_date"))
+
+
+ORACLE_SQL["tidy_fields"] = f"""WITH raw AS ({_RAW.format(iso="strftime(o_orderdate, '%Y-%m-%d')", slash="strftime(o_orderdate, '%Y/%-m/%-d')", packed="strftime(o_orderdate, '%Y%m%d')")})
+SELECT o_orderkey, CASE WHEN a BETWEEN 0 AND 120 THEN a END AS age,
+  CASE upper(trim(gender_text)) WHEN 'MALE' THEN 'M' WHEN 'F' THEN 'F' WHEN '2' THEN 'F' WHEN 'FEMALE' THEN 'F' END AS gender, CASE WHEN date_text <> 'junk' THEN d END AS tidy_date
+FROM (SELECT *, TRY_CAST(regexp_extract(trim(age_text), '^(-?[0-9]+)', 1) AS INTEGER) AS a FROM raw)"""
+
+# -- visits -------------------------------------------------------------------
+
+
+@query
+def city_filter(spark, sf):
+    kept = visits.drop_placeholder(visits.in_city(b.visits(spark, sf), "current_address", "registered_address", b.CITY))
+    return kept.select("patient_id", "visit_date", "gy_bm", "disease", "district", "registered_address")
+
+
+ORACLE_SQL["city_filter"] = b.with_(["visits", "city"], "SELECT patient_id, visit_date, gy_bm, disease, district, registered_address FROM city")
+
+
+@query
+def visit_dedup(spark, sf):
+    return _clean(spark, sf).select("patient_id", "visit_date", "gy_bm", "disease", "district", "gender", "age")
+
+
+ORACLE_SQL["visit_dedup"] = b.with_(["visits", "city", "clean"], "SELECT patient_id, visit_date, gy_bm, disease, district, gender, age FROM clean")
+
+_FIELDS = ("mean", "mean_remove", "std", "std_remove")
+
+
+@query
+def air_features(spark, sf):
+    f = environment.air_features(b.readings(spark, sf).filter(F.col("indicator").isin(b.AIR)))
+    return f.select("date", "district", "indicator", *[rnd(f"x_{c}").alias(f"x_{c}") for c in _FIELDS], _cents(F.col("x_multi")).alias("x_multi"))
+
+
+_AIR_IN, _WEATHER_IN = (", ".join(f"'{i}'" for i in x) for x in (b.AIR, b.WEATHER))
+_CENTS = "array_to_string(list_transform({}, lambda x: CAST(round(x * 100) AS BIGINT)), ',')"
+_AIR = f""", air AS (SELECT CAST(ts AS DATE) AS date, district, indicator, avg(value) AS x_mean, stddev_samp(value) AS x_std, list_sort(list(value)) AS x_multi FROM readings GROUP BY ALL),
+airs AS (SELECT *, CASE WHEN len(x_multi) > 2 THEN list_avg(x_multi[2:len(x_multi) - 1]) END AS x_mean_remove, CASE WHEN len(x_multi) > 3 THEN list_stddev_samp(x_multi[2:len(x_multi) - 1]) END AS x_std_remove FROM air)
+"""
+ORACLE_SQL["air_features"] = b.with_(["readings"], _AIR + f"SELECT date, district, indicator, {', '.join(f'{r(f"x_{c}")} AS x_{c}' for c in _FIELDS)}, {_CENTS.format('x_multi')} AS x_multi FROM airs WHERE indicator IN ({_AIR_IN})")
+
+
+def _pivot_sql(indicators: list[str], fields=_FIELDS) -> str:
+    return ", ".join(f"{r(f"any_value(x_{f}) FILTER (indicator = '{i}')")} AS {i}_{f}" for i in indicators for f in fields)
+
+
+@query
+def air_pivot(spark, sf):
+    f = environment.pivot_indicators(environment.air_features(b.readings(spark, sf)), b.AIR)
+    return f.select("date", "district", *[rnd(f"{i}_{c}").alias(f"{i}_{c}") for i in b.AIR for c in _FIELDS])
+
+
+ORACLE_SQL["air_pivot"] = b.with_(["readings"], _AIR + f"SELECT date, district, {_pivot_sql(b.AIR)} FROM airs WHERE indicator IN ({_AIR_IN}) GROUP BY date, district")
+
+
+@query
+def weather_features(spark, sf):
+    f = environment.weather_features(b.readings(spark, sf), b.WEATHER)
+    return f.select("date", "district", *[rnd(f"{i}_{c}").alias(f"{i}_{c}") for i in b.WEATHER for c in _FIELDS])
+
+
+ORACLE_SQL["weather_features"] = b.with_(["readings"], _AIR + f"SELECT date, district, {_pivot_sql(b.WEATHER)} FROM airs WHERE indicator IN ({_WEATHER_IN}) GROUP BY date, district")
+
+
+def _person(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
+    return df.select(*keys, f"{prefix}_amount", *[rnd(f"{prefix}_{c}").alias(f"{prefix}_{c}") for c in ("gender_m", "gender_f", "age_mean", "age_std")], _texts(F.col(f"{prefix}_age_multi")).alias(f"{prefix}_age_multi"))
+
+
+def _person_sql(prefix: str, source: str, keys: str) -> str:
+    gender = lambda g: r(f"count(*) FILTER (gender = '{g}') / nullif(count(gender), 0)")
+    return f"""SELECT {keys}, count(*) AS {prefix}_amount, {gender('M')} AS {prefix}_gender_m, {gender('F')} AS {prefix}_gender_f,
+  {r('avg(age)')} AS {prefix}_age_mean, {r('stddev_samp(age)')} AS {prefix}_age_std, array_to_string(list_sort(list(age)), ',') AS {prefix}_age_multi FROM {source} GROUP BY ALL"""
+
+
+@query
+def death_features(spark, sf):
+    return _person(visits.death_features(b.deaths(spark, sf)), "death", ["date", "district"])
+
+
+ORACLE_SQL["death_features"] = b.with_(["deaths"], _person_sql("death", "deaths", "date, district"))
+
+
+@query
+def visit_features(spark, sf):
+    return _person(visits.visit_features(_clean(spark, sf)), "visit", ["date", "district", "disease"])
+
+
+ORACLE_SQL["visit_features"] = b.with_(["visits", "city", "clean"], _person_sql("visit", "clean", "visit_date AS date, district, disease"))
+
+
+@query
+def emergency_features(spark, sf):
+    return visits.emergency_features(b.emergency(spark, sf))
+
+
+ORACLE_SQL["emergency_features"] = b.with_(["emergency"], "SELECT visit_date AS date, district, count(*) AS emergency_amount FROM emergency GROUP BY ALL")
+
+# -- patients -----------------------------------------------------------------
+
+
+@query
+def patient_sentences(spark, sf):
+    return embedding.patient_sentences(_clean(spark, sf)).select("patient_id", _texts(F.col("sentence")).alias("sentence"))
+
+
+ORACLE_SQL["patient_sentences"] = b.with_(
+    ["visits", "city", "clean"],
+    "SELECT patient_id, string_agg(disease, ',' ORDER BY first_date, disease) AS sentence FROM (SELECT patient_id, disease, min(visit_date) AS first_date FROM clean GROUP BY ALL) GROUP BY patient_id",
+)
+
+
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    clean = _clean(spark, sf)
+    sentences = embedding.patient_sentences(clean, as_of=SPLIT)
+    return clean, embedding.patient_vectors(embedding.fit_word2vec(sentences), sentences)
+
+
+@query
+def word2vec_patients(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+
+    return _vectors(spark, sf)[1].select("patient_id", vector_to_array("vector").alias("vector"))
+
+
+@query
+def embedding_features(spark, sf):
+    return embedding.embedding_features(*_vectors(spark, sf))
+
+
+# -- panel and history --------------------------------------------------------
+
+
+def _panel(spark: SparkSession, sf: str, start: date, end: date) -> DataFrame:
+    districts = b.table(spark, sf, "region").select(F.col("r_name").alias("district"))
+    return panel.panel(spark, start, end, districts, b.table(spark, sf, "part").select(F.col("p_type").alias("disease")))
+
+
+def _panel_sql(start: date, end: date) -> str:
+    return f"(SELECT CAST(d AS DATE) AS date, r_name AS district, disease FROM (SELECT unnest(generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS d), region, (SELECT DISTINCT p_type AS disease FROM part))"
+
+
+@query
+def panel_(spark, sf):
+    return _panel(spark, sf, b.START, b.END)
+
+
+ORACLE_SQL["panel"] = f"SELECT * FROM {_panel_sql(b.START, b.END)}"
+
+_MERGED = ["visit_amount", "visit_age_mean", "death_amount", "death_age_mean", "emergency_amount", "click_mean", "purchase_std_remove", "error_mean"]
+
+
+@query
+def merge_features(spark, sf):
+    readings = _at_merge(b.readings(spark, sf))
+    merged = panel.merge_features(
+        _panel(spark, sf, b.START, b.END),
+        visits=visits.visit_features(_clean(spark, sf)),
+        air=environment.pivot_indicators(environment.air_features(readings), b.AIR),
+        deaths=visits.death_features(b.deaths(spark, sf)),
+        weather=environment.weather_features(readings, b.WEATHER),
+        emergency=visits.emergency_features(b.emergency(spark, sf)),
+    )
+    return panel.fill_counts(merged).select("date", "district", "disease", *[(F.col(c) if c.endswith("amount") else rnd(c)).alias(c) for c in _MERGED])
+
+
+ORACLE_SQL["merge_features"] = b.with_(
+    ["visits", "city", "clean", "readings", "deaths", "emergency"],
+    _AIR
+    + f""", rd AS (SELECT CAST(date - INTERVAL {b.SHIFT} DAY AS DATE) AS date, district, any_value(x_mean) FILTER (indicator = 'click') AS click_mean,
+  any_value(x_std_remove) FILTER (indicator = 'purchase') AS purchase_std_remove, any_value(x_mean) FILTER (indicator = 'error') AS error_mean FROM airs GROUP BY ALL),
+v AS (SELECT visit_date AS date, district, disease, count(*) AS n, avg(age) AS m FROM clean GROUP BY ALL), dt AS (SELECT date, district, count(*) AS n, avg(age) AS m FROM deaths GROUP BY ALL),
+e AS (SELECT visit_date AS date, district, count(*) AS n FROM emergency GROUP BY ALL)
+SELECT p.date, p.district, p.disease, coalesce(v.n, 0) AS visit_amount, {r('v.m')} AS visit_age_mean, coalesce(dt.n, 0) AS death_amount, {r('dt.m')} AS death_age_mean,
+  coalesce(e.n, 0) AS emergency_amount, {r('click_mean')} AS click_mean, {r('purchase_std_remove')} AS purchase_std_remove, {r('error_mean')} AS error_mean
+FROM {_panel_sql(b.START, b.END)} p LEFT JOIN v USING (date, district, disease) LEFT JOIN dt USING (date, district) LEFT JOIN e USING (date, district) LEFT JOIN rd USING (date, district)""",
+)
+
+
+def _daily(spark: SparkSession, sf: str) -> DataFrame:
+    base = _panel(spark, sf, b.HISTORY_START, b.HISTORY_END)
+    counted = visits.visit_features(_clean(spark, sf)).select("date", "district", "disease", "visit_amount", "visit_age_mean")
+    return panel.fill_counts(panel.merge_features(base, visits=counted))
+
+
+_LAGS = [f"visit_amount_lag{i}" for i in range(1, 8)]
+_DAILY = f""", counted AS (SELECT visit_date AS date, district, disease, count(*) AS n FROM clean GROUP BY ALL),
+daily AS (SELECT p.date, p.district, p.disease, coalesce(n, 0) AS visit_amount FROM {_panel_sql(b.HISTORY_START, b.HISTORY_END)} p LEFT JOIN counted USING (date, district, disease)),
+hist AS (SELECT *, {', '.join(f'lag(visit_amount, {i}) OVER (PARTITION BY district, disease ORDER BY date) AS visit_amount_lag{i}' for i in range(1, 8))} FROM daily)
+"""
+
+
+def _history(spark: SparkSession, sf: str) -> DataFrame:
+    full = panel.add_weekday(panel.add_target(panel.add_history(_daily(spark, sf), ["visit_amount", "visit_age_mean"])))
+    return panel.full_history(full, b.HISTORY_START)
+
+
+@query
+def history_dense(spark, sf):
+    """Visits per day, district and disease with the seven days before: the flagship query."""
+    return _history(spark, sf).select("date", "district", "disease", "target", *_LAGS)
+
+
+ORACLE_SQL["history_dense"] = b.with_(["visits", "city", "clean"], _DAILY + f"SELECT date, district, disease, visit_amount AS target, {', '.join(_LAGS)} FROM hist WHERE date >= DATE '{b.HISTORY_START}' + 7")
+
+
+@query
+def history_sparse(spark, sf):
+    counted = visits.visit_features(_clean(spark, sf)).select("date", "district", "disease", "visit_amount")
+    return panel.add_history(counted, ["visit_amount"], dense=False).select("date", "district", "disease", "visit_amount", *_LAGS)
+
+
+ORACLE_SQL["history_sparse"] = b.with_(
+    ["visits", "city", "clean"],
+    ", counted AS (SELECT visit_date AS date, district, disease, count(*) AS visit_amount FROM clean GROUP BY ALL) SELECT c.*, "
+    + ", ".join(f"l{i}.visit_amount AS visit_amount_lag{i}" for i in range(1, 8))
+    + " FROM counted c "
+    + " ".join(f"LEFT JOIN counted l{i} ON l{i}.district = c.district AND l{i}.disease = c.disease AND l{i}.date = c.date - {i}" for i in range(1, 8)),
+)
+
+
+@query
+def weekday_target(spark, sf):
+    return panel.add_weekday(panel.add_target(_daily(spark, sf))).groupBy("weekday", "district").agg(F.sum("target").alias("target"), F.count("*").alias("days"))
+
+
+ORACLE_SQL["weekday_target"] = b.with_(["visits", "city", "clean"], _DAILY + "SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday, district, CAST(sum(visit_amount) AS BIGINT) AS target, count(*) AS days FROM daily GROUP BY ALL")
+
+# -- model inputs, forecast, results ------------------------------------------
+
+_BINS = [0.0, 18.0, 40.0, 65.0, 121.0]
+
+
+@query
+def multi_counts(spark, sf):
+    f = forecast.vectorise_multi(visits.death_features(b.deaths(spark, sf)), "death_age_multi", _BINS)
+    return f.select("date", "district", _texts(F.col("death_age_multi_counts")).alias("counts"))
+
+
+ORACLE_SQL["multi_counts"] = b.with_(["deaths"], "SELECT date, district, concat_ws(',', " + ", ".join(f"count(*) FILTER (age >= {x} AND age < {y})" for x, y in zip(_BINS, _BINS[1:], strict=False)) + ") AS counts FROM deaths GROUP BY date, district")
+
+
+def _same_weekday(spark: SparkSession, sf: str) -> DataFrame:
+    return _history(spark, sf).withColumn("predicted", F.col("visit_amount_lag7").cast("double"))
+
+
+@query
+def r2_by_series(spark, sf):
+    return forecast.r2(_same_weekday(spark, sf), by=["district", "disease"]).select("district", "disease", "n", rnd("r2").alias("r2"))
+
+
+ORACLE_SQL["r2_by_series"] = b.with_(
+    ["visits", "city", "clean"],
+    _DAILY
+    + f""", p AS (SELECT district, disease, visit_amount AS y, visit_amount_lag7 AS p, avg(visit_amount) OVER (PARTITION BY district, disease) AS m FROM hist WHERE date >= DATE '{b.HISTORY_START}' + 7)
+SELECT district, disease, count(*) AS n, {r('1 - sum((y - p) ^ 2) / nullif(sum((y - m) ^ 2), 0)')} AS r2 FROM p GROUP BY ALL""",
+)
+
+
+@query
+def curve(spark, sf):
+    ranked = _same_weekday(spark, sf).withColumn("block", F.when(F.col("disease") < "M", "A_L").otherwise("M_Z"))
+    return forecast.curve(ranked, "A_L", "ASIA").select("date", "district", "block", "actual", rnd("predicted").alias("predicted"))
+
+
+ORACLE_SQL["curve"] = b.with_(
+    ["visits", "city", "clean"],
+    _DAILY + f"SELECT date, district, 'A_L' AS block, CAST(sum(visit_amount) AS BIGINT) AS actual, {r('CAST(sum(visit_amount_lag7) AS DOUBLE)')} AS predicted FROM hist WHERE date >= DATE '{b.HISTORY_START}' + 7 AND disease < 'M' AND district = 'ASIA' GROUP BY date, district",
+)
+
+FEATURES = [*_LAGS, "visit_age_mean_lag1", "weekday", "district_index", "disease_index"]
+
+
+def _forest(spark: SparkSession, sf: str):
+    train, test = forecast.split_by_date(forecast.drop_multi(_history(spark, sf)), SPLIT)
+    codes = forecast.encode_categories(train, ["district", "disease"])
+    return forecast.fit_forest(codes.transform(train), FEATURES), codes.transform(test)
+
+
+@query
+def forest_predictions(spark, sf):
+    model, test = _forest(spark, sf)
+    return forecast.predict(model, test, FEATURES).select("date", "district", "disease", "target", "predicted")
+
+
+@query
+def forest_importances(spark, sf):
+    return forecast.importances(_forest(spark, sf)[0], FEATURES)
+
+
+@query
+def forest_r2(spark, sf):
+    model, test = _forest(spark, sf)
+    return forecast.r2(forecast.predict(model, test, FEATURES), by=["district"])
+
+
+@query
+def crossed_features(spark, sf):
+    """Hashed cross of district, disease and weekday, as the index that each row's cross falls on."""
+    crossed = forecast.cross_features(_history(spark, sf), ["district", "disease", "weekday"])
+    from pyspark.ml.functions import vector_to_array
+
+    return crossed.select("date", "district", "disease", F.array_position(vector_to_array("crossed"), 1.0).alias("slot"))
+
+#: Columns that are dates in the SQL.
+_DATES = {
+    **dict.fromkeys(("air_features", "air_pivot", "weather_features", "death_features", "visit_features", "emergency_features", "panel", "merge_features", "history_dense", "history_sparse", "multi_counts", "curve"), "date"),
+    **dict.fromkeys(("city_filter", "visit_dedup"), "visit_date"),
+    "tidy_fields": "tidy_date",
+}
+ORACLE_SQL.update({n: f"SELECT * REPLACE (CAST({c} AS VARCHAR) AS {c}) FROM ({ORACLE_SQL[n]})" for n, c in _DATES.items()})
