@@ -38,6 +38,8 @@ SIZE = len(ALPHABET) + 1
 TOKEN = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 MARGIN = 12.0
+#: Weight of the single characters' shares in the pairs' shares, as a count.
+BACKOFF = 10.0
 SAMPLE = 2000
 
 
@@ -90,9 +92,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     pairs = coded.select("random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: a * SIZE + b)).alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     table_: list[float] = []
+    single = [[sum(counts.get((m, a * SIZE + b), 0) for a in range(SIZE)) + 1 for b in range(SIZE)] for m in (0, 1)]
+    total = [sum(x) for x in single]
     for a in range(SIZE):
-        total = [sum(counts.get((m, a * SIZE + b), 0) for b in range(SIZE)) + SIZE for m in (0, 1)]
-        table_ += [round(math.log((counts.get((1, a * SIZE + b), 0) + 1) / total[1]) - math.log((counts.get((0, a * SIZE + b), 0) + 1) / total[0]), 6) for b in range(SIZE)]
+        row = [sum(counts.get((m, a * SIZE + b), 0) for b in range(SIZE)) for m in (0, 1)]
+        for b in range(SIZE):
+            p = [(counts.get((m, a * SIZE + b), 0) + BACKOFF * single[m][b] / total[m]) / (row[m] + BACKOFF) for m in (0, 1)]
+            table_.append(round(math.log(p[1] / p[0]), 6))
     return table_
 
 
