@@ -10,9 +10,8 @@ too large for an even share get a shard of their own first.
 
 Only the bounded item list reaches the driver; texts, documents and groups don't.
 
-Defined results: a null text has 0 bytes and the CRC of an empty text, and all
-null texts are one group (an empty text is another); rows that repeat a doc_id
-are placed each; an empty table gives no rows. Extra columns are ignored.
+Defined results: a null text counts as an empty one, with 0 bytes and that CRC, in
+one group with the empty texts; rows that repeat a doc_id are placed each; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -119,7 +118,7 @@ def pack(sizes: list[int], shards: int) -> list[int]:
 
 def _narrow(docs: DataFrame) -> DataFrame:
     size = F.octet_length(text_of()).cast("long") + OVERHEAD
-    return docs.select("doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), F.xxhash64("text", F.col("text").isNull()).alias("g1"), F.xxhash64(F.lit(1), "text").alias("g2"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), F.xxhash64(text_of()).alias("g1"), F.xxhash64(F.lit(1), text_of()).alias("g2"))
 
 
 def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = None, grain: int = GRAIN) -> DataFrame:
