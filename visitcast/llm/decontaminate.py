@@ -45,7 +45,7 @@ MARK, VALUE = "\x01", "\x02"
 
 def _unit_pattern() -> str:
     listed = "|".join(u.replace("$", r"\$") for u in sorted(UNITS, key=lambda u: (-len(u), u)))
-    return rf"(?i)(\x{{1}}N\x{{2}}[0-9+.,:/-]+) ?({listed})([ ,.;:!?)\n]|$)"
+    return rf"(?i)(\x{{1}}N\x{{2}}[0-9+.,:/-]+) *({listed})([ ,.;:!?)\n]|$)"
 
 
 def tokens(text: Column) -> Column:
