@@ -1,0 +1,46 @@
+"""Quality rules against SQL and by hand."""
+
+from __future__ import annotations
+
+from conftest import SMALL, duck_rows, rows
+from helpers import documents, empty, odd
+
+from visitcast.llm import quality_rules as q
+
+
+def test_equal_to_sql(spark, duck):
+    assert rows(q.op9_quality_rules(spark, SMALL)) == duck_rows(duck, q.ORACLE_SQL)
+
+
+def test_repeat_words(spark):
+    texts = ["a b c d", "a b c x a b c", "a a a a", "a b c a b c a b c", "a b", "", "x y z " * 3000]
+    got = [r.n_repeat_words for r in q.metrics(documents(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0, 6, 4, 9, 0, 0, 9000]
+
+
+def test_lines(spark):
+    m = q.metrics(documents(spark, ["a\n \na\n\nb\na", "# $\nTe|st"])).orderBy("doc_id").collect()
+    assert (m[0].n_lines, m[0].n_dup_lines, m[1].n_symbols, m[1].word_chars, m[1].n_upper) == (4, 2, 3, 7, 1)
+
+
+def test_fences_adapt(spark):
+    """The same share of capitals is normal in one source and an outlier in the other."""
+    base = [f"w{i} x{i * 7 % 13} y{i * 3 % 17}" for i in range(30)]
+    plain, loud = " ".join(base), " ".join(w.upper() if k % 2 else w for k, w in enumerate(" ".join(base).split()))
+    df = documents(spark, [plain] * 60 + [loud], source="quiet").unionByName(documents(spark, [loud] * 60, source="loud"))
+    got = {(r.source, r.f_upper > 200): r.kept for r in q.judge(df, min_docs=50).collect()}
+    assert got == {("quiet", False): True, ("quiet", True): False, ("loud", True): True}
+
+
+def test_small_groups_use_the_language(spark):
+    base = " ".join(f"w{i} x{i * 7 % 13}" for i in range(40))
+    df = documents(spark, [base] * 50, source="many").unionByName(documents(spark, [base.upper()], source="few"))
+    assert {r.source: r.kept for r in q.judge(df, min_docs=20).collect()} == {"many": True, "few": False}
+
+
+def test_odd_rows(spark):
+    got = q.judge(odd(spark))
+    assert got.count() == 12 and got.filter("n_words = 0 AND base_failed AND NOT kept").count() == 4
+    left = q.keep_good(odd(spark))
+    assert left.columns == odd(spark).columns and left.count() == got.filter("kept").count()
+    assert q.judge(empty(spark)).count() == 0 and q.keep_good(empty(spark)).count() == 0
