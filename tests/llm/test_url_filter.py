@@ -69,6 +69,7 @@ def test_merging_of_branches(spark):
 
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x", "y"), (1, None, "x", "y"), (None, "http://a.net/es/" + "s/" * 5000, "x", "y")], "page_id long, url string, template string, host string")
-    got = u.judge(df.drop("template", "host"))
+    got = u.judge(df)
+    assert sorted(got.columns) == ["host", "page_id", "path", "rule", "template", "url", "verdict"]
     assert got.count() == 3 and got.filter("verdict = 'block'").count() == 1
     assert u.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0

@@ -15,14 +15,14 @@ distinct typed paths before any join; the verdicts come back by a join on these.
 Defined results: a null URL or one without `://` has an empty host and path, fits
 no rule and is judged by its (unlabelled) template, so allowed; repeated rows are
 judged each; no labels at all: everything beyond the rules is allowed; an empty
-table gives no rows; other columns pass through.
+table gives no rows; other columns pass through, but those named like a result are
+replaced by it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from visitcast.llm.common import table, written
 
@@ -69,9 +69,9 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     now = paths.withColumn("template", F.array().cast("array<string>"))
     for d in range(depth):
         seg = F.get("segments", F.lit(d))
-        parent = Window.partitionBy("host", "template")
         child = now.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("urls"))
-        child = child.withColumn("all", F.sum("urls").over(parent))
+        # A join and not a window: a hot host may have any number of children, which a window would gather in one task.
+        child = child.join(child.groupBy("host", "template").agg(F.sum("urls").alias("all")), ["host", "template"])
         fixed = F.col("seg").isin("{n}", "{h}") | ((F.col("urls") >= SUPPORT) & (1000 * F.col("urls") >= SHARE * F.col("all")))
         child = child.select("host", "template", "seg", F.when(fixed, F.col("seg")).otherwise("*").alias("step"))
         joined = now.withColumn("seg", seg).join(child, ["host", "template", "seg"], "left")
@@ -105,6 +105,7 @@ def purity(counted: DataFrame, least: int = LEAST, z: float = Z, weight: float =
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages with host, path, rule, template and verdict."""
+    pages = pages.drop("host", "path", "rule", "template", "verdict")
     host, path = host_and_path(F.col("url"))
     rows = pages.withColumns({"host": host, "path": path})
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
