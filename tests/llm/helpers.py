@@ -20,8 +20,8 @@ def odd(spark):
         (1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, long), (None, "no id here at all"), (None, None), (7, "twice the same row\nb\nc\nd"),
         (7, "twice the same row\nb\nc\nd"), (8, "first text of eight"), (8, "second text of eight"), (9, "\x00\x01\x02 控制 \U0001f600"),
     ]
-    df = spark.createDataFrame([(i, t, None if i == 4 else "en", None, 0, "x", 1, 2) for i, t in rows], DOCS + ", label string, score int, kept int")
-    return df
+    extra = ", label string, score int, kept int, at int, n int, rep long, component long, key string"
+    return spark.createDataFrame([(i, t, None if i == 4 else "en", None, 0, "x", 1, 2, 3, 4, 5, 6, "k") for i, t in rows], DOCS + extra)
 
 
 def empty(spark):

@@ -66,5 +66,5 @@ def test_markov_leaves_base_spans(spark):
 
 def test_odd_rows(spark):
     got = secrets.scan(odd(spark))
-    assert got.count() == 12 and got.columns[:8] == odd(spark).columns
+    assert got.count() == 12 and got.columns[:13] == odd(spark).columns
     assert secrets.scan(empty(spark)).count() == 0

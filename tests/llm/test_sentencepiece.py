@@ -85,7 +85,7 @@ def test_odd_rows(spark):
     df = odd(spark)
     out = s.encode(df)
     got = out.collect()
-    assert len(got) == 12 and out.columns[:8] == df.columns
+    assert len(got) == 12 and out.columns[:13] == df.columns
     assert all((r._token_ids is None) == (r.text is None) and r._round_trip for r in got)
     assert next(r for r in got if r.doc_id == 2)._token_ids == []
     back = s.decode(out.selectExpr("doc_id", "text", "_token_ids AS token_ids")).collect()

@@ -9,8 +9,8 @@ adaptive execution splits; no window's rows are gathered in one group.
 Defined results: a null text stays null with 0 lines; documents of fewer than
 three lines have no window and stay as they are; rows that repeat doc_id and text
 are one document, so neither removes lines of the other; a null doc_id comes last
-in the order; a document may become empty but its row stays; columns of the
-input, whatever their names, pass through dedup().
+in the order; a document may become empty but its row stays; other columns of the
+input pass through dedup() (names that begin with _ are reserved).
 """
 
 from __future__ import annotations
@@ -32,23 +32,23 @@ def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def later(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """_k, _t, at: the starts of windows that occurred before, as an array per document."""
+    """_k, _t, _at: the starts of windows that occurred before, as an array per document."""
     seen = windows(docs, span)
     place = F.struct("_k", "_t", "pos")
     repeated = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
-    return seen.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).groupBy("_k", "_t").agg(F.collect_set("pos").alias("at"))
+    return seen.join(repeated, ["h1", "h2"]).filter(place != F.col("first")).groupBy("_k", "_t").agg(F.collect_set("pos").alias("_at"))
 
 
 def dedup(docs: DataFrame, span: int = SPAN, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with the text less its repeated lines, and _n_lines, _n_removed beside its own columns."""
     gone = written(later(docs, span), "line-dedup")
-    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    size = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_at")), F.lit(0))).first()
     side = F.broadcast(gone) if size[0] + size[1] // 4 <= broadcast_rows else gone
     rows = keyed(docs).join(side, ["_k", "_t"], "left").withColumn("_lines", F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
-    covered = F.flatten(F.transform("at", lambda p: F.sequence(p, p + span - 1)))
-    rows = rows.withColumn("_left", F.when(F.col("at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)))
-    text = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
-    removed = F.when(F.col("at").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
+    covered = F.flatten(F.transform("_at", lambda p: F.sequence(p, p + span - 1)))
+    rows = rows.withColumn("_left", F.when(F.col("_at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)))
+    text = F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
+    removed = F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_left")).cast("long")
     kept = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
     return rows.select(*kept, F.size("_lines").cast("long").alias("_n_lines"), removed.alias("_n_removed"))
 
