@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import SMALL
+from conftest import SMALL, duck_rows, rows
 
 from visitcast.llm import url_filter as u
 
@@ -48,6 +48,10 @@ def test_query(spark):
         assert r.rule == text and (verdict is None or r.verdict == verdict) and r.verdict in ("allow", "block")
 
 
+def test_equal_to_sql(spark, duck):
+    assert rows(u.op5_url_filter(spark, SMALL)) == duck_rows(duck, u.ORACLE_SQL)
+
+
 def test_templates_and_purity(spark):
     """Bad templates are rejected where labels say so, alike branches share labels, rare segments become wildcards."""
     rules = (("block", "h.org", "/ads/1"), ("block", "h.org", "/spam/1"), ("allow", "h.org", "/news/1"))

@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and their SQL twins.
 
-op2, op4, op5, op6 and op8 have no twin: SQL can't express the tokenizer, the
-packing, the tree, the network and the models. Their tests hold them against brute
+op2, op4, op6 and op8 have no twin: SQL can't express the tokenizer, the packing,
+the network and the models. Their tests hold them against brute
 force, round trips and held-out labels.
 """
 
@@ -25,6 +25,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_minhash_near_dedup": minhash.ORACLE_SQL,
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_warc_revisits": warc.ORACLE_SQL,

@@ -120,3 +120,42 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "template")
+
+
+def _sql() -> str:
+    special = "('{n}', '{h}', '*', '**')"
+    fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    longest = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in longest) + " END"
+    levels = ""
+    for d in range(DEPTH):
+        levels += f"""
+uf_c{d} AS (SELECT host, tm, segs[{d + 1}] AS seg, sum(n) AS urls FROM uf_t{d} WHERE len(segs) > {d} GROUP BY ALL),
+uf_s{d} AS (SELECT host, tm, seg, CASE WHEN seg IN ('{{n}}', '{{h}}') OR (urls >= {SUPPORT} AND 1000 * urls >= {SHARE} * sum(urls) OVER (PARTITION BY host, tm)) THEN seg ELSE '*' END AS step FROM uf_c{d}),
+uf_t{d + 1} AS (SELECT t.* EXCLUDE (tm), CASE WHEN step IS NULL THEN t.tm ELSE list_append(t.tm, step) END AS tm FROM uf_t{d} t LEFT JOIN uf_s{d} s ON s.host = t.host AND s.tm = t.tm AND s.seg = t.segs[{d + 1}]),"""
+    return rf"""
+WITH uf_rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+uf_parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM uf_rest),
+uf_rows AS (
+  SELECT *, {rule} AS rule, {verdict} AS v,
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '^[0-9]+(\.[A-Za-z0-9]+)?$') THEN '{{n}}' WHEN regexp_matches(s, '^[0-9a-fA-F-]{{16,}}$') THEN '{{h}}' ELSE s END) AS segs
+  FROM uf_parts),
+uf_t0 AS (SELECT host, segs, count(*) AS n, count(v) AS labelled, count(*) FILTER (v = 'block') AS blocked, CAST([] AS VARCHAR[]) AS tm FROM uf_rows GROUP BY host, segs),{levels}
+uf_tree AS (SELECT * EXCLUDE (tm), CASE WHEN len(segs) > {DEPTH} THEN list_append(tm, '**') ELSE tm END AS tm FROM uf_t{DEPTH}),
+uf_each AS (SELECT host, tm, sum(labelled) AS labelled, sum(blocked) AS blocked, list_max(list_filter(range(1, len(tm) + 1), lambda i: tm[i] NOT IN {special})) AS lit FROM uf_tree GROUP BY host, tm),
+uf_fam AS (SELECT *, CASE WHEN lit IS NULL THEN tm ELSE list_transform(range(1, len(tm) + 1), lambda i: CASE WHEN i = lit THEN '*' ELSE tm[i] END) END AS family FROM uf_each),
+uf_pool AS (SELECT host, family, sum(labelled) AS pn, sum(blocked) AS pb, count(*) AS branches FROM uf_fam WHERE labelled >= {LEAST} GROUP BY ALL),
+uf_alike AS (
+  SELECT f.host, f.family, bool_and(abs(blocked - labelled * (pb / pn)) <= {Z} * sqrt(labelled * (pb / pn) * (1 - pb / pn)) + 1e-9) AS alike
+  FROM uf_fam f JOIN uf_pool USING (host, family) WHERE labelled >= {LEAST} GROUP BY ALL),
+uf_prior AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS prior FROM uf_tree),
+uf_judged AS (
+  SELECT f.host, f.tm, f.labelled >= {LEAST} AND (CASE WHEN alike AND branches > 1 THEN pb ELSE blocked END + {WEIGHT} * prior) / (CASE WHEN alike AND branches > 1 THEN pn ELSE labelled END + {WEIGHT}) >= {REJECT} AS rejected
+  FROM uf_fam f LEFT JOIN uf_pool USING (host, family) LEFT JOIN uf_alike USING (host, family) CROSS JOIN uf_prior)
+SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.v, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(t.tm, '/') AS template
+FROM uf_rows r JOIN uf_tree t ON t.host = r.host AND t.segs = r.segs JOIN uf_judged j ON j.host = t.host AND j.tm = t.tm"""
+
+
+ORACLE_SQL = _sql()
