@@ -61,3 +61,15 @@ def without(docs: DataFrame, rejected: DataFrame, rows: int = BROADCAST_ROWS) ->
     """docs less the rows whose (_k, _t) stand in `rejected`."""
     bad = small(rejected.select("_k", "_t").distinct(), rows)
     return keyed(docs).join(bad, ["_k", "_t"], "left_anti").select(docs.columns)
+
+
+def sampled(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """At most `rows` rows: those with the smallest hash of the columns `by`.
+
+    Where there are many more, a bound on the hash that about half as many again
+    stay below comes first, so that few rows are sorted, however large the table.
+    """
+    draw, total = F.pmod(F.xxhash64(*by), F.lit(1 << 40)), df.count()
+    if total > 2 * rows:
+        df = df.filter(draw < int((1 << 40) * (1.5 * rows + 100) / total))
+    return df.orderBy(draw, *by).limit(rows)
