@@ -31,7 +31,7 @@ MIN_DOCS = 200
 FENCES = {
     "symbol": (6, 60, False),
     "upper": (6, 200, False),
-    "dup_line": (6, 300, False),
+    "dup_line": (6, 400, False),  # one line of three may return
     "repeat": (6, 300, False),
     "word_len": (6, 200, True),
 }
