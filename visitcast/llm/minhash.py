@@ -10,9 +10,10 @@ confirmed on the full sets. Components of confirmed links get the smallest doc_i
 
 Work stays linear on large groups: equal sets are one class from the start; each
 bucket's members are first compared with the bucket's smallest id only; components
-are found; then only members of one bucket that are still in different components
-are compared, block by block inside tasks, which emit nothing but likely links.
-No bucket is held whole in one task and no link between different sets is left out.
+are found; then only members of buckets that still span several components are
+compared, on their full sets, block by block inside tasks, which emit nothing but
+links that join components. No bucket is held whole in one task and no link that
+could change a component is left out.
 
 With 24 bands of 3 registers a pair of similarity s shares no band with
 probability (1 - s^3)^24: 3e-8 at 0.8, 1e-10 at 0.85.
@@ -34,93 +35,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import BROADCAST_ROWS, keyed, small, table, text_of, without, written
+from visitcast.llm.common import BROADCAST_ROWS, keyed, modest_batches, small, table, text_of, without, written
+from visitcast.llm.text_bytes import mix, pieces, tidied, word_hashes
 
 BANDS, ROWS = 24, 3
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Chance at most that the estimate drops a pair which reaches the threshold.
 MISS = 1e-9
-#: Members of a bucket that are compared in one block.
-BLOCK = 256
-#: Bytes of text whose shingles are hashed at once.
-CHUNK = 1 << 20
+#: Members of a star that are compared in one block, and shingles of theirs at a time.
+BLOCK, COLUMNS = 512, 4096
 
 _U = np.uint64
 
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of splitmix64."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MUL = _mix(np.arange(1, REGISTERS + 1, dtype=_U)) | _U(1)
-_ADD = _mix(np.arange(1001, 1001 + REGISTERS, dtype=_U))
-
-
-@lru_cache(maxsize=2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2^64, 2^bits of each."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.ones(1, dtype=_U)
-        for k in range(bits):
-            p = np.concatenate([p, p * _U(pow(base, 1 << k, 1 << 64))])
-        out.append(p)
-    return out[0], out[1]
+_MUL = mix(np.arange(1, REGISTERS + 1, dtype=_U)) | _U(1)
+_ADD = mix(np.arange(1001, 1001 + REGISTERS, dtype=_U))
 
 
 def _hashed(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Distinct shingle hashes of each text, sorted; text i is data[offsets[i]:offsets[i + 1]]."""
-    blank = _BLANK[data]
-    first, last = ~blank, ~blank
-    first[1:] &= blank[:-1]
-    last[:-1] &= blank[1:]
-    inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    first[inner] |= ~blank[inner]
-    last[inner - 1] |= ~blank[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(max(10, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], out=sums[1:])
-    words = _mix((sums[end] - sums[start]) * inverse[start])
-    bounds = np.searchsorted(start, offsets)
-    n = len(words) - width + 1
-    rolled = np.zeros(max(n, 0), dtype=_U)
+    _, _, words, bounds = word_hashes(data, offsets)
+    rolled = np.zeros(max(len(words) - width + 1, 0), dtype=_U)
     for j in range(width):
         rolled += words[j : j + len(rolled)] * _MUL[j]
-    rolled = _mix(rolled + _U(width))
+    rolled = mix(rolled + _U(width))
     out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1]))
         elif b > a:
-            out.append(_mix(np.array([sum(int(w) * int(m) for w, m in zip(words[a:b], _MUL, strict=False)) + int(b - a) & (1 << 64) - 1], dtype=_U)))
+            out.append(mix(np.array([sum(int(w) * int(m) for w, m in zip(words[a:b], _MUL, strict=False)) + int(b - a) & (1 << 64) - 1], dtype=_U)))
         else:
             out.append(np.zeros(0, dtype=_U))
     return out
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text in turn; nulls are empty."""
-    texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, dtype=np.int64)
-    data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK)))
-        b = min(b, len(texts))
-        yield from _hashed(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-        a = b
+    """The sorted distinct shingle hashes of each text in turn."""
+    for data, offsets in pieces(texts):
+        yield from _hashed(data, offsets, width)
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -143,8 +96,8 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             rows = iter(registers(full)) if full else iter(())
             for s in some:
                 n.append(len(s))
-                f1.append(int(np.add.reduce(_mix(s ^ _U(0xA5A5A5A5A5A5A5A5))).astype(np.int64)) if len(s) else 0)
-                f2.append(int(np.add.reduce(_mix(s * _U(3))).astype(np.int64)) if len(s) else 0)
+                f1.append(int(np.add.reduce(mix(s ^ _U(0xA5A5A5A5A5A5A5A5))).astype(np.int64)) if len(s) else 0)
+                f2.append(int(np.add.reduce(mix(s * _U(3))).astype(np.int64)) if len(s) else 0)
                 sig.append(next(rows).tobytes() if len(s) else None)
 
         some, held = [], 0
@@ -162,7 +115,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, _k, _t, n (set size), f1 and f2 (128-bit hash of the set), sig (registers) per row."""
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
-    return rows.mapInArrow(lambda it: _signed(it, width), "doc_id long, _k long, _t long, n long, f1 long, f2 long, sig binary")
+    return rows.mapInArrow(lambda it: tidied(_signed(it, width)), "doc_id long, _k long, _t long, n long, f1 long, f2 long, sig binary")
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,17 +180,21 @@ def _confirmed(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> I
         yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
+def _texts(ids: DataFrame, docs: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """rep, text: one text of each class in `ids` (rep, distinct)."""
+    wanted = small(ids.join(classes.select("rep", "rep_t"), "rep").select(F.col("rep").alias("_k"), F.col("rep_t").alias("_t")), rows)
+    found = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).join(wanted, ["_k", "_t"])
+    return written(found.select(F.col("_k").alias("rep"), "text").distinct(), "minhash-texts")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, rows: int) -> DataFrame:
     """The links among `pairs` (a, b: class ids), by estimate and then by the full sets."""
     mine = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     fit = pairs.join(mine("a"), "a").join(mine("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    likely = written(fit.mapInArrow(lambda it: _estimated(it, percent), "a long, b long").distinct(), "minhash-pairs")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    wanted = small(ids.join(classes.select("rep", "rep_t"), "rep"), rows)
-    rows_ = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
-    texts = written(rows_.join(wanted.select(F.col("rep").alias("_k"), F.col("rep_t").alias("_t")), ["_k", "_t"]).select(F.col("_k").alias("rep"), "text").distinct(), "minhash-texts")
+    likely = written(fit.mapInArrow(lambda it: tidied(_estimated(it, percent)), "a long, b long").distinct(), "minhash-pairs")
+    texts = _texts(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, classes, rows)
     side = lambda s: texts.select(F.col("rep").alias(s), F.col("text").alias(f"text_{s}"))
-    return likely.join(side("b"), "b").join(side("a"), "a").mapInArrow(lambda it: _confirmed(it, width, percent), "a long, b long")
+    return likely.join(side("b"), "b").join(side("a"), "a").mapInArrow(lambda it: tidied(_confirmed(it, width, percent)), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -257,29 +214,73 @@ def connected(edges: DataFrame) -> DataFrame:
         e = written(star.filter("a != b").distinct(), "components")
 
 
-def _compared(pdf, percent: int):
-    """Likely links in one block pair of a bucket, between members of different components."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, from products of their incidence matrices, COLUMNS shingles at a time.
+
+    Of one list with itself, a set's size is not counted as its intersection with itself.
+    """
+    sets = left if right is left else left + right
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    everywhere = times == len(sets)
+    use = (times > 1) & ~everywhere
+    place = np.cumsum(use) - 1
+    row, column = row[use[column]], place[column[use[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.full((len(left), len(right)), int(everywhere.sum()), dtype=np.float32)
+    for at in range(0, int(use.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), dtype=np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        out += m[: len(left)] @ m[len(sets) - len(right) :].T
+    return out
+
+
+def _joining(pdf, width: int, percent: int):
+    """Links in one block pair of a star that join components: a forest over these."""
     import pandas as pd
 
     left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
-    if not len(right):
-        right = left
-    x, y = (np.frombuffer(b"".join(p.sig), dtype=np.uint16).reshape(-1, REGISTERS) for p in (left, right))
+    whole = not len(right) or not len(left)
+    if whole:
+        left = right = pdf
+    sets = [list(shingle_sets(pa.array(p.text, pa.string()), width)) for p in ((left,) if whole else (left, right))]
+    x, y = sets[0], sets[-1]
+    both = _common(x, y)
+    n, m = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    links = (both > 0) & (100 * both.astype(np.int64) >= percent * (n[:, None] + m[None, :] - both.astype(np.int64))) & (left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :])
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.setdefault(c, c) != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
     found = []
-    for i, (rep, comp, n) in enumerate(zip(left.rep, left.comp, left.n, strict=True)):
-        other = (right.comp.to_numpy() != comp) & _likely((y == x[i]).sum(axis=1), np.full(len(right), n), right.n.to_numpy(), percent)
-        found += [(min(rep, r), max(rep, r)) for r in right.rep.to_numpy()[other]]
-    return pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
+    for i, j in zip(*np.nonzero(links), strict=True):
+        a, b = find(left.comp.iat[i]), find(right.comp.iat[j])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            found.append((left.rep.iat[i], right.rep.iat[j]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def _rest(members: DataFrame, classes: DataFrame, comps: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs a, b that share a bucket of three or more, aren't connected yet, and are likely to be linked."""
-    at = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+def _rest(members: DataFrame, comps: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, block: int, rows: int) -> DataFrame:
+    """Links a, b that join components, among members of buckets of three or more that still span several.
+
+    Buckets of one pivot are taken together: their members form a star, and pairs of
+    a star meet once instead of once for each bucket that they share.
+    """
+    at = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "pivot", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ = at.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("size > 2 AND c0 != c1")
-    spread = at.join(open_.select("key", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "key").join(classes.select("rep", "n", "sig"), "rep")
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    stars = written(at.join(open_.select("key"), "key", "left_semi").select("pivot", "rep", "comp").distinct(), "minhash-stars")
+    texts = _texts(stars.select("rep").distinct(), docs, classes, rows)
+    sized = stars.join(stars.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "pivot").join(texts, "rep")
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"), (F.col("own") > j).cast("int").alias("side")))
-    return spread.select("key", F.inline(cell), "rep", "comp", "n", "sig").groupBy("key", "i", "j").applyInPandas(lambda pdf: _compared(pdf, percent), "a long, b long").distinct()
+    return sized.select("pivot", F.inline(cell), "rep", "comp", "text").groupBy("pivot", "i", "j").applyInPandas(lambda pdf: _joining(pdf, width, percent), "a long, b long")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -288,10 +289,11 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     Links are pairs with 100 * intersection >= percent * union of their sets of
     `width`-word shingles (A-Z lower-cased, words split at ASCII blanks).
     """
+    modest_batches(docs.sparkSession)
     signed = written(signatures(docs, width), "minhash-signatures")
     whole = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = written(whole.groupBy("f1", "f2", "n").agg(F.min(F.struct("_k", "_t", "sig")).alias("r")).select("f1", "f2", "n", F.col("r._k").alias("rep"), F.col("r._t").alias("rep_t"), "r.sig"), "minhash-classes")
-    banded = classes.select("rep", "sig").mapInArrow(_banded, "key long, rep long")
+    banded = classes.select("rep", "sig").mapInArrow(lambda it: tidied(_banded(it)), "key long, rep long")
     shared = banded.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot != last").drop("last")
     members = written(banded.join(shared, "key"), "minhash-members")
     stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
@@ -299,9 +301,9 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int =
     same = whole.join(twice, "_k", "left_semi").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select(F.col("_k").alias("a"), F.col("rep").alias("b"))
     links = written(_confirm(stars, docs, classes, width, percent, broadcast_rows).union(same), "minhash-links")
     comps = written(connected(links), "minhash-components")
-    rest = written(_rest(members, classes, comps, percent, block), "minhash-rest")
+    rest = written(_rest(members, comps, docs, classes, width, percent, block, broadcast_rows), "minhash-rest")
     if rest.limit(1).count():
-        comps = written(connected(links.union(_confirm(rest, docs, classes, width, percent, broadcast_rows))), "minhash-components")
+        comps = written(connected(links.union(rest)), "minhash-components")
     found = classes.select("f1", "f2", "n", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("found"))
     out = signed.select("doc_id", "_k", "_t", "n", "f1", "f2").join(found, ["f1", "f2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +43,20 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """Passes batches on; at the end of the task, hands memory that would wait for reuse back to the system.
+
+    Python workers outlive their tasks, and what they hold counts beside the executor's heap.
+    """
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and offsets of runs of texts, about CHUNK bytes each; nulls must have been replaced."""
     texts = texts.cast(pa.large_string())
