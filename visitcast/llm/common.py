@@ -45,6 +45,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """From now on the session's Arrow batches hold at most `rows` rows and about `size` bytes.
+
+    Spark's default of 10,000 rows suits numbers; of whole texts, each running task
+    would hold tens of MB several times over, beside the executor's heap.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
