@@ -38,7 +38,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, n_tokens, token_ids and whether the ids decode to the text."""
-    found = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"))
+    found = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), keep_text=False)
     return found.selectExpr("doc_id", "lang", "source", "n_chars", "_n_tokens AS n_tokens", "_token_ids AS token_ids", "_round_trip AS round_trip")
 
 

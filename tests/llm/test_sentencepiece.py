@@ -41,7 +41,7 @@ def test_library_alone_agrees(codec):
     assert codec.decode_by_library(ids) == codec.decode(ids) == texts
 
 
-def test_generations(codec, monkeypatch):
+def test_generations(monkeypatch):
     monkeypatch.setattr(s, "REMEMBERED", 50)
     r = random.Random(1)
     c = s.Codec(MODEL)

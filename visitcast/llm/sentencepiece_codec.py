@@ -34,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from visitcast.llm.common import table
+from visitcast.llm.common import modest_batches, table
+from visitcast.llm.text_bytes import tidied
 
 MARKER = "▁"
 #: Distinct units that each of two generations in a worker holds, and rows whose ids are built at once.
-REMEMBERED, ROWS = 200_000, 256
+REMEMBERED, ROWS = 60_000, 256
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 THREADS = 2
 
@@ -119,6 +120,9 @@ class Codec:
                 ids = b
             self.known[u] = array("i", ids).tobytes()
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def recall(self, units: set[str]) -> None:
         """Makes every unit known; what wasn't met since the last change of generation is forgotten."""
         if len(self.known) > REMEMBERED:
@@ -167,33 +171,39 @@ def codec(model: bytes) -> Codec:
     return _codecs[key]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], model: bytes, kept: list[str]) -> Iterator[pa.RecordBatch]:
     c = codec(model)
-    for whole in batches:
-        for at in range(0, whole.num_rows, ROWS):
-            batch = whole.slice(at, ROWS)
-            texts = batch.column("text").to_pylist()
-            before = c.differing
-            ids = c.encode([t or "" for t in texts])
-            back = c.decode(ids)
-            same = [t is None or c.normalised(t) == b for t, b in zip(texts, back, strict=True)]
-            counts = np.array([len(x) for x in ids], dtype=np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False])) if batch.num_rows else pa.array([0], pa.int32())
-            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-            extra = [pa.array(counts), listed, pa.array(same, pa.bool_()), pa.array(np.full(batch.num_rows, c.differing - before, dtype=np.int64))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "_n_tokens", "_token_ids", "_round_trip", "_differing"])
-
-
-def encode(docs: DataFrame, model: bytes | None = None) -> DataFrame:
+    try:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                texts = batch.column("text").to_pylist()
+                before = c.differing
+                ids = c.encode([t or "" for t in texts])
+                back = c.decode(ids)
+                same = [t is None or c.normalised(t) == b for t, b in zip(texts, back, strict=True)]
+                counts = np.array([len(x) for x in ids], dtype=np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.array([t is None for t in texts] + [False]))
+                listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))
+                extra = [pa.array(counts), listed, pa.array(same, pa.bool_()), pa.array(np.full(batch.num_rows, c.differing - before, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *extra], [*kept, "_n_tokens", "_token_ids", "_round_trip", "_differing"])
+    finally:
+        c.forget()
+
+
+def encode(docs: DataFrame, model: bytes | None = None, keep_text: bool = True) -> DataFrame:
     """docs with _n_tokens, _token_ids, _round_trip (decoding gives the text back) and _differing.
 
     _differing is the number of units, first met in the row's batch, on which the
-    rebuilt model and the sentencepiece library disagreed.
+    rebuilt model and the sentencepiece library disagreed. Without keep_text the text
+    doesn't come back from the Python workers.
     """
     data = model if model is not None else Path(default_model()).read_bytes()
     added = (("_n_tokens", T.LongType()), ("_token_ids", T.ArrayType(T.IntegerType())), ("_round_trip", T.BooleanType()), ("_differing", T.LongType()))
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(*x) for x in added)])
-    return docs.mapInArrow(lambda it: _encoded(it, data), schema)
+    fields = [f for f in docs.schema.fields if keep_text or f.name != "text"]
+    kept = [f.name for f in fields]
+    modest_batches(docs.sparkSession)
+    return docs.mapInArrow(lambda it: tidied(_encoded(it, data, kept)), T.StructType([*fields, *(T.StructField(*x) for x in added)]))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], model: bytes, column: str) -> Iterator[pa.RecordBatch]:
@@ -207,10 +217,11 @@ def _decoded(batches: Iterator[pa.RecordBatch], model: bytes, column: str) -> It
 def decode(rows: DataFrame, column: str = "token_ids", model: bytes | None = None) -> DataFrame:
     """rows with _decoded: the text of the ids in `column`; null for null."""
     data = model if model is not None else Path(default_model()).read_bytes()
+    modest_batches(rows.sparkSession)
     return rows.mapInArrow(lambda it: _decoded(it, data, column), T.StructType([*rows.schema.fields, T.StructField("_decoded", T.StringType())]))
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every whole text and whether decoding gives the text back."""
-    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     return found.selectExpr("doc_id", "_n_tokens AS n_tokens", "_token_ids AS token_ids", "_round_trip AS round_trip")
