@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import table, text_of
-from visitcast.llm.text_bytes import pieces, word_hashes
+from visitcast.llm.common import modest_batches, sampled, table, text_of
+from visitcast.llm.text_bytes import pieces, tidied, word_hashes
 
 PASSAGE = 64
 SAMPLE = 4000
@@ -141,10 +141,11 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | float:
     """The network from at most `sample` labelled documents; a bare share where only one label occurs."""
+    modest_batches(docs.sparkSession)
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = sampled(usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label")), sample, "doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    got = sorted(rows.mapInArrow(_bags, "doc_id long, label int, bag binary").collect())
+    got = sorted(rows.mapInArrow(lambda it: tidied(_bags(it)), "doc_id long, label int, bag binary").collect())
     y = np.array([r["label"] for r in got], dtype=float)
     if not len(y) or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.5
@@ -170,8 +171,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Network | float) -> Iterat
 
 def score(docs: DataFrame, model: Network | float) -> DataFrame:
     """doc_id and score of each row."""
+    modest_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(lambda it: _scored(it, model), "doc_id long, score double")
+    return rows.mapInArrow(lambda it: tidied(_scored(it, model)), "doc_id long, score double")
 
 
 def op6_attention_quality(spark, sf_dir: str) -> DataFrame:
