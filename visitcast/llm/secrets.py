@@ -7,7 +7,7 @@ identifiers, trained on the other tokens of the same labelled documents. A token
 whose log-likelihood ratio exceeds MARGIN nats is a span of kind `markov`.
 
 The models are fitted on at most `sample` documents (those with the smallest hash
-of doc_id), a documented bound; scoring reads every whole text. Only the two
+of doc_id and text), a documented bound; scoring reads every whole text. Only the two
 tables of pair counts (at most 66 * 66 rows each) reach the driver.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import table
+from visitcast.llm.common import sampled, table
 
 #: The base patterns in order of rank. Letters of the assign keywords match in either case.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -83,7 +83,7 @@ def _codes(token: Column) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratios (random against ordinary) of the pairs of codes, row by row."""
-    some = base_spans(docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample))
+    some = base_spans(sampled(docs.select("doc_id", "text"), sample, "doc_id", "text"))
     secret = F.concat(F.transform("assign", lambda s: _value(s["what"])), F.transform("access", lambda s: s["what"]), F.transform("hex", lambda s: s["what"]))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
