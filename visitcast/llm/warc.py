@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import BROADCAST_ROWS, shared_dir, small, table, written
+from visitcast.llm.common import BROADCAST_ROWS, modest_batches, shared_dir, small, table, written
 
 LEAST = 100
 ARCHIVE = 16 << 20
@@ -83,8 +83,8 @@ def record(df: DataFrame) -> Column:
     return F.concat(head, block)
 
 
-def write(records: DataFrame, path: str, archive: int = ARCHIVE, compression: str = "none") -> None:
-    """Writes typed() records as archives of about `archive` bytes below `path`."""
+def write(records: DataFrame, path: str, archive: int = ARCHIVE, compression: str = "gzip") -> None:
+    """Writes typed() records as archives of about `archive` bytes, before compression, below `path`."""
     total = records.agg(F.coalesce(F.sum(F.when(F.col("first_id").isNull(), F.col("size")).otherwise(0) + 700), F.lit(0))).first()[0]
     dealt = records.repartition(max(1, -(-total // archive)), F.xxhash64("page_id", "digest"))
     dealt.select(record(dealt).alias("value")).write.option("lineSep", NL * 2).option("compression", compression).text(path)
@@ -127,6 +127,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives below `path`; payload size and digest are computed anew, null for revisits."""
+    modest_batches(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(_read, SCHEMA)
 
