@@ -43,6 +43,24 @@ def test_slots_must_agree(spark):
     assert {r._k for r in d.leaks(documents(spark, [same, mixed]), _bench(spark, item)).collect()} == {0}
 
 
+def test_one_occurrence_is_enough(spark):
+    r = random.Random(6)
+    other = ITEM.replace("60", "85").replace("3 hours", "7 hours").replace("Alice", "Carol").replace("Bob", "Dave")
+    third = ITEM.replace("60", "95").replace("3 hours", "9 hours").replace("Alice", "Erin").replace("Bob", "Frank")
+    longer = ITEM.replace("near the river", "near the wide river")
+    docs = documents(spark, [f"{ITEM}. {other}. {third}", f"{words(r, 30)}. {other}\n{third} {words(r, 30)}. {ITEM}", f"{longer}. {other}. {third}", words(r, 200)])
+    got = {r._k: r for r in d.leaks(docs, _bench(spark, ITEM)).collect()}
+    assert set(got) == {0, 1, 2}
+    assert all(100 * x.n_slots_ok >= 80 * x.n_slots > 0 for x in got.values())
+
+
+def test_item_of_repeated_templates(spark):
+    counted = "we count 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20 and stop here"
+    item = " ".join(f"take {i} and {i + 1} then" for i in range(1, 9)) + " rest"
+    docs = documents(spark, [f"before {item} after", f"first {counted} last", "only 8 9 10 11 12 13 14 15 17 18 here"])
+    assert {(r._k, r.item_id) for r in d.leaks(docs, _bench(spark, item, counted)).collect()} == {(0, 0), (1, 1)}
+
+
 def test_short_items_and_shuffles(spark):
     docs = documents(spark, ["xx yy zz", "aa xx yy zz bb cc dd ee", "yy zz xx", ""])
     bench = _bench(spark, "xx yy zz", None, "", "one two three four five six seven")

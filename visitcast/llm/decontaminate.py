@@ -9,6 +9,12 @@ value in the item must stand for one value in the document, in SLOTS_OK percent
 of the slots. So a copy with other numbers or names is caught, and a text that
 merely has the same frame with unrelated fillings is not.
 
+Candidates whose slots don't agree over the whole document are judged again by
+occurrence: hits are grouped by document place minus item place, exactly and in
+overlapping bands of a quarter of the item (for copies with words put in). One
+group that holds COVER percent of the item's places and agrees is a leak; n_slots
+and n_slots_ok are then those of the best such group.
+
 The benchmark side is broadcast if a count proves it small, else Spark sorts and
 merges. Document windows go through the join without a shuffle in the first case.
 
@@ -84,13 +90,22 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return found.join(totals.withColumnRenamed("item_id", "_i"), F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
 
 
+def item_places(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id, h, item_at, slots, n_places: each window of each item at each of its places; repeated items count once."""
+    toks = benchmark.select("item_id", tokens(text_of()).alias("toks")).distinct().withColumn("canon", canonical(F.col("toks"))).filter(F.size("toks") > 0)
+    span = F.least(F.lit(window), F.size("toks"))
+    places = _places(F.size("toks"), span)
+    cut = F.transform(places, lambda i: F.struct(_hash(F.col("canon"), i, span).alias("h"), i.alias("item_at"), _slots(F.col("toks"), i, span).alias("slots")))
+    return toks.select("item_id", F.xxhash64("toks").alias("variant"), F.size(places).alias("n_places"), F.inline(cut))
+
+
 def _doc_windows(docs: DataFrame, spans: list[int], slots: bool) -> DataFrame:
     toks = docs.select("_k", "_t", tokens(F.col("text")).alias("toks")).withColumn("canon", canonical(F.col("toks")))
     place, canon, whole = F.size("toks"), F.col("canon"), F.col("toks")
 
     def cut(span: Column) -> Column:
         if slots:
-            return F.transform(_places(place, span), lambda i: F.struct(_hash(canon, i, span).alias("h"), _slots(whole, i, span).alias("slots")))
+            return F.transform(_places(place, span), lambda i: F.struct(_hash(canon, i, span).alias("h"), i.alias("at"), _slots(whole, i, span).alias("slots")))
         return F.transform(_places(place, span), lambda i: _hash(canon, i, span))
 
     parts = [cut(F.lit(s)) for s in spans]
@@ -98,6 +113,30 @@ def _doc_windows(docs: DataFrame, spans: list[int], slots: bool) -> DataFrame:
     return toks.select("_k", "_t", F.inline(each) if slots else F.explode(each).alias("h"))
 
 
+def _by_occurrence(texts: DataFrame, rest: DataFrame, places: DataFrame, spans: list[int], cover: int, slots_ok: int, rows: int) -> DataFrame:
+    """_k, _t, _i, n_slots, n_slots_ok: the best occurrence of those pairs of `rest` that have one that covers the item and agrees."""
+    key = ["_k", "_t", "_i", "variant", "n_places", "width", "band"]
+    pair = _doc_windows(texts, spans, slots=True).join(rest.select("_k", "_t", F.col("item_id").alias("_i")), ["_k", "_t"])
+    theirs = places.select(F.col("item_id").alias("_i2"), F.col("h").alias("_h"), "variant", "n_places", "item_at", F.col("slots").alias("theirs"))
+    both = pair.join(small(theirs, rows), (F.col("h") == F.col("_h")) & F.col("_i").eqNullSafe(F.col("_i2")))
+    offset, wide = F.col("at") - F.col("item_at"), F.greatest(F.lit(2), F.ceil(F.col("n_places") / 4)).cast("int")
+    half = (wide / 2).cast("int")
+    bands = F.array(*[F.struct(w.alias("width"), F.floor(x).cast("int").alias("band")) for w, x in ((F.lit(0), offset), (F.lit(1), offset / wide), (F.lit(2), (offset + half) / wide))])
+    hits = both.select("_k", "_t", "_i", "variant", "n_places", "item_at", "theirs", F.col("slots").alias("ours"), F.inline(bands))
+    found = hits.groupBy(*key, "item_at").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("n_at"))
+    full = found.filter(100 * F.col("n_at") >= cover * F.col("n_places")).drop("n_at")
+    mapped = hits.select(*key, F.inline(F.arrays_zip("theirs", "ours")))
+    counted = mapped.groupBy(*key, "theirs", "ours").agg(F.count("*").alias("n")).groupBy(*key, "theirs").agg(F.sum("n").alias("n"), F.max("n").alias("ok"))
+    agreed = counted.groupBy(*key).agg(F.sum("n").alias("n_slots"), F.sum("ok").alias("n_slots_ok")).filter(100 * F.col("n_slots_ok") >= slots_ok * F.col("n_slots"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    whole = agreed.alias("a").join(full.alias("f"), on, "left_semi")
+    best = F.max(F.struct((F.col("n_slots_ok") / F.col("n_slots")).alias("share"), "n_slots", "n_slots_ok"))
+    return whole.groupBy("_k", "_t", "_i").agg(best.alias("best")).select("_k", "_t", "_i", "best.n_slots", "best.n_slots_ok")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER, slots_ok: int = SLOTS_OK, rows: int = BROADCAST_ROWS) -> DataFrame:
     """_k, _t, item_id, n_windows, n_found, n_slots, n_slots_ok: documents that hold an item."""
     items = written(item_windows(benchmark, window), "decontaminate-items")
@@ -116,7 +155,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     slots = per_value.groupBy("_k", "_t", F.col("item_id").alias("_i")).agg(F.sum("n").alias("n_slots"), F.sum("ok").alias("n_slots_ok"))
     joined = candidates.join(slots.withColumnsRenamed({"_k": "_k2", "_t": "_t2"}), (F.col("_k") == F.col("_k2")) & (F.col("_t") == F.col("_t2")) & F.col("item_id").eqNullSafe(F.col("_i")), "left")
     out = joined.select("_k", "_t", "item_id", "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_slots_ok", F.lit(0)).alias("n_slots_ok"))
-    return out.filter(100 * F.col("n_slots_ok") >= slots_ok * F.col("n_slots"))
+    judged = written(out.withColumn("agrees", 100 * F.col("n_slots_ok") >= slots_ok * F.col("n_slots")), "decontaminate-judged")
+    rest = judged.filter(~F.col("agrees"))
+    texts = base.join(small(rest.select("_k", "_t").distinct(), rows), ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
+    single = _by_occurrence(texts, rest, item_places(benchmark, window), spans, cover, slots_ok, rows).withColumnsRenamed({"_k": "_k2", "_t": "_t2"})
+    again = rest.drop("n_slots", "n_slots_ok").join(single, (F.col("_k") == F.col("_k2")) & (F.col("_t") == F.col("_t2")) & F.col("item_id").eqNullSafe(F.col("_i")))
+    return judged.filter("agrees").drop("agrees").unionByName(again.select(*[c for c in judged.columns if c != "agrees"]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
