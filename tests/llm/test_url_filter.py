@@ -77,3 +77,17 @@ def test_odd_rows(spark):
     assert sorted(got.columns) == ["host", "page_id", "path", "rule", "template", "url", "verdict"]
     assert got.count() == 3 and got.filter("verdict = 'block'").count() == 1
     assert u.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_deep_paths(spark):
+    at = lambda section, k: ["{n}", "{n}", "{n}", "en", section, f"x{k}y"]
+    rows = [("h", at("ads", k), 1, 1, 1) for k in range(60)] + [("h", at("news", k), 1, 1, 0) for k in range(60)] + [("h", ["a"] * 9, 1, 0, 0)]
+    tree = u.templates(spark.createDataFrame(rows, "host string, segments array<string>, n long, labelled long, blocked long"))
+    got = {tuple(r.template): r.rejected for r in u.purity(tree).collect()}
+    assert got == {tuple(at("ads", 0)[:5] + ["*"]): True, tuple(at("news", 0)[:5] + ["*"]): False, ("*",) * 9: False}
+
+
+def test_small_siblings_are_pooled(spark):
+    rows = [("bad", [f"s{i}"], 3, 3, 3) for i in range(20)] + [("good", [f"s{i}"], 3, 3, 0) for i in range(5)] + [("few", ["s0"], 4, 4, 4), ("none", ["s0"], 9, 0, 0)]
+    counted = spark.createDataFrame([(h, t, n, l, b) for h, t, n, l, b in rows], "host string, template array<string>, n long, labelled long, blocked long")
+    assert {r.host for r in u.purity(counted).filter("rejected").collect()} == {"bad"}

@@ -2,12 +2,14 @@
 
 Per host, paths become templates: numbers and long hexadecimal segments turn into
 typed wildcards, and walking down the tree a segment that is rare among its
-siblings becomes `*`; below DEPTH levels the rest is `**`. URLs that a rule
+siblings becomes `*`, down to the last segment. URLs that a rule
 decides are the labelled sample. Sibling branches (templates of a host that differ
 in their last literal segment) whose shares of blocked URLs don't differ by more
 than Z standard errors from the pooled share are merged. A template with at least
 LEAST labels is rejected if its purity, the share of blocked labels smoothed
-towards the share of the whole sample, reaches REJECT.
+towards the share of the whole sample, reaches REJECT. A template with fewer labels
+takes the pooled purity of all labelled siblings, if these don't differ and have
+LEAST labels together.
 
 Equal (host, typed path) rows are counted first, so a hot host shrinks to its
 distinct typed paths before any join; the verdicts come back by a join on these.
@@ -29,6 +31,7 @@ from visitcast.llm.common import table, written
 #: (verdict, host, path): the rules of the registered query. Given as a short list, at most MOST_RULES.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 MOST_RULES = 1000
+#: Levels of the tree in ORACLE_SQL, enough for tables whose paths have no more segments.
 DEPTH = 4
 #: A segment stays literal if it has this many URLs and this share (in thousandths) of its parent's.
 SUPPORT, SHARE = 3, 20
@@ -64,19 +67,28 @@ def typed(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9]+(\.[A-Za-z0-9]+)?$"), "{n}").when(s.rlike(r"^[0-9a-fA-F-]{16,}$"), "{h}").otherwise(s))
 
 
-def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """paths (host, segments, n, ...) with `template`: an array, wildcards put in from the root down."""
-    now = paths.withColumn("template", F.array().cast("array<string>"))
-    for d in range(depth):
+def templates(paths: DataFrame) -> DataFrame:
+    """paths (host, segments, n, ...) with `template`: an array, wildcards put in from the root down, level by level to the last segment.
+
+    Below a node of fewer than SUPPORT URLs no segment can stay literal, so the rest is put in at once:
+    the levels end where no SUPPORT URLs go on together.
+    """
+    typed_or_any = lambda s: F.when(s.isin("{n}", "{h}"), s).otherwise("*")
+    now, whole, d = written(paths.withColumn("template", F.array().cast("array<string>")), "url-paths"), F.size("template") == F.size("segments"), 0
+    finished = now.filter(whole)
+    while not (more := now.filter(~whole)).isEmpty():
         seg = F.get("segments", F.lit(d))
-        child = now.filter(seg.isNotNull()).groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("urls"))
+        child = more.groupBy("host", "template", seg.alias("seg")).agg(F.sum("n").alias("urls"))
         # A join and not a window: a hot host may have any number of children, which a window would gather in one task.
         child = child.join(child.groupBy("host", "template").agg(F.sum("urls").alias("all")), ["host", "template"])
         fixed = F.col("seg").isin("{n}", "{h}") | ((F.col("urls") >= SUPPORT) & (1000 * F.col("urls") >= SHARE * F.col("all")))
-        child = child.select("host", "template", "seg", F.when(fixed, F.col("seg")).otherwise("*").alias("step"))
-        joined = now.withColumn("seg", seg).join(child, ["host", "template", "seg"], "left")
-        now = joined.withColumn("template", F.when(F.col("step").isNotNull(), F.array_append("template", F.col("step"))).otherwise(F.col("template"))).select(*paths.columns, "template")
-    return now.withColumn("template", F.when(F.size("segments") > depth, F.array_append("template", F.lit("**"))).otherwise(F.col("template")))
+        child = child.select("host", "template", "seg", F.when(fixed, F.col("seg")).otherwise("*").alias("step"), (F.col("all") < SUPPORT).alias("few"))
+        joined = more.withColumn("seg", seg).join(child, ["host", "template", "seg"])
+        rest = F.transform(F.slice("segments", F.lit(d + 1), F.size("segments")), typed_or_any)
+        longer = F.when(F.col("few"), F.concat("template", rest)).otherwise(F.array_append("template", F.col("step")))
+        now, d = written(joined.withColumn("template", longer).select(*paths.columns, "template"), "url-level"), d + 1
+        finished = finished.unionByName(now.filter(whole))
+    return finished
 
 
 def _family(template: Column) -> Column:
@@ -90,6 +102,10 @@ def purity(counted: DataFrame, least: int = LEAST, z: float = Z, weight: float =
     """host, template, rejected, for the templates of `counted` (host, template, labelled, blocked)."""
     each = counted.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).withColumn("family", _family(F.col("template")))
     known = F.col("labelled") >= least
+    some = F.col("labelled") > 0
+    near_all = F.abs(F.col("blocked") - F.col("labelled") * F.col("all_bad") / F.col("all_n")) <= z * F.sqrt(F.col("labelled") * F.col("all_bad") / F.col("all_n") * (1 - F.col("all_bad") / F.col("all_n"))) + 1e-9
+    family = each.filter(some).groupBy("host", "family").agg(F.sum("labelled").alias("all_n"), F.sum("blocked").alias("all_bad"))
+    family = each.filter(some).join(family, ["host", "family"]).groupBy("host", "family").agg(F.first("all_n").alias("all_n"), F.first("all_bad").alias("all_bad"), F.bool_and(near_all).alias("all_alike"))
     pool = each.filter(known).groupBy("host", "family").agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_bad"), F.count("*").alias("branches"))
     one = each.join(pool, ["host", "family"], "left")
     p = F.col("pool_bad") / F.col("pool_n")
@@ -99,8 +115,10 @@ def purity(counted: DataFrame, least: int = LEAST, z: float = Z, weight: float =
     prior = total[1] / total[0] if total[0] else 0.0
     use = known & F.coalesce("alike", F.lit(False)) & (F.col("branches") > 1)
     n, bad = F.when(use, F.col("pool_n")).otherwise(F.col("labelled")), F.when(use, F.col("pool_bad")).otherwise(F.col("blocked"))
-    judged = one.join(merged, ["host", "family"], "left")
-    return judged.select("host", "template", (known & ((bad + weight * prior) / (n + weight) >= reject)).alias("rejected"))
+    judged = one.join(merged, ["host", "family"], "left").join(family, ["host", "family"], "left")
+    few = some & ~known & F.coalesce("all_alike", F.lit(False)) & (F.col("all_n") >= least)
+    by_family = few & ((F.col("all_bad") + weight * prior) / (F.col("all_n") + weight) >= reject)
+    return judged.select("host", "template", F.coalesce((known & ((bad + weight * prior) / (n + weight) >= reject)) | by_family, F.lit(False)).alias("rejected"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
