@@ -1,28 +1,34 @@
 """Benchmark decontamination over canonical templates, by DataFrame functions only.
 
-A text becomes template tokens: numbers, names (capitalised words inside a
-sentence) and units after a number turn into typed placeholders, the rest is
-lower-cased and loses its punctuation. Windows of WINDOW tokens of the documents
-meet those of the benchmark in a hash join; a document that holds COVER percent
-of an item's windows is a candidate. For candidates the slots are compared: each
-value in the item must stand for one value in the document, in SLOTS_OK percent
-of the slots. So a copy with other numbers or names is caught, and a text that
-merely has the same frame with unrelated fillings is not.
-
-Candidates whose slots don't agree over the whole document are judged again by
-occurrence: hits are grouped by document place minus item place, exactly and in
-overlapping bands of a quarter of the item (for copies with words put in). One
-group that holds COVER percent of the item's places and agrees is a leak; n_slots
-and n_slots_ok are then those of the best such group.
+A text is split at blanks and loses its punctuation. Each token gets a type: a
+number (it begins with a digit), a unit of measure after a number, a name
+(capitalised) or a word. Two views of a text are matched. In the first, numbers,
+units and names are typed placeholders, a run of names is one placeholder, and
+words are lower-cased; in the second, names are words too, so that a copy in other
+capitals is found. A window of WINDOW tokens without a word counts with its values
+instead of its types: "42" is found as "42" only.
+
+Windows of the documents meet those of the benchmark in a hash join, seeds first.
+Of each item the rarest windows are seeds, so many that a document without any
+can't hold COVER percent of the item's places; windows that many items share are
+seeds of few. Documents that hit a seed are candidates. Their windows are joined
+to the items' windows by hash, kept for candidate pairs only, and aligned: grouped
+by document place minus item place, exactly and in two overlapping rows of bands
+of a quarter of the item (for copies with words put in). An alignment is a leak if
+it holds COVER percent of the item's places and its slots agree: of the slots,
+counted in both directions, SLOTS_OK percent have the value that most often stands
+for theirs. Each alignment is judged by itself, so a document with an item and
+several re-parameterised copies of it is found through any of them.
 
 The benchmark side is broadcast if a count proves it small, else Spark sorts and
-merges. Document windows go through the join without a shuffle in the first case.
+merges. Document windows go through the first join without a shuffle in the first
+case; only ids of candidates are shuffled, and the windows that hit of these.
 
 Defined results: null and empty texts hold nothing; items of fewer than WINDOW
 tokens are matched as a whole; items without a token match nothing; repeated
 documents are each reported once per (doc_id, text, item); repeated items are
 reported under each item_id; a null doc_id is reported as null; extra columns are
-ignored, or pass through clean().
+ignored, or pass through clean(), but for _k and _t, which are made anew.
 """
 
 from __future__ import annotations
@@ -32,135 +38,139 @@ from pyspark.sql import functions as F
 
 from visitcast.llm.common import BROADCAST_ROWS, NO_ID, keyed, small, table, text_of, without, written
 
-WINDOW = 5
-COVER = 80
+WINDOW = 4
+COVER = 60
 SLOTS_OK = 80
-#: Units of measure that count as such after a number.
+#: Units of measure that count as such after a number, without punctuation.
 UNITS = (
-    "%", "km", "m", "cm", "mm", "mi", "ft", "in", "yd", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "s", "sec", "min", "h", "hr", "hrs",
-    "km/h", "mph", "m/s", "usd", "eur", "$", "€", "dollars", "euros", "cents", "meters", "metres", "kilometers", "kilometres", "miles", "feet",
-    "inches", "grams", "kilograms", "pounds", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years",
+    "km", "m", "cm", "mm", "mi", "ft", "in", "yd", "kg", "g", "mg", "lb", "lbs", "oz", "l", "ml", "s", "sec", "min", "h", "hr", "hrs", "kmh", "mph", "ms",
+    "usd", "eur", "percent", "dollars", "euros", "cents", "meters", "metres", "kilometers", "kilometres", "miles", "feet", "inches", "grams", "kilograms",
+    "pounds", "liters", "litres", "seconds", "minutes", "hours", "days", "weeks", "months", "years",
 )
 #: Patterns, valid in both Java and RE2.
-NAME = r"(\p{Ll},? )(\p{Lu}\p{Ll}+)"
-NUMBER = r"[+-]?[0-9]+(?:[.,:/][0-9]+)*"
-PUNCTUATION = r"[^\p{L}\p{M}\p{N}\x{1}\x{2}\x20\x09-\x0D]+"
-#: Characters that mark a placeholder: \x01 and its type, then \x02 and the value.
-MARK, VALUE = "\x01", "\x02"
+NAME = r"^\p{Lu}\p{Ll}+$"
+NUMBER = r"^[0-9]"
+PUNCTUATION = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
+SPLIT = r"[\x20\x09-\x0D]+"
+#: Types of tokens. A word stands in the arrays by its hash, the others by their type.
+WORD, NUM, NAM, UNIT = 0, 1, 2, 3
+
+
+def tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep`, low (lower-cased tokens) and kind (their types) of the column text."""
+    full = lambda x: F.filter(F.split(x, SPLIT), lambda w: w != "")
+    bare = docs.select(*keep, F.regexp_replace("text", PUNCTUATION, "").alias("bare"))
+    cut = bare.select(*keep, full(F.col("bare")).alias("toks"), full(F.lower("bare")).alias("low"))
+    digit = lambda w: w.between("0", ":") & (w != ":")  # noqa: E731  the same as NUMBER
+
+    def kind(w: Column, i: Column) -> Column:
+        unit = F.get("low", i).isin(*UNITS) & F.coalesce(digit(F.get("toks", i - 1)), F.lit(False))
+        return F.when(digit(w), NUM).when(unit, UNIT).when((w != F.get("low", i)) & w.rlike(NAME), NAM).otherwise(WORD)
+
+    return cut.select(*keep, "low", F.transform("toks", kind).alias("kind"))
+
+
+def _views(toks: DataFrame, keep: list[str]) -> DataFrame:
+    """view 0 (names are one placeholder a run) and 1 (names are words): t (type or hash of each token), v (hash), s (token)."""
+    at = toks.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("low") - 1), lambda i: ~((F.get("kind", i) == NAM) & F.coalesce(F.get("kind", i - 1) == NAM, F.lit(False))))).filter(F.size("low") > 0)
+    value = lambda i: F.xxhash64(F.get("low", i))
+    typed = lambda i: F.when(F.get("kind", i) == WORD, value(i)).otherwise(F.get("kind", i).cast("long"))
+    plain = lambda i: F.when(F.get("kind", i).isin(WORD, NAM), value(i)).otherwise(F.get("kind", i).cast("long"))
+    every = F.sequence(F.lit(0), F.size("low") - 1)
+    return at.select(
+        *keep,
+        F.transform("at", typed).alias("t0"), F.transform("at", value).alias("v0"), F.transform("at", lambda i: F.get("low", i)).alias("s0"),
+        F.transform(every, plain).alias("t1"), F.transform(every, value).alias("v1"), F.col("low").alias("s1"),
+    )
 
 
-def _unit_pattern() -> str:
-    listed = "|".join(u.replace("$", r"\$") for u in sorted(UNITS, key=lambda u: (-len(u), u)))
-    return rf"(?i)(\x{{1}}N\x{{2}}[0-9+.,:/-]+) *({listed})([ ,.;:!?)\n]|$)"
-
+def _places(n: Column, span: Column) -> Column:
+    return F.when(n >= span, F.sequence(F.lit(1), n - span + 1)).otherwise(F.array().cast("array<int>"))
 
-def tokens(text: Column) -> Column:
-    """Template tokens; a placeholder is MARK, its type N, U or P, VALUE and what it replaces."""
-    x = F.translate(text, MARK + VALUE, "  ")
-    x = F.regexp_replace(x, NAME, "$1\x01P\x02$2")
-    x = F.regexp_replace(x, NUMBER, " \x01N\x02$0 ")
-    x = F.regexp_replace(x, _unit_pattern(), "$1 \x01U\x02$2$3")
-    x = F.lower(F.regexp_replace(x, PUNCTUATION, ""))
-    return F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
+def _window(view: int, i: Column, span: Column) -> Column:
+    """Hash of the window at place i (from 1): of its types and words, or of its values if it holds no word."""
+    some = F.slice(f"t{view}", i, span)
+    bare = (F.array_min(some) >= NUM) & (F.array_max(some) <= UNIT)
+    return F.xxhash64(F.when(bare, F.slice(f"v{view}", i, span)).otherwise(some), bare, F.lit(view))
 
-def canonical(toks: Column) -> Column:
-    return F.transform(toks, lambda t: F.when(t.startswith(MARK), F.substring(t, 1, 2)).otherwise(t))
 
+def _slots(view: int, i: Column, span: Column) -> Column:
+    """(j, value) of the placeholders in the window at place i."""
+    both = F.zip_with(F.slice(f"t{view}", i, span), F.slice(f"s{view}", i, span), lambda t, s: F.struct(t.alias("t"), s.alias("s")))
+    numbered = F.transform(both, lambda x, j: F.struct(j.alias("j"), x["t"].alias("t"), x["s"].alias("s")))
+    return F.transform(F.filter(numbered, lambda x: x["t"].between(NUM, UNIT)), lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s")))
 
-def _places(n: Column, span: Column) -> Column:
-    return F.when(n >= span, F.sequence(F.lit(1), n - span + 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _hash(canon: Column, i: Column, span: Column) -> Column:
-    return F.xxhash64(F.slice(canon, i, span))
 
+def item_places(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """item_id, cls, h, span, item_at, slots, n_places: the windows of both views of each item; cls tells views and texts of items apart."""
+    items = _views(tokens(benchmark.select("item_id", text_of().alias("text")), ["item_id"]), ["item_id"])
 
-def _slots(toks: Column, i: Column, span: Column) -> Column:
-    return F.transform(F.filter(F.slice(toks, i, span), lambda t: t.startswith(MARK)), lambda t: F.substring_index(t, VALUE, -1))
+    def cut(view: int) -> Column:
+        n = F.size(f"t{view}")
+        span, cls = F.least(F.lit(window), n), F.xxhash64(f"s{view}", f"t{view}", F.lit(view))
+        return F.transform(_places(n, span), lambda i: F.struct(cls.alias("cls"), _window(view, i, span).alias("h"), span.alias("span"), i.alias("item_at"), _slots(view, i, span).alias("slots"), (n - span + 1).alias("n_places")))
 
+    return items.select("item_id", F.inline(F.concat(cut(0), cut(1))))
 
-def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, h, span, slots, n_windows: the distinct windows of each item."""
-    toks = benchmark.select("item_id", tokens(text_of()).alias("toks")).withColumn("canon", canonical(F.col("toks"))).filter(F.size("toks") > 0)
-    span = F.least(F.lit(window), F.size("toks"))
-    cut = F.transform(_places(F.size("toks"), span), lambda i: F.struct(_hash(F.col("canon"), i, span).alias("h"), span.alias("span"), _slots(F.col("toks"), i, span).alias("slots")))
-    found = toks.select("item_id", F.inline(cut)).groupBy("item_id", "h", "span").agg(F.min("slots").alias("slots"))
-    totals = found.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return found.join(totals.withColumnRenamed("item_id", "_i"), F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
 
+def _seeds(places: DataFrame, cover: int) -> DataFrame:
+    """h, cls: of each text of an item its rarest windows, one of which any text that covers it must hold."""
+    from pyspark.sql.window import Window
 
-def item_places(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, h, item_at, slots, n_places: each window of each item at each of its places; repeated items count once."""
-    toks = benchmark.select("item_id", tokens(text_of()).alias("toks")).distinct().withColumn("canon", canonical(F.col("toks"))).filter(F.size("toks") > 0)
-    span = F.least(F.lit(window), F.size("toks"))
-    places = _places(F.size("toks"), span)
-    cut = F.transform(places, lambda i: F.struct(_hash(F.col("canon"), i, span).alias("h"), i.alias("item_at"), _slots(F.col("toks"), i, span).alias("slots")))
-    return toks.select("item_id", F.xxhash64("toks").alias("variant"), F.size(places).alias("n_places"), F.inline(cut))
+    each = places.groupBy("cls", "h").agg(F.count("*").alias("times"), F.first("n_places").alias("n_places"))
+    rare = each.join(each.groupBy("h").agg(F.count("*").alias("shared")), "h")
+    before = F.coalesce(F.sum("times").over(Window.partitionBy("cls").orderBy("shared", "h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # The places outside the seeds are fewer than `cover` percent.
+    return rare.withColumn("before", before).filter(100 * (F.col("n_places") - F.col("before")) >= cover * F.col("n_places")).select("h", "cls")
 
 
 def _doc_windows(docs: DataFrame, spans: list[int], slots: bool) -> DataFrame:
-    toks = docs.select("_k", "_t", tokens(F.col("text")).alias("toks")).withColumn("canon", canonical(F.col("toks")))
-    place, canon, whole = F.size("toks"), F.col("canon"), F.col("toks")
+    """_k, _t and h of every window of both views, with its place and slots if asked for."""
+    views = _views(tokens(docs, ["_k", "_t"]), ["_k", "_t"])
 
-    def cut(span: Column) -> Column:
-        if slots:
-            return F.transform(_places(place, span), lambda i: F.struct(_hash(canon, i, span).alias("h"), i.alias("at"), _slots(whole, i, span).alias("slots")))
-        return F.transform(_places(place, span), lambda i: _hash(canon, i, span))
+    def cut(view: int, span: Column) -> Column:
+        one = lambda i: F.struct(_window(view, i, span).alias("h"), i.alias("at"), _slots(view, i, span).alias("slots"))
+        return F.transform(_places(F.size(f"t{view}"), span), one if slots else lambda i: _window(view, i, span))
 
-    parts = [cut(F.lit(s)) for s in spans]
-    each = F.concat(*parts)
-    return toks.select("_k", "_t", F.inline(each) if slots else F.explode(each).alias("h"))
+    each = F.concat(*[cut(view, F.lit(s)) for view in (0, 1) for s in spans])
+    return views.select("_k", "_t", F.inline(each) if slots else F.explode(each).alias("h"))
 
 
-def _by_occurrence(texts: DataFrame, rest: DataFrame, places: DataFrame, spans: list[int], cover: int, slots_ok: int, rows: int) -> DataFrame:
-    """_k, _t, _i, n_slots, n_slots_ok: the best occurrence of those pairs of `rest` that have one that covers the item and agrees."""
-    key = ["_k", "_t", "_i", "variant", "n_places", "width", "band"]
-    pair = _doc_windows(texts, spans, slots=True).join(rest.select("_k", "_t", F.col("item_id").alias("_i")), ["_k", "_t"])
-    theirs = places.select(F.col("item_id").alias("_i2"), F.col("h").alias("_h"), "variant", "n_places", "item_at", F.col("slots").alias("theirs"))
-    both = pair.join(small(theirs, rows), (F.col("h") == F.col("_h")) & F.col("_i").eqNullSafe(F.col("_i2")))
+def _aligned(hits: DataFrame, cover: int, slots_ok: int) -> DataFrame:
+    """_k, _t, cls, n_windows, n_found, n_slots, n_slots_ok: the best alignment of each pair that covers the item and agrees."""
+    key = ["_k", "_t", "cls", "n_places", "width", "band"]
     offset, wide = F.col("at") - F.col("item_at"), F.greatest(F.lit(2), F.ceil(F.col("n_places") / 4)).cast("int")
     half = (wide / 2).cast("int")
-    bands = F.array(*[F.struct(w.alias("width"), F.floor(x).cast("int").alias("band")) for w, x in ((F.lit(0), offset), (F.lit(1), offset / wide), (F.lit(2), (offset + half) / wide))])
-    hits = both.select("_k", "_t", "_i", "variant", "n_places", "item_at", "theirs", F.col("slots").alias("ours"), F.inline(bands))
-    found = hits.groupBy(*key, "item_at").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("n_at"))
-    full = found.filter(100 * F.col("n_at") >= cover * F.col("n_places")).drop("n_at")
-    mapped = hits.select(*key, F.inline(F.arrays_zip("theirs", "ours")))
-    counted = mapped.groupBy(*key, "theirs", "ours").agg(F.count("*").alias("n")).groupBy(*key, "theirs").agg(F.sum("n").alias("n"), F.max("n").alias("ok"))
-    agreed = counted.groupBy(*key).agg(F.sum("n").alias("n_slots"), F.sum("ok").alias("n_slots_ok")).filter(100 * F.col("n_slots_ok") >= slots_ok * F.col("n_slots"))
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"f.{c}")) for c in key]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    whole = agreed.alias("a").join(full.alias("f"), on, "left_semi")
-    best = F.max(F.struct((F.col("n_slots_ok") / F.col("n_slots")).alias("share"), "n_slots", "n_slots_ok"))
-    return whole.groupBy("_k", "_t", "_i").agg(best.alias("best")).select("_k", "_t", "_i", "best.n_slots", "best.n_slots_ok")
+    bands = F.array(*[F.struct(F.lit(w).alias("width"), F.floor(x).cast("int").alias("band")) for w, x in ((0, offset), (1, offset / wide), (2, (offset + half) / wide))])
+    every = hits.select("_k", "_t", "cls", "n_places", "item_at", "at", "theirs", "ours", F.inline(bands))
+    found = every.groupBy(*key, "item_at").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("n_found"))
+    full = written(found.filter(100 * F.col("n_found") >= cover * F.col("n_places")), "decontaminate-full")
+    pairs = every.join(full.select(*key), key, "left_semi").select(*key, "item_at", "at", F.inline(F.zip_with("theirs", "ours", lambda a, b: F.struct(a["j"].alias("j"), a["s"].alias("a"), b["s"].alias("b")))))
+    # A slot that several windows share counts once.
+    once = pairs.groupBy(*key, (F.col("item_at") + F.col("j")).alias("p"), (F.col("at") + F.col("j")).alias("q"), "a", "b").agg(F.lit(1).alias("one")).groupBy(*key, "a", "b").agg(F.count("*").alias("n"))
+    ways = once.select(*key, F.explode(F.array(F.struct(F.lit(0).alias("way"), F.col("a").alias("x")), F.struct(F.lit(1).alias("way"), F.col("b").alias("x")))).alias("w"), "n")
+    most = ways.groupBy(*key, "w").agg(F.sum("n").alias("n"), F.max("n").alias("ok")).groupBy(*key).agg(F.sum("n").alias("n_slots"), F.sum("ok").alias("n_slots_ok"))
+    judged = full.join(most, key, "left").fillna(0, ["n_slots", "n_slots_ok"]).filter(100 * F.col("n_slots_ok") >= slots_ok * F.col("n_slots"))
+    best = F.max(F.struct("n_found", "n_slots_ok", "n_slots", "n_places"))
+    return judged.groupBy("_k", "_t", "cls").agg(best.alias("b")).select("_k", "_t", "cls", F.col("b.n_places").alias("n_windows"), "b.n_found", "b.n_slots", "b.n_slots_ok")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: int = COVER, slots_ok: int = SLOTS_OK, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """_k, _t, item_id, n_windows, n_found, n_slots, n_slots_ok: documents that hold an item."""
-    items = written(item_windows(benchmark, window), "decontaminate-items")
+    """_k, _t, item_id, n_windows, n_found, n_slots, n_slots_ok: documents that hold an item, with the figures of its best view and alignment."""
+    items = written(item_places(benchmark, window), "decontaminate-items")
     spans = sorted({window, *(r[0] for r in items.select("span").distinct().collect())})  # `window` values at most
-    wanted = items.select("h", "item_id", "n_windows").distinct()
+    places = written(items.drop("item_id", "span").distinct(), "decontaminate-places")
+    names = written(items.select("item_id", "cls").distinct(), "decontaminate-names")
     base = keyed(docs.select("doc_id", text_of().alias("text")))
-    hits = _doc_windows(base, spans, slots=False).join(small(wanted, rows), "h")
-    found = hits.groupBy("_k", "_t", "item_id", "n_windows").agg(F.count_distinct("h").alias("n_found"))
-    candidates = written(found.filter(100 * F.col("n_found") >= cover * F.col("n_windows")), "decontaminate-candidates")
+    seeds = written(_seeds(places, cover), "decontaminate-seeds")
+    candidates = written(_doc_windows(base, spans, slots=False).join(small(seeds, rows), "h").select("_k", "_t", "cls").distinct(), "decontaminate-candidates")
     texts = base.join(small(candidates.select("_k", "_t").distinct(), rows), ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
-    pair = _doc_windows(texts, spans, slots=True).filter(F.size("slots") > 0).join(candidates.select("_k", "_t", "item_id"), ["_k", "_t"])
-    theirs = items.select(F.col("item_id").alias("_i"), F.col("h").alias("_h"), F.col("slots").alias("theirs"))
-    both = pair.join(small(theirs, rows), (F.col("h") == F.col("_h")) & F.col("item_id").eqNullSafe(F.col("_i")))
-    mapped = both.select("_k", "_t", "item_id", F.inline(F.arrays_zip(F.col("theirs").alias("theirs"), F.col("slots").alias("ours"))))
-    per_value = mapped.groupBy("_k", "_t", "item_id", "theirs", "ours").agg(F.count("*").alias("n")).groupBy("_k", "_t", "item_id", "theirs").agg(F.sum("n").alias("n"), F.max("n").alias("ok"))
-    slots = per_value.groupBy("_k", "_t", F.col("item_id").alias("_i")).agg(F.sum("n").alias("n_slots"), F.sum("ok").alias("n_slots_ok"))
-    joined = candidates.join(slots.withColumnsRenamed({"_k": "_k2", "_t": "_t2"}), (F.col("_k") == F.col("_k2")) & (F.col("_t") == F.col("_t2")) & F.col("item_id").eqNullSafe(F.col("_i")), "left")
-    out = joined.select("_k", "_t", "item_id", "n_windows", "n_found", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_slots_ok", F.lit(0)).alias("n_slots_ok"))
-    judged = written(out.withColumn("agrees", 100 * F.col("n_slots_ok") >= slots_ok * F.col("n_slots")), "decontaminate-judged")
-    rest = judged.filter(~F.col("agrees"))
-    texts = base.join(small(rest.select("_k", "_t").distinct(), rows), ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
-    single = _by_occurrence(texts, rest, item_places(benchmark, window), spans, cover, slots_ok, rows).withColumnsRenamed({"_k": "_k2", "_t": "_t2"})
-    again = rest.drop("n_slots", "n_slots_ok").join(single, (F.col("_k") == F.col("_k2")) & (F.col("_t") == F.col("_t2")) & F.col("item_id").eqNullSafe(F.col("_i")))
-    return judged.filter("agrees").drop("agrees").unionByName(again.select(*[c for c in judged.columns if c != "agrees"]))
+    hits = _doc_windows(texts, spans, slots=True).withColumnRenamed("slots", "ours").join(small(places.withColumnRenamed("slots", "theirs"), rows), "h")
+    hits = written(hits.join(small(candidates, rows), ["_k", "_t", "cls"], "left_semi"), "decontaminate-hits")
+    found = _aligned(hits, cover, slots_ok).join(small(names, rows), "cls")
+    best = F.max(F.struct("n_found", "n_slots_ok", "n_slots", "n_windows"))
+    return found.groupBy("_k", "_t", "item_id").agg(best.alias("b")).select("_k", "_t", "item_id", "b.n_windows", "b.n_found", "b.n_slots", "b.n_slots_ok")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -176,36 +186,44 @@ def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(source: str, benchmark: str = "benchmark") -> str:
-    """DuckDB text up to `leaked` (doc_id, item_id and figures); for items of WINDOW tokens or more and distinct doc_ids."""
-    v, unit = WINDOW, _unit_pattern().replace("?", "?")
-
-    def toks(text: str) -> str:
-        x = f"replace(replace(coalesce({text}, ''), chr(1), ' '), chr(2), ' ')"
-        x = f"regexp_replace({x}, '{NAME}', '\\1' || chr(1) || 'P' || chr(2) || '\\2', 'g')"
-        x = f"regexp_replace({x}, '{NUMBER}', ' ' || chr(1) || 'N' || chr(2) || '\\0 ', 'g')"
-        x = f"regexp_replace({x}, '{unit}', '\\1 ' || chr(1) || 'U' || chr(2) || '\\2\\3', 'g')"
-        x = f"lower(regexp_replace({x}, '{PUNCTUATION}', '', 'g'))"
-        return f"list_filter(string_split_regex({x}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
-
-    cut = f"""SELECT {{k}}, array_to_string(list_transform(toks[i:i + {v - 1}], lambda t: CASE WHEN starts_with(t, chr(1)) THEN t[1:2] ELSE t END), ' ') AS w,
-      list_transform(list_filter(toks[i:i + {v - 1}], lambda t: starts_with(t, chr(1))), lambda t: t[4:]) AS slots
-      FROM (SELECT {{k}}, toks, unnest(range(1, len(toks) - {v - 2})) AS i FROM {{t}})"""
-    return rf"""
-dc_item AS (SELECT item_id, {toks('text')} AS toks FROM {benchmark}),
-dc_iw AS (SELECT item_id, w, min(slots) AS slots FROM ({cut.format(k='item_id', t='dc_item')}) GROUP BY ALL),
-dc_n AS (SELECT item_id, count(*) AS n_windows FROM dc_iw GROUP BY item_id),
-dc_doc AS (SELECT doc_id, {toks('text')} AS toks FROM {source}),
-dc_hit AS MATERIALIZED (SELECT d.doc_id, i.item_id, d.w, d.slots AS ours, i.slots AS theirs FROM ({cut.format(k='doc_id', t='dc_doc')}) d JOIN dc_iw i USING (w)),
-dc_cand AS (
-  SELECT doc_id, item_id, n_windows, count(DISTINCT w) AS n_found FROM dc_hit JOIN dc_n USING (item_id) GROUP BY ALL
-  HAVING 100 * count(DISTINCT w) >= {COVER} * n_windows),
-dc_map AS (SELECT doc_id, item_id, theirs, ours, count(*) AS n FROM (SELECT doc_id, item_id, unnest(theirs) AS theirs, unnest(ours) AS ours FROM dc_hit) GROUP BY ALL),
+    """DuckDB text up to `leaked` (doc_id, item_id and figures), without seeds; for items of WINDOW tokens or more and distinct doc_ids."""
+    v = WINDOW
+    units = ", ".join(f"'{u}'" for u in UNITS)
+
+    def toks(key: str, t: str, name: str) -> str:
+        return rf"""
+{name}_w AS (SELECT {key}, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '{PUNCTUATION}', '', 'g'), '{SPLIT}'), lambda w: w <> '') AS w FROM {t}),
+{name}_k AS (SELECT {key}, list_transform(w, lambda x: lower(x)) AS low, list_transform(w, lambda x, i: CASE WHEN regexp_matches(x, '{NUMBER}') THEN 'N' WHEN lower(x) IN ({units}) AND i > 1 AND regexp_matches(w[i - 1], '{NUMBER}') THEN 'U' WHEN regexp_matches(x, '{NAME}') THEN 'P' ELSE '' END) AS kind FROM {name}_w),
+{name}_v AS (
+  SELECT {key}, 0 AS view, list_filter(list_transform(low, lambda x, i: CASE WHEN kind[i] = 'P' AND i > 1 AND kind[i - 1] = 'P' THEN NULL ELSE {{'t': CASE WHEN kind[i] = '' THEN x ELSE chr(1) || kind[i] END, 's': x, 'slot': kind[i] <> ''}} END), lambda z: z IS NOT NULL) AS z FROM {name}_k
+  UNION ALL
+  SELECT {key}, 1 AS view, list_transform(low, lambda x, i: {{'t': CASE WHEN kind[i] IN ('', 'P') THEN x ELSE chr(1) || kind[i] END, 's': x, 'slot': kind[i] IN ('N', 'U')}}) AS z FROM {name}_k),
+{name}_p AS (SELECT {key}, view, len(z) - {v - 1} AS n_places, i AS pos, z[i:i + {v - 1}] AS win FROM (SELECT {key}, view, z, unnest(range(1, len(z) - {v - 2})) AS i FROM {name}_v)),
+{name} AS (
+  SELECT {key}, view, n_places, pos, win, CASE WHEN len(list_filter(win, lambda y: y.slot)) = {v} THEN '=' || array_to_string(list_transform(win, lambda y: y.s), ' ') ELSE array_to_string(list_transform(win, lambda y: y.t), ' ') END AS h FROM {name}_p)"""
+
+    return rf"""{toks('item_id', benchmark, 'dc_i')},{toks('doc_id', source, 'dc_d')},
+dc_hit AS MATERIALIZED (
+  SELECT d.doc_id, i.item_id, i.view, i.n_places, i.pos AS item_at, d.pos AS pos, i.win AS theirs, d.win AS ours, d.pos - i.pos AS o, greatest(2, (i.n_places + 3) // 4) AS wide
+  FROM dc_d d JOIN dc_i i ON i.view = d.view AND i.h = d.h),
+dc_band AS (
+  SELECT *, unnest([0, 1, 2]) AS width, unnest([CAST(o AS BIGINT), CAST(floor(o / wide) AS BIGINT), CAST(floor((o + wide // 2) / wide) AS BIGINT)]) AS band FROM dc_hit),
+dc_full AS MATERIALIZED (
+  SELECT doc_id, item_id, view, n_places, width, band, count(DISTINCT item_at) AS n_found FROM dc_band GROUP BY ALL HAVING 100 * count(DISTINCT item_at) >= {COVER} * n_places),
 dc_slot AS (
-  SELECT doc_id, item_id, CAST(sum(n) AS BIGINT) AS n_slots, CAST(sum(ok) AS BIGINT) AS n_slots_ok
-  FROM (SELECT doc_id, item_id, theirs, sum(n) AS n, max(n) AS ok FROM dc_map GROUP BY ALL) GROUP BY ALL),
+  SELECT DISTINCT doc_id, item_id, view, width, band, item_at + j AS p, pos + j AS q, theirs[j].s AS a, ours[j].s AS b
+  FROM (SELECT b.*, unnest(range(1, {v + 1})) AS j FROM dc_band b SEMI JOIN dc_full f ON f.doc_id = b.doc_id AND f.item_id = b.item_id AND f.view = b.view AND f.width = b.width AND f.band = b.band) WHERE theirs[j].slot),
+dc_pair AS (SELECT doc_id, item_id, view, width, band, a, b, count(*) AS n FROM dc_slot GROUP BY ALL),
+dc_way AS (
+  SELECT doc_id, item_id, view, width, band, sum(n) AS n, max(n) AS ok FROM dc_pair GROUP BY doc_id, item_id, view, width, band, a
+  UNION ALL SELECT doc_id, item_id, view, width, band, sum(n) AS n, max(n) AS ok FROM dc_pair GROUP BY doc_id, item_id, view, width, band, b),
+dc_agree AS (SELECT doc_id, item_id, view, width, band, CAST(sum(n) AS BIGINT) AS n_slots, CAST(sum(ok) AS BIGINT) AS n_slots_ok FROM dc_way GROUP BY ALL),
+dc_best AS (
+  SELECT doc_id, item_id, CAST(n_places AS BIGINT) AS n_windows, n_found, coalesce(n_slots, 0) AS n_slots, coalesce(n_slots_ok, 0) AS n_slots_ok
+  FROM dc_full LEFT JOIN dc_agree USING (doc_id, item_id, view, width, band) WHERE 100 * coalesce(n_slots_ok, 0) >= {SLOTS_OK} * coalesce(n_slots, 0)),
 leaked AS (
-  SELECT doc_id, item_id, n_windows, n_found, coalesce(n_slots, 0) AS n_slots, coalesce(n_slots_ok, 0) AS n_slots_ok
-  FROM dc_cand LEFT JOIN dc_slot USING (doc_id, item_id) WHERE 100 * coalesce(n_slots_ok, 0) >= {SLOTS_OK} * coalesce(n_slots, 0))"""
+  SELECT doc_id, item_id, n_windows, n_found, n_slots, n_slots_ok FROM dc_best
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_found DESC, n_slots_ok DESC, n_slots DESC, n_windows DESC) = 1)"""
 
 
-ORACLE_SQL = f"WITH {_sql('documents')} SELECT *, true AS contaminated FROM leaked"
+ORACLE_SQL = f"WITH {_sql('documents')} SELECT doc_id, item_id, CAST(n_windows AS INTEGER) AS n_windows, n_found, n_slots, n_slots_ok, true AS contaminated FROM leaked"
