@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
 from helpers import documents, odd
 from pyspark.sql import functions as F
 
@@ -46,5 +48,22 @@ def test_shared_dir_is_the_sessions():
     """The cluster's folder is read from the session; only where it is unset is another made."""
     session = SimpleNamespace(conf={"spark.checkpoint.dir": "file:///tmp/of-the-cluster/"}, sparkContext=None)
     assert common.shared_dir(session) == "file:///tmp/of-the-cluster"
-    bare = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(applicationId="none", getCheckpointDir=lambda: None))
+    bare = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(applicationId="none", master="local[2]", getCheckpointDir=lambda: None))
     assert common.shared_dir(bare).startswith("file:///") and common.shared_dir(bare) == common.shared_dir(bare)
+    bare.sparkContext.master = "spark://somewhere:7077"
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(bare)
+
+
+def test_scratch_is_cleared(spark):
+    kept = common.written(spark.range(10), "test")
+    path = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists() and common.clear_scratch(spark) > 0
+    assert not path.exists() and common.clear_scratch(spark) == 0
+
+
+def test_spread_deals_small_scans(spark, tmp_path):
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/one")
+    scan = spark.read.parquet(f"{tmp_path}/one")
+    assert common.spread(scan).count() == 10 and common.spread(spark.range(10)) is not None
+    assert common.spread(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

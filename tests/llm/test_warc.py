@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from pathlib import Path
 
 import pytest
 from conftest import SMALL, duck_rows, rows
 
 from visitcast.llm import warc
+from visitcast.llm.common import scratch_path
 
 LONG = "<p>é\r\n\r\nWARC/1.1\r\n\r\n" + "x" * 120
 PAGES = [
@@ -33,12 +35,37 @@ def test_round_trip(spark, tmp_path, compression):
     assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got], key=repr) == sorted(want, key=repr)
     assert all(r.header_digest == r.payload_digest for r in got)
     files = list(Path(f"{tmp_path}/w").glob("part-*"))
-    seen = [x for p in files for x in warc.parse(p.read_bytes())]
+    seen = [x for p in files for x in warc.parse(p.read_bytes()) if x[0]["warc-type"] != "warcinfo"]
+    assert len({f["warc-record-id"] for f, _ in seen}) == len(PAGES) and len(files) > 3
+    if compression == "gzip":
+        assert all(_members(p.read_bytes()) for p in files)
     assert len(seen) == len(PAGES) and sum(b.partition(b"\r\n\r\n")[2] == LONG.encode() for _, b in seen) == 2
     assert all(len(b) == int(f["content-length"]) for f, b in seen)
     assert {f.get("warc-target-uri") for f, _ in seen} >= {"http://a/5%20x", None}
 
 
+def _members(data: bytes) -> list[bytes]:
+    """The content of each gzip member: one record, or nothing between two."""
+    out = []
+    while data:
+        z = zlib.decompressobj(31)
+        out.append(z.decompress(data))
+        assert z.eof and len(list(warc.parse(out[-1]))) <= 1
+        data = z.unused_data
+    return out
+
+
+def test_responses_are_not_joined(spark):
+    """A hot payload's revisits and many responses: all come back, once each, also where nothing may be broadcast."""
+    pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", f"IF(id % 3 = 0, '{'h' * 200}', repeat(string(id), 100)) AS html", "'x' AS digest", "1 AS size", "'p' AS payload", "'r' AS record_type", "2 AS row")
+    for limit in (0, 1000):
+        path = scratch_path(spark, "warc")
+        warc.write(warc.typed(pages, rows=limit), path)
+        got = warc.resolve(warc.read(spark, path), rows=limit).collect()
+        assert len(got) == 300 and sum(r.record_type == "revisit" for r in got) == 99 == sum(r.refers_to == 0 for r in got)
+        assert all(r.payload_bytes and r.payload_digest for r in got)
+
+
 def test_broken_archives():
     good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert len(list(warc.parse(good * 2))) == 2 and list(warc.parse(b"")) == []

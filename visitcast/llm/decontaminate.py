@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import BROADCAST_ROWS, NO_ID, keyed, small, table, text_of, without, written
+from visitcast.llm.common import BROADCAST_ROWS, NO_ID, keyed, small, spread, table, text_of, without, written
 
 WINDOW = 4
 COVER = 60
@@ -64,7 +64,7 @@ def tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
     digit = lambda w: w.between("0", ":") & (w != ":")  # noqa: E731  the same as NUMBER
 
     def kind(w: Column, i: Column) -> Column:
-        unit = F.get("low", i).isin(*UNITS) & F.coalesce(digit(F.get("toks", i - 1)), F.lit(False))
+        unit = F.coalesce(digit(F.get("toks", i - 1)), F.lit(False)) & F.get("low", i).isin(*UNITS)
         return F.when(digit(w), NUM).when(unit, UNIT).when((w != F.get("low", i)) & w.rlike(NAME), NAM).otherwise(WORD)
 
     return cut.select(*keep, "low", F.transform("toks", kind).alias("kind"))
@@ -73,7 +73,7 @@ def tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
 def _views(toks: DataFrame, keep: list[str]) -> DataFrame:
     """view 0 (names are one placeholder a run) and 1 (names are words): t (type or hash of each token), v (hash), s (token)."""
     at = toks.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("low") - 1), lambda i: ~((F.get("kind", i) == NAM) & F.coalesce(F.get("kind", i - 1) == NAM, F.lit(False))))).filter(F.size("low") > 0)
-    value = lambda i: F.xxhash64(F.get("low", i))
+    value = lambda i: F.xxhash64(F.get("low", i)).bitwiseOR(F.lit(-(1 << 63)))  # noqa: E731  below all types
     typed = lambda i: F.when(F.get("kind", i) == WORD, value(i)).otherwise(F.get("kind", i).cast("long"))
     plain = lambda i: F.when(F.get("kind", i).isin(WORD, NAM), value(i)).otherwise(F.get("kind", i).cast("long"))
     every = F.sequence(F.lit(0), F.size("low") - 1)
@@ -91,8 +91,7 @@ def _places(n: Column, span: Column) -> Column:
 def _window(view: int, i: Column, span: Column) -> Column:
     """Hash of the window at place i (from 1): of its types and words, or of its values if it holds no word."""
     some = F.slice(f"t{view}", i, span)
-    bare = (F.array_min(some) >= NUM) & (F.array_max(some) <= UNIT)
-    return F.xxhash64(F.when(bare, F.slice(f"v{view}", i, span)).otherwise(some), bare, F.lit(view))
+    return F.xxhash64(F.when(F.array_min(some) > 0, F.slice(f"v{view}", i, span)).otherwise(some), F.lit(view))
 
 
 def _slots(view: int, i: Column, span: Column) -> Column:
@@ -180,7 +179,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     """One row for each leak: a document that holds a benchmark item."""
-    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = leaks(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
     ids = F.when(F.col("_k") != NO_ID, F.col("_k"))
     return found.select(ids.alias("doc_id"), "item_id", "n_windows", "n_found", "n_slots", "n_slots_ok", F.lit(True).alias("contaminated"))
 

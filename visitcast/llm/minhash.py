@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import BROADCAST_ROWS, keyed, modest_batches, small, table, text_of, without, written
+from visitcast.llm.common import BROADCAST_ROWS, keyed, modest_batches, small, spread, table, text_of, without, written
 from visitcast.llm.text_bytes import mix, pieces, tidied, word_hashes
 
 BANDS, ROWS = 24, 3
@@ -324,7 +324,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return components(table(spark, sf_dir, "documents"), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
+    return components(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), width=3, percent=85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _sql(source: str, width: int, percent: int) -> str:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import modest_batches, sampled, table, text_of
+from visitcast.llm.common import modest_batches, sampled, spread, table, text_of
 from visitcast.llm.text_bytes import pieces, tidied, word_hashes
 
 PASSAGE = 64
@@ -177,6 +177,6 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
 
 
 def op6_attention_quality(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

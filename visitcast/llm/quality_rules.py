@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitcast.llm.common import BLANKS, keyed, table, text_of, without, written
+from visitcast.llm.common import BLANKS, keyed, spread, table, text_of, without, written
 
 #: Highest bin of the sketches; larger values fall into it.
 TOP = 5000
@@ -142,7 +142,7 @@ def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents"))
+    judged = judge(spread(table(spark, sf_dir, "documents")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

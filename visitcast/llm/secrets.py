@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import sampled, table
+from visitcast.llm.common import sampled, spread, table
 
 #: The base patterns in order of rank. Letters of the assign keywords match in either case.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -125,7 +125,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op8_secret_scan(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = scan(docs)
     count = lambda c: F.size(c).cast("long").alias(f"n_{c}")
     base = F.concat("assign", "access", "hex")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from visitcast.llm.common import modest_batches, table
+from visitcast.llm.common import modest_batches, spread, table
 from visitcast.llm.text_bytes import tidied
 
 MARKER = "▁"
@@ -223,5 +223,5 @@ def decode(rows: DataFrame, column: str = "token_ids", model: bytes | None = Non
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Ids of every whole text and whether decoding gives the text back."""
-    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False)
     return found.selectExpr("doc_id", "_n_tokens AS n_tokens", "_token_ids AS token_ids", "_round_trip AS round_trip")

@@ -1,65 +1,68 @@
 """WARC archives with revisit resolution.
 
-Headers (id, size, digest of the payload) are shuffled by digest; of records with
-equal payloads of at least LEAST bytes the one with the smallest id stays a
-response, the others become revisits that refer to it. Archives are written by
-Spark's own writer into the shared folder, each record complete with fresh
-headers, in files of about ARCHIVE bytes. Reading parses records by their
-Content-Length and joins revisits to the responses they refer to.
-
-Only ids and digests take part in the joins; payloads move once, to be dealt out to
-the archives. A hot digest is counted by partial aggregation and joined where
-adaptive execution can split it.
+The payloads are hashed once, into a narrow table of headers and a table of rows.
+Headers are shuffled by digest; of records with equal payloads of at least LEAST
+bytes the one with the smallest id stays a response, the others become revisits
+that refer to it. Archives hold one gzip member a record, each with fresh headers
+(a date of the run, an id of its own), after a `warcinfo` record; Spark's own
+writer puts them into the shared folder, in files of about ARCHIVE bytes. Reading
+parses records by their Content-Length; only revisits are joined to the responses
+that they refer to.
+
+Payloads don't go through a shuffle as long as a count proves that the digests that
+occur more than once can be broadcast; beyond, they move once, in a join that
+adaptive execution can split.
 
 Defined results: a null payload is an empty one; records below LEAST bytes are all
 responses; a null id comes last, so such a record revisits another if there is one;
-rows that repeat an id and its payload are each a response; a null URL leaves its
-header out; blanks in a URL are written %20; an empty table gives an empty archive
-and no rows; extra columns are ignored.
+rows that repeat an id and its payload are each a response, with ids of their own; a
+null URL leaves its header out; blanks in a URL are written %20; an empty table gives
+no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
-import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import BROADCAST_ROWS, modest_batches, shared_dir, small, table, written
+from visitcast.llm.common import BROADCAST_ROWS, modest_batches, scratch_path, small, table, written
 
 LEAST = 100
 ARCHIVE = 16 << 20
-DATE = "2000-01-01T00:00:00Z"
 NL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to_id string, header_digest string, payload_bytes long, payload_digest string"
+#: An empty gzip member. Spark's text writer puts something between records: this leaves the archive's content as it is.
+NOTHING = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 
 
-def _record_id(page_id: Column, digest: Column) -> Column:
-    key = F.md5(F.concat_ws("/", F.coalesce(page_id.cast("string"), F.lit("-")), digest))
+def _record_id(page_id: Column, digest: Column, row: Column) -> Column:
+    key = F.md5(F.concat_ws("/", F.coalesce(page_id.cast("string"), F.lit("-")), digest, row.cast("string")))
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
 
 
 def typed(pages: DataFrame, least: int = LEAST, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """page_id, url, payload, size, digest, and first_id and first_url where the record is a revisit."""
+    """page_id, url, payload, size, digest, row (a number of its own), and first_id, first_url and first_row where the record is a revisit."""
     full = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"))
-    full = full.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    heads = full.filter(F.col("size") >= least).select("page_id", "url", "digest")
-    firsts = heads.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n"))
-    firsts = written(firsts.filter("n > 1 AND first IS NOT NULL").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url")), "warc-firsts")
+    full = written(full.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256), "row": F.monotonically_increasing_id()}), "warc-rows")
+    heads = full.filter(F.col("size") >= least).select("page_id", "url", "digest", "row")
+    firsts = heads.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row", "url"))).alias("first"), F.count("*").alias("n"))
+    firsts = written(firsts.filter("n > 1 AND first IS NOT NULL").select("digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), F.col("first.row").alias("first_row")), "warc-firsts")
     revisit = (F.col("size") >= least) & F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")))
-    return full.join(small(firsts, rows), "digest", "left").select("page_id", "url", "payload", "size", "digest", F.when(revisit, F.col("first_id")).alias("first_id"), F.when(revisit, F.col("first_url")).alias("first_url"))
+    return full.join(small(firsts, rows), "digest", "left").select("page_id", "url", "payload", "size", "digest", "row", *[F.when(revisit, F.col(c)).alias(c) for c in ("first_id", "first_url", "first_row")])
 
 
 def _uri(url: Column) -> Column:
     return F.regexp_replace(url, r"[\x00-\x20\x7F]", "%20")
 
 
-def record(df: DataFrame) -> Column:
+def record(df: DataFrame, date: str) -> Column:
     """The text of a WARC/1.1 record less the blank lines after its block."""
     revisit = F.col("first_id").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{NL}Content-Type: text/html; charset=utf-8{NL}Content-Length: "), F.col("size").cast("string"), F.lit(NL * 2))
@@ -69,12 +72,13 @@ def record(df: DataFrame) -> Column:
         "",
         F.lit(f"WARC/1.1{NL}"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
-        line("WARC-Date", F.lit(DATE)),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"), F.col("row"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", _uri(F.col("url"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{NL}"), line("WARC-Refers-To", _record_id(F.col("first_id"), F.col("digest"))))),
+        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}{NL}"), line("WARC-Refers-To", _record_id(F.col("first_id"), F.col("digest"), F.col("first_row"))))),
         F.when(revisit, line("WARC-Refers-To-Target-URI", _uri(F.col("first_url")))),
+        F.when(revisit, line("WARC-Refers-To-Date", F.lit(date))),
         line("X-Page-ID", F.col("page_id").cast("string")),
         F.lit(f"Content-Type: application/http; msgtype=response{NL}"),
         line("Content-Length", F.octet_length(block).cast("string")),
@@ -83,11 +87,38 @@ def record(df: DataFrame) -> Column:
     return F.concat(head, block)
 
 
+def _info(date: str) -> bytes:
+    block = f"format: WARC File Format 1.1{NL}".encode()
+    key = hashlib.md5(date.encode()).hexdigest()
+    name = f"<urn:uuid:{key[:8]}-{key[8:12]}-{key[12:16]}-{key[16:20]}-{key[20:]}>"
+    return f"WARC/1.1{NL}WARC-Type: warcinfo{NL}WARC-Record-ID: {name}{NL}WARC-Date: {date}{NL}Content-Type: application/warc-fields{NL}Content-Length: {len(block)}{NL * 2}".encode() + block
+
+
+def _members(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
+    """One gzip member a record; a task's first is a `warcinfo` record."""
+    yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(_info(date) + b"\r\n\r\n", mtime=0)])], ["member"])
+    for batch in batches:
+        packed = [gzip.compress(x.as_buffer().to_pybytes() + b"\r\n\r\n", 6, mtime=0) for x in batch.column("value")]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
+
+
 def write(records: DataFrame, path: str, archive: int = ARCHIVE, compression: str = "gzip") -> None:
-    """Writes typed() records as archives of about `archive` bytes, before compression, below `path`."""
-    total = records.agg(F.coalesce(F.sum(F.when(F.col("first_id").isNull(), F.col("size")).otherwise(0) + 700), F.lit(0))).first()[0]
-    dealt = records.repartition(max(1, -(-total // archive)), F.xxhash64("page_id", "digest"))
-    dealt.select(record(dealt).alias("value")).write.option("lineSep", NL * 2).option("compression", compression).text(path)
+    """Writes typed() records as archives of about `archive` bytes, before compression, below `path`.
+
+    A task writes a new file after so many records as hold that many bytes on average.
+    """
+    spark, date = records.sparkSession, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    total, n = records.agg(F.coalesce(F.sum(F.when(F.col("first_id").isNull(), F.col("size")).otherwise(0) + 700), F.lit(0)), F.count("*")).first()
+    each = max(1, archive * n // max(1, total))
+    lines = records.select(record(records, date).alias("value"))
+    writer = lambda df: df.write.option("maxRecordsPerFile", each)
+    if compression == "none":
+        writer(lines).option("lineSep", NL * 2).text(path)
+        return
+    modest_batches(spark)
+    # The bytes of the members pass as they are: the writer takes strings for bytes, and the separator in this encoding.
+    packed = lines.mapInArrow(lambda it: _members(it, date), "member binary").select(F.col("member").cast("string").alias("value"))
+    writer(packed).option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -120,7 +151,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64() if " long" in x else pa.string() for x in SCHEMA.split(", ")]
     for batch in batches:
         for content in batch.column("content"):
-            rows = [_row(*x) for x in parse(content.as_py())]
+            rows = [_row(*x) for x in parse(content.as_py()) if x[0]["warc-type"] != "warcinfo"]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -132,18 +163,25 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_read, SCHEMA)
 
 
-def resolve(records: DataFrame) -> DataFrame:
-    """records with refers_to, and revisits with the size and digest of the response they refer to."""
-    original = records.filter("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("_bytes"), F.min("payload_digest").alias("_digest"))
-    joined = records.join(original, "refers_to_id", "left")
-    return joined.withColumns({"payload_bytes": F.coalesce("payload_bytes", "_bytes"), "payload_digest": F.coalesce("payload_digest", "_digest")}).drop("_bytes", "_digest")
+def resolve(records: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """records with refers_to, and revisits with the size and digest of the response they refer to.
+
+    Responses pass without a join. Those that revisits name are few or one a revisit; the
+    revisits of a hot response meet it in a broadcast, or in a join that can be split.
+    """
+    records = written(records, "warc-records")
+    responses, revisits = records.filter("record_type != 'revisit'"), records.filter("record_type = 'revisit'")
+    named = written(revisits.select("refers_to_id").distinct(), "warc-named")
+    original = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    original = written(original.join(small(named, rows), "refers_to_id", "left_semi"), "warc-originals")
+    joined = revisits.drop("payload_bytes", "payload_digest").join(small(original, rows), "refers_to_id", "left").withColumnsRenamed({"_bytes": "payload_bytes", "_digest": "payload_digest"})
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined)
 
 
 def op10_warc_revisits(spark, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(typed(table(spark, sf_dir, "pages")), path)
-    found = resolve(written(read(spark, path), "warc-records"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    path = scratch_path(spark, "warc")
+    write(typed(table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    return resolve(read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = f"""
