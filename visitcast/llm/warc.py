@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
@@ -124,7 +125,7 @@ def write(records: DataFrame, path: str, archive: int = ARCHIVE, compression: st
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()  # gzip.decompress() copies the rest of the file at each member
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
