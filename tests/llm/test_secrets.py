@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 from conftest import SMALL
 from helpers import documents, empty, odd
@@ -64,6 +65,50 @@ def test_markov_leaves_base_spans(spark):
     assert len(r.assign) == 1 and all(m.start >= r.assign[0].end for m in r.markov)
 
 
+def _score(token: str, ratios: list[float]) -> float:
+    code = [secrets.ALPHABET.index(c) + 1 if c in secrets.ALPHABET else 0 for c in token]
+    return sum(ratios[a * secrets.SIZE + b] for a, b in zip(code, code[1:], strict=False))
+
+
+def _brute(text: str, ratios: list[float], margin: float = secrets.MARGIN) -> list[tuple[int, int]]:
+    """Places of the tokens outside all base spans that are likelier random, by a loop over Python's matches."""
+    bare = list(text)
+    for _, p, g, least in PATTERNS:
+        for m in p.finditer(text):
+            if len(m[g]) >= least:
+                bare[m.start() : m.end()] = " " * (m.end() - m.start())
+    return [(m.start(), m.end()) for m in re.finditer(secrets.CANDIDATE, "".join(bare)) if _score(m[0], ratios) > margin]
+
+
+def test_markov_equals_brute_force(spark):
+    """On the tables' texts and on texts of tokens around the least length, some beside base spans."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()}
+    r = random.Random(3)
+    pick = lambda n: "".join(r.choice(string.ascii_letters + string.digits + "+/_-") for _ in range(n))
+    ratios = secrets.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    texts |= {10_000 + i: f"é {pick(r.randint(10, 40))} AKIA{'Q' * 16}/{pick(30)} {'ab01' * 5}{pick(r.randint(8, 30))}, token={pick(15)}" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: [(s.start, s.end) for s in x.markov] for x in secrets.scan(docs, ratios).select("doc_id", "markov").collect()}
+    want = {i: _brute(t, ratios) for i, t in texts.items()}
+    assert got == want and sum(map(len, want.values())) > 60
+
+
+def test_many_matches_in_one_text(spark):
+    """The work on one text grows with its length, not with the square of its matches."""
+    r = random.Random(8)
+    text = " ".join(f"{r.getrandbits(64):016x}" for _ in range(100_000))
+    began = time.monotonic()
+    got = secrets.scan(documents(spark, [text]), [0.0] * secrets.SIZE**2).selectExpr("size(hex) AS n", "hex[99999].end AS last", "size(markov) AS m").first()
+    assert (got.n, got.last, got.m) == (100_000, len(text), 0)
+    assert time.monotonic() - began < 60
+
+
+def test_sample_holds_secrets_where_they_are_rare(spark):
+    docs = documents(spark, ["plain words only here"] * 300 + ["secret = 0aB9zQ7kL2mN4pR8"])
+    rare, none = secrets.fit(docs, sample=20), secrets.fit(documents(spark, ["plain words only here"] * 300), sample=20)
+    assert _score("0aB9zQ7kL2mN4pR8", rare) > _score("0aB9zQ7kL2mN4pR8", none)
+
+
 def test_odd_rows(spark):
     got = secrets.scan(odd(spark))
     assert got.count() == 12 and got.columns[:13] == odd(spark).columns

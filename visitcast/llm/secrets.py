@@ -1,19 +1,24 @@
 """Secret scan: fixed patterns, then two character Markov models, by DataFrame functions only.
 
-Three patterns give the base spans. Beyond them, every token of TOKEN characters
-or more that overlaps no base span is scored under two first-order Markov models:
+Three patterns give the base spans. What they leave of a text is cut into tokens;
+those of TOKEN characters or more are scored under two first-order Markov models:
 of random strings, trained on the values of base spans, and of ordinary
-identifiers, trained on the other tokens of the same labelled documents. A token
-whose log-likelihood ratio exceeds MARGIN nats is a span of kind `markov`.
+identifiers, trained on the other tokens of labelled documents. A token whose
+log-likelihood ratio exceeds MARGIN nats is a span of kind `markov`; short tokens
+must be the more unlike identifiers to reach it.
 
-The models are fitted on at most `sample` documents (those with the smallest hash
-of doc_id and text), a documented bound; scoring reads every whole text. Only the two
-tables of pair counts (at most 66 * 66 rows each) reach the driver.
+The models are fitted on at most `sample` documents, a documented bound: half of them
+drawn from documents that hold a base span, half from all (those with the smallest
+hash of doc_id and text). Scoring reads every whole text. Only the two tables of pair
+counts (at most 66 * 66 rows each) reach the driver.
+
+The work on a text of n characters and m matches is n + m log m: places are running
+sums by doubling, and nothing compares matches with matches.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned
-each; with no base span in the sample the random model is uniform; an empty
-table gives no rows. Places are code points, ends exclusive. A U+0001 in a text is
-read as U+0002, which no pattern contains.
+each; with no base span in the table the random model is uniform; an empty
+table gives no rows; columns named like a result are replaced by it. Places are code
+points, ends exclusive. A U+0001 in a text is read as U+0002, which no pattern contains.
 """
 
 from __future__ import annotations
@@ -35,46 +40,72 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of tokens; the models know these and "other" (0).
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
-TOKEN = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = 16
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
 MARGIN = 12.0
 #: Weight of the single characters' shares in the pairs' shares, as a count.
 BACKOFF = 10.0
 SAMPLE = 2000
 
 
-def _found(text: Column, pattern: str, kind: str, ok=None) -> Column:
-    """Spans of the matches of `pattern`: an array of (start, rank, end, what)."""
-    pieces = F.split(F.regexp_replace(text, pattern, "\x01$0\x01"), "\x01")
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,what:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("spans"))
+SPANS = "array<struct<start:int,rank:int,end:int,what:string>>"
+
+
+def _cut(text: Column, pattern: str) -> Column:
+    """text in pieces: those at odd places (from 0) are the matches of `pattern`, the others what lies between."""
+    return F.split(F.regexp_replace(text, pattern, "\x01$0\x01"), "\x01")
+
+
+def _running(values: Column) -> Column:
+    """Running sums of an array: in round k each element takes in the one 2^k places before it."""
+    rounds = F.sequence(F.lit(0), F.length(F.bin(F.size(values).cast("long"))) - 1)
+    step = lambda acc, k: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - F.pow(F.lit(2), k).cast("int")), F.lit(0)))
+    return F.aggregate(rounds, values, step)
 
-    def step(s: Column, x: Column) -> Column:
-        end = s["at"] + F.length(x)
-        span = F.struct(s["at"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), end.alias("end"), x.alias("what"))
-        good = s["match"] if ok is None else s["match"] & ok(x)
-        return F.struct(end.alias("at"), (~s["match"]).alias("match"), F.when(good, F.array_append(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    return F.aggregate(pieces, start, step, lambda s: s["spans"])
+def _spans(pieces: Column, ends: Column, kind: str, ok=None) -> Column:
+    """The matches among `pieces` (which end at `ends`) as SPANS."""
+    odd = F.when(F.size(pieces) > 2, F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    good = odd if ok is None else F.filter(odd, lambda i: ok(F.get(pieces, i)))
+    return F.transform(good, lambda i: F.struct(F.get(ends, i - 1).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.get(ends, i).alias("end"), F.get(pieces, i).alias("what")))
 
 
 def _value(match: Column) -> Column:
     return F.regexp_extract(match, ASSIGN, 2)
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with _text and the arrays assign, access and hex."""
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,what:string>>")
-    rows = docs.withColumn("_text", F.replace(F.coalesce("text", F.lit("")), F.lit("\x01"), F.lit("\x02")))
-    low, text = F.lower("_text"), F.col("_text")
-    keyword = F.lit(False)
+def _matched(rows: DataFrame, text: str, kind: str, pattern: str, there: Column, ok=None) -> DataFrame:
+    """rows with the spans of `pattern` in the column `text` as a column named `kind`; `there`: whether there can be any."""
+    none = F.array().cast(SPANS)
+    cut = rows.withColumn("_p", F.when(there, _cut(F.col(text), pattern)))
+    cut = cut.withColumn("_e", F.when(F.col("_p").isNotNull(), _running(F.transform("_p", lambda x: F.length(x)))))
+    return cut.withColumn(kind, F.when(F.col("_p").isNotNull(), _spans(F.col("_p"), F.col("_e"), kind, ok)).otherwise(none)).drop("_p", "_e")
+
+
+def _long_value(match: Column) -> Column:
+    return F.length(_value(match)) >= 12
+
+
+def _there(text: Column) -> dict[str, Column]:
+    low, keyword = F.lower(text), F.lit(False)
     for k in KEYWORDS:
         keyword = keyword | low.contains(k)
-    return rows.withColumns({
-        "assign": F.when(keyword, _found(text, ASSIGN, "assign", lambda x: F.length(_value(x)) >= 12)).otherwise(none),
-        "access": F.when(text.contains("AKIA"), _found(text, ACCESS, "access")).otherwise(none),
-        "hex": F.when(text.rlike(HEX), _found(text, HEX, "hex")).otherwise(none),
-    })
+    return {"assign": keyword, "access": text.contains("AKIA"), "hex": text.rlike(HEX)}
+
+
+def base_spans(docs: DataFrame) -> DataFrame:
+    """docs with _text and the arrays assign, access and hex."""
+    rows = docs.drop("_text", *KINDS).withColumn("_text", F.replace(F.coalesce("text", F.lit("")), F.lit("\x01"), F.lit("\x02")))
+    there = _there(F.col("_text"))
+    rows = _matched(rows, "_text", "assign", ASSIGN, there["assign"], _long_value)
+    rows = _matched(rows, "_text", "access", ACCESS, there["access"])
+    return _matched(rows, "_text", "hex", HEX, there["hex"])
+
+
+def _blanked(text: Column, pattern: str, there: Column, ok=None) -> Column:
+    """text with blanks in place of the matches."""
+    hide = lambda x, i: F.when((i % 2 == 1) & (F.lit(True) if ok is None else ok(x)), F.repeat(F.lit(" "), F.length(x))).otherwise(x)
+    return F.when(there, F.array_join(F.transform(_cut(text, pattern), hide), "")).otherwise(text)
 
 
 def _codes(token: Column) -> Column:
@@ -83,7 +114,11 @@ def _codes(token: Column) -> Column:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratios (random against ordinary) of the pairs of codes, row by row."""
-    some = base_spans(sampled(docs.select("doc_id", "text"), sample, "doc_id", "text"))
+    rows = docs.select("doc_id", "text")
+    there = _there(F.col("text"))
+    bearing = rows.filter((there["assign"] & F.col("text").rlike(ASSIGN.replace("]+)", "]{12,})"))) | (there["access"] & F.col("text").rlike(ACCESS)) | there["hex"])
+    drawn = sampled(bearing, sample // 2, "doc_id", "text").unionByName(sampled(rows, sample - sample // 2, "doc_id", "text"))
+    some = base_spans(drawn.repartition(16))
     secret = F.concat(F.transform("assign", lambda s: _value(s["what"])), F.transform("access", lambda s: s["what"]), F.transform("hex", lambda s: s["what"]))
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
@@ -108,15 +143,17 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, margin: float = MAR
     if len(ratios) != SIZE * SIZE:
         raise ValueError(f"{SIZE * SIZE} ratios are needed")
     table_ = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    found = base_spans(docs).withColumn("_long", F.when(F.col("_text").rlike(CANDIDATE), _found(F.col("_text"), CANDIDATE, "markov")).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,what:string>>")))
-    base = F.concat("assign", "access", "hex")
+    found = base_spans(docs)
+    there = _there(F.col("_text"))
+    for kind, pattern, ok in (("assign", ASSIGN, _long_value), ("access", ACCESS, None), ("hex", HEX, None)):
+        found = found.withColumn("_text", _blanked(F.col("_text"), pattern, there[kind] & (F.size(kind) > 0), ok))
+    found = _matched(found, "_text", "markov", CANDIDATE, F.col("_text").rlike(CANDIDATE))
 
     def score(token: Column) -> Column:
         codes = _codes(token)
         return F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(token)), lambda a, b: F.coalesce(F.get(table_, a * SIZE + b), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
-    fresh = F.filter("_long", lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("markov", F.filter(fresh, lambda m: score(m["what"]) > margin)).drop("_text", "_long")
+    return found.withColumn("markov", F.filter("markov", lambda m: score(m["what"]) > margin)).drop("_text")
 
 
 def _joined(spans: Column) -> Column:
