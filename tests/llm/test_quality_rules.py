@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from conftest import SMALL, duck_rows, rows
 from helpers import documents, empty, odd
+from pyspark.sql import functions as F
 
 from visitcast.llm import quality_rules as q
 
@@ -27,15 +30,40 @@ def test_fences_adapt(spark):
     """The same share of capitals is normal in one source and an outlier in the other."""
     base = [f"w{i} x{i * 7 % 13} y{i * 3 % 17}" for i in range(30)]
     plain, loud = " ".join(base), " ".join(w.upper() if k % 2 else w for k, w in enumerate(" ".join(base).split()))
-    df = documents(spark, [plain] * 60 + [loud], source="quiet").unionByName(documents(spark, [loud] * 60, source="loud"))
-    got = {(r.source, r.f_upper > 200): r.kept for r in q.judge(df, min_docs=50).collect()}
-    assert got == {("quiet", False): True, ("quiet", True): False, ("loud", True): True}
+    df = documents(spark, [plain] * 300 + [loud], source="quiet").unionByName(documents(spark, [loud] * 300, source="loud"))
+    for rows_ in (0, 1000):
+        got = {(r.source, r.f_upper > 20_000): r.kept for r in q.judge(df, rows=rows_).collect()}
+        assert got == {("quiet", False): True, ("quiet", True): False, ("loud", True): True}
 
 
-def test_small_groups_use_the_language(spark):
+def test_small_groups_lean_on_the_language(spark):
     base = " ".join(f"w{i} x{i * 7 % 13}" for i in range(40))
     df = documents(spark, [base] * 50, source="many").unionByName(documents(spark, [base.upper()], source="few"))
-    assert {r.source: r.kept for r in q.judge(df, min_docs=20).collect()} == {"many": True, "few": False}
+    assert {r.source: r.kept for r in q.judge(df).collect()} == {"many": True, "few": False}
+
+
+def test_bins_have_no_top(spark):
+    """A bin's lower edge is within 1 / 2^(DIGITS - 1) of its values, however large they are."""
+    values = [0, 1, 127, 128, 129, 5000, 14_400, 28_800, 10**9 + 7, 10**15]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(q._bin(F.col("v"))).collect()]
+    assert all(b <= v < b + max(1, b / 2 ** (q.DIGITS - 1)) for b, v in zip(got, values, strict=True)) and len(set(got)) == len(values) - 1
+
+
+def test_long_words_are_outliers(spark):
+    """Words of 144 characters pass where they are usual; of twice as many, they don't."""
+    r = random.Random(2)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(n - 4, n + 4))) for _ in range(60))
+    df = documents(spark, [text(144) for _ in range(40)] + [text(288)])
+    assert [r.kept for r in q.judge(df).orderBy("doc_id").collect()] == [True] * 40 + [False]
+
+
+def test_repeats_are_compared_word_by_word(spark):
+    """Hashes cut to no bits make all windows equal; only those of equal words count."""
+    words_ = [f"w{i}" for i in range(20)] + ["w3", "w4", "w5"]
+    places = F.transform(F.sequence(F.lit(0), F.lit(len(words_) - 3)), lambda i: i.cast("long"))
+    df = spark.createDataFrame([(words_,)], "words array<string>").select("words", places.alias("packed"), F.lit(5).alias("bits"))
+    near = df.select(q._repeat_words(F.array(*[F.lit(x).cast("long") for x in (3, 20, 7)]), F.col("bits")).alias("at")).first()
+    assert near.at == [3, 20]
 
 
 def test_odd_rows(spark):

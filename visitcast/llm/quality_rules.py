@@ -2,16 +2,26 @@
 
 Fixed rules come first (too few words, too much repetition). Then every document
 is held against fences taken from quantile sketches of its language and source.
-The sketch is a histogram on a fixed integer grid: it merges by adding counts, is
-bounded (TOP + 1 bins a feature) and gives the same quantiles however the rows
-were dealt, so a rerun after a lost executor agrees with the first run. Sketches
-of small groups are merged into those of their language, then of the corpus.
-
-Everything is DataFrame functions; the text is read once, into a narrow table.
+The sketch is a log-linear histogram: a value is kept to its leading DIGITS binary
+digits, so a bin is at most 1 / 2^(DIGITS - 1) of its value wide, whatever the value;
+sketches merge by adding counts and give the same quantiles however the rows were
+dealt, so a rerun after a lost executor agrees with the first run.
+
+A fence is the median plus (for two-sided features also less) so many times the
+quartile range. Quartiles of a group of n documents are drawn towards those of its
+language as if PULL documents of the language were added, those of a language
+towards the corpus, so groups of any size have fences of their own and no size is a
+switch. Where the quartiles coincide, as they do for features that are 0 in most
+documents, the least distance of FENCES is the fence; it counts nowhere else but
+where the spread is smaller still.
+
+Everything is DataFrame functions; the text is read once, into a narrow table. The
+fences, one row a language and source, are broadcast if a count proves them few.
 
 Defined results: a null text counts as empty (0 words, fails the base rules); a
 null lang or source forms the group ''; repeated rows are each counted; an empty
-table gives an empty result; other columns of the input are ignored.
+table gives an empty result; other columns of the input are ignored, or pass through
+keep_good() but for _k and _t, which are made anew.
 """
 
 from __future__ import annotations
@@ -20,33 +30,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitcast.llm.common import BLANKS, keyed, spread, table, text_of, without, written
+from visitcast.llm.common import BLANKS, BROADCAST_ROWS, keyed, small, spread, table, text_of, without, written
 
-#: Highest bin of the sketches; larger values fall into it.
-TOP = 5000
-#: Documents that a group needs to have fences of its own.
-MIN_DOCS = 200
-#: feature: (spreads allowed beyond the median, least distance from the median, two-sided).
-#: Ratios are in thousandths, the mean word length in hundredths of a character.
+#: Leading binary digits that a bin of the sketches keeps of a value.
+DIGITS = 7
+#: Documents of the wider group that quartiles are mixed with.
+PULL = 20
+#: feature: (quartile ranges allowed beyond the median, least distance from the median, two-sided).
+#: Shares are in 1/100,000, the mean word length in 1/1000 of a character.
 FENCES = {
-    "symbol": (6, 60, False),
-    "upper": (6, 200, False),
-    "dup_line": (6, 400, False),  # one line of three may return
-    "repeat": (6, 300, False),
-    "word_len": (6, 200, True),
+    "symbol": (6, 6_000, False),
+    "upper": (8, 2_000, False),
+    "dup_line": (6, 40_000, False),  # one line of three may return
+    "repeat": (6, 30_000, False),
+    "word_len": (6, 500, True),
 }
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
 
 
 def _repeat_words(sorted_: Column, bits: Column) -> Column:
-    """Words covered by 3-word windows that occur twice; sorted_: window hash (high bits) and place (low bits)."""
+    """Places of 3-word windows that occur twice; sorted_: window hash (high bits) and place (low bits).
+
+    The longer the text, the fewer bits of the hash are left, so windows of equal hashes are compared word by word.
+    """
     part = lambda j: F.call_function("shiftright", F.get(sorted_, j), bits)
     place = lambda j: F.get(sorted_, j) - F.call_function("shiftleft", part(j), bits)
-    hit = F.filter(
-        F.sequence(F.lit(0), F.size(sorted_) - 1),
-        lambda j: F.coalesce(part(j) == part(j - 1), F.lit(False)) | F.coalesce(part(j) == part(j + 1), F.lit(False)),
-    )
+    word = lambda j, o: F.get("words", place(j).cast("int") + o)
+    same = lambda i, j: F.coalesce((part(i) == part(j)) & (word(i, 0) == word(j, 0)) & (word(i, 1) == word(j, 1)) & (word(i, 2) == word(j, 2)), F.lit(False))
+    hit = F.filter(F.sequence(F.lit(0), F.size(sorted_) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
     return F.when(F.size(sorted_) > 1, F.sort_array(F.transform(hit, place))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -73,72 +85,77 @@ def metrics(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(n >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<bigint>")).alias("packed"),
-        bits.alias("bits"),
+        bits.alias("bits"), "words",
     )
-    places = counted.withColumn("at", _repeat_words(F.col("packed"), F.col("bits"))).drop("packed", "bits")
+    places = counted.withColumn("at", _repeat_words(F.col("packed"), F.col("bits"))).drop("packed", "bits", "words")
     covered = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.lit(3).cast("long"), F.coalesce(b - a, F.lit(3).cast("long"))))
     return places.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda s, x: s + x)).drop("at")
 
 
 def _per(part: str, whole: str, unit: int) -> Column:
-    return F.least(F.expr(f"{part} * {unit} div greatest({whole}, 1L)"), F.lit(TOP).cast("long"))
+    return F.expr(f"{part} * {unit} div greatest({whole}, 1L)")
 
 
 def features(measured: DataFrame) -> DataFrame:
     return measured.withColumns({
-        "f_symbol": _per("n_symbols", "word_chars", 1000),
-        "f_upper": _per("n_upper", "word_chars", 1000),
-        "f_dup_line": _per("n_dup_lines", "n_lines", 1000),
-        "f_repeat": _per("n_repeat_words", "n_words", 1000),
-        "f_word_len": _per("word_chars", "n_words", 100),
+        "f_symbol": _per("n_symbols", "word_chars", 100_000),
+        "f_upper": _per("n_upper", "word_chars", 100_000),
+        "f_dup_line": _per("n_dup_lines", "n_lines", 100_000),
+        "f_repeat": _per("n_repeat_words", "n_words", 100_000),
+        "f_word_len": _per("word_chars", "n_words", 1000),
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
 
 
-def _levels(lang: str, source: str) -> Column:
-    """The groups that a row counts in: its language and source (2), its language (1), the corpus (0)."""
-    one = lambda level, *names: F.struct(F.lit(level).alias("level"), *[(F.col(n) if n else F.lit("")).alias(a) for n, a in zip(names, ("lang", "source"))])
-    return F.array(one(2, lang, source), one(1, lang, ""), one(0, "", ""))
+def _bin(value: Column) -> Column:
+    """The lower edge of the value's bin: its leading DIGITS binary digits, then zeros."""
+    low = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", value, low), low)
 
 
 def sketches(featured: DataFrame) -> DataFrame:
-    """level, lang, source, feature, bin, n: counts on the grid for (lang, source), lang and the corpus."""
-    long = featured.select("lang", "source", F.explode(F.create_map(*[x for f in FENCES for x in (F.lit(f), F.col(f"f_{f}"))])).alias("feature", "bin"))
-    fine = long.groupBy("lang", "source", "feature", "bin").agg(F.count("*").alias("n"))
-    return fine.select(F.explode(_levels("lang", "source")).alias("g"), "feature", "bin", "n").groupBy("g.level", "g.lang", "g.source", "feature", "bin").agg(F.sum("n").alias("n"))
-
-
-def thresholds(featured: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """lang, source and lo_/hi_ of each feature, from the finest sketch with enough documents."""
-    sketch = sketches(featured)
-    group = ["level", "lang", "source"]
-    w = Window.partitionBy(*group, "feature").orderBy("bin")
-    ranked = sketch.withColumns({"upto": F.sum("n").over(w), "total": F.sum("n").over(Window.partitionBy(*group, "feature"))})
-    at = lambda f, q: F.min(F.when((F.col("feature") == f) & (100 * F.col("upto") >= q * F.col("total")), F.col("bin")))
-    quantiles = ranked.groupBy(*group).agg(F.max("total").alias("docs"), *[at(f, q).alias(f"{f}_{q}") for f in FENCES for q in (25, 50, 75)])
+    """lang, source, feature, bin, n: the sketch of each language and source. Those of wider groups are their sums."""
+    long = featured.select("lang", "source", F.explode(F.create_map(*[x for f in FENCES for x in (F.lit(f), F.col(f"f_{f}"))])).alias("feature", "value"))
+    return long.groupBy("lang", "source", "feature", _bin(F.col("value")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def _quartiles(sketch: DataFrame, *group: str) -> DataFrame:
+    """group, feature, docs, q25, q50 and q75 of merged sketches."""
+    key = [*group, "feature"]
+    merged = sketch.groupBy(*key, "bin").agg(F.sum("n").alias("n"))
+    ranked = merged.withColumns({"upto": F.sum("n").over(Window.partitionBy(*key).orderBy("bin")), "docs": F.sum("n").over(Window.partitionBy(*key))})
+    at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("docs"), F.col("bin"))).alias(f"q{q}")
+    return ranked.groupBy(*key).agg(F.max("docs").alias("docs"), *[at(q) for q in (25, 50, 75)])
+
+
+def thresholds(featured: DataFrame, pull: int = PULL) -> DataFrame:
+    """lang, source and lo_/hi_ of each feature."""
+    sketch = written(sketches(featured), "quality-sketches")
+    fine, wide, whole = _quartiles(sketch, "lang", "source"), _quartiles(sketch, "lang"), _quartiles(sketch)
+    mixed = lambda a, b, q: F.expr(f"({a}.docs * {a}.q{q} + {pull} * {b}.q{q}) div ({a}.docs + {pull})").alias(f"q{q}")
+    lang = wide.alias("a").join(whole.alias("b"), "feature").select("a.lang", "feature", *[mixed("a", "b", q) for q in (25, 50, 75)])
+    group = fine.alias("a").join(lang.alias("b"), ["lang", "feature"]).select("lang", "source", "feature", *[mixed("a", "b", q) for q in (25, 50, 75)])
     fences = []
     for f, (spreads, least, both) in FENCES.items():
-        width = F.greatest(spreads * (F.col(f"{f}_75") - F.col(f"{f}_25")), F.lit(least).cast("long"))
-        fences += [(F.col(f"{f}_50") - width if both else F.lit(-1).cast("long")).alias(f"lo_{f}"), (F.col(f"{f}_50") + width).alias(f"hi_{f}")]
-    fenced = quantiles.select(*group, "docs", F.struct(*fences).alias("fences"))
-    groups = fenced.filter("level = 2").select(F.col("lang").alias("to_lang"), F.col("source").alias("to_source"))
-    wanted = groups.select("to_lang", "to_source", F.inline(_levels("to_lang", "to_source")))
-    usable = wanted.join(fenced, group).filter((F.col("docs") >= min_docs) | (F.col("level") == 0))
-    return usable.groupBy(F.col("to_lang").alias("lang"), F.col("to_source").alias("source")).agg(F.max_by("fences", "level").alias("x")).select("lang", "source", "x.*")
+        own = lambda x, f=f: F.max(F.when(F.col("feature") == f, x))
+        # Two bins at least, since quartiles are known to the bin.
+        width = F.greatest(spreads * (F.col("q75") - F.col("q25")), F.lit(least).cast("long"), F.call_function("shiftright", F.col("q50"), F.lit(DIGITS - 2)))
+        fences += [own(F.col("q50") - width if both else F.lit(-1).cast("long")).alias(f"lo_{f}"), own(F.col("q50") + width).alias(f"hi_{f}")]
+    return group.groupBy("lang", "source").agg(*fences)
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def judge(docs: DataFrame, pull: int = PULL, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Metrics, features, base_failed and kept of each document."""
     featured = features(written(metrics(docs), "quality-metrics"))
     inside = F.lit(True)
     for f in FENCES:
         inside = inside & F.col(f"f_{f}").between(F.col(f"lo_{f}"), F.col(f"hi_{f}"))
-    return featured.join(thresholds(featured, min_docs), ["lang", "source"]).withColumn("kept", ~F.col("base_failed") & inside)
+    return featured.join(small(written(thresholds(featured, pull), "quality-fences"), rows), ["lang", "source"]).withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def keep_good(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, pull: int = PULL) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return without(docs, judge(docs, min_docs).filter("NOT kept"))
+    return without(docs, judge(docs, pull).filter("NOT kept"))
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -146,14 +163,24 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _sql(source: str = "documents", min_docs: int = MIN_DOCS) -> str:
+def _sql(source: str = "documents", pull: int = PULL) -> str:
     """DuckDB text up to the relation `judged` (all columns of the table, the metrics and kept)."""
-    per = {"symbol": "n_symbols * 1000 // greatest(word_chars, 1)", "upper": "n_upper * 1000 // greatest(word_chars, 1)", "dup_line": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeat": "n_repeat_words * 1000 // greatest(n_words, 1)", "word_len": "word_chars * 100 // greatest(n_words, 1)"}
-    feats = ", ".join(f"least({x}, {TOP}) AS f_{f}" for f, x in per.items())
-    long = " UNION ALL ".join(f"SELECT lang0, source0, '{f}' AS feature, f_{f} AS bin FROM qr_feat" for f in FENCES)
-    quant = ", ".join(f"min(bin) FILTER (feature = '{f}' AND 100 * upto >= {q} * total) AS {f}_{q}" for f in FENCES for q in (25, 50, 75))
-    fences = ", ".join(f"{f'{f}_50 - greatest({s} * ({f}_75 - {f}_25), {d})' if b else '-1'} AS lo_{f}, {f}_50 + greatest({s} * ({f}_75 - {f}_25), {d}) AS hi_{f}" for f, (s, d, b) in FENCES.items())
+    per = {"symbol": "n_symbols * 100000 // greatest(word_chars, 1)", "upper": "n_upper * 100000 // greatest(word_chars, 1)", "dup_line": "n_dup_lines * 100000 // greatest(n_lines, 1)", "repeat": "n_repeat_words * 100000 // greatest(n_words, 1)", "word_len": "word_chars * 1000 // greatest(n_words, 1)"}
+    feats = ", ".join(f"{x} AS f_{f}" for f, x in per.items())
+    long = " UNION ALL ".join(f"SELECT lang0, source0, '{f}' AS feature, f_{f} AS v, greatest(length(bin(f_{f})) - {DIGITS}, 0) AS low FROM qr_feat" for f in FENCES)
+    wide = lambda s: f"greatest({s} * (q75 - q25), q50 >> {DIGITS - 2}, "
+    fences = ", ".join(f"max({f'q50 - {wide(s)}{d})' if b else '-1'}) FILTER (feature = '{f}') AS lo_{f}, max(q50 + {wide(s)}{d})) FILTER (feature = '{f}') AS hi_{f}" for f, (s, d, b) in FENCES.items())
     inside = " AND ".join(f"f_{f} BETWEEN lo_{f} AND hi_{f}" for f in FENCES)
+    mixed = ", ".join(f"(a.docs * a.q{q} + {pull} * b.q{q}) // (a.docs + {pull}) AS q{q}" for q in (25, 50, 75))
+
+    def quartiles(name: str, group: str) -> str:
+        at = ", ".join(f"min(bin) FILTER (100 * upto >= {q} * docs) AS q{q}" for q in (25, 50, 75))
+        return f"""
+qr_{name} AS (
+  SELECT {group} feature, max(docs) AS docs, {at} FROM (
+    SELECT *, sum(n) OVER (PARTITION BY {group} feature ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {group} feature) AS docs
+    FROM (SELECT {group} feature, bin, count(*) AS n FROM qr_long GROUP BY ALL)) GROUP BY {group} feature)"""
+
     return rf"""
 qr_rows AS (SELECT row_number() OVER () AS rid, * FROM {source}),
 qr_split AS (
@@ -175,23 +202,13 @@ qr_met AS (
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM qr_split LEFT JOIN qr_rep USING (rid)),
 qr_feat AS (SELECT *, {feats}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM qr_met),
-qr_sketch AS (
-  SELECT CASE WHEN grouping(source0) = 0 THEN 2 WHEN grouping(lang0) = 0 THEN 1 ELSE 0 END AS level,
-    coalesce(lang0, '') AS lang0, coalesce(source0, '') AS source0, feature, bin, count(*) AS n
-  FROM ({long}) GROUP BY GROUPING SETS ((lang0, source0, feature, bin), (lang0, feature, bin), (feature, bin))),
-qr_rank AS (
-  SELECT *, sum(n) OVER (PARTITION BY level, lang0, source0, feature ORDER BY bin) AS upto,
-    sum(n) OVER (PARTITION BY level, lang0, source0, feature) AS total FROM qr_sketch),
-qr_quant AS (SELECT level, lang0, source0, max(total) AS docs, {quant} FROM qr_rank GROUP BY ALL),
-qr_fence AS (SELECT level, lang0, source0, docs, {fences} FROM qr_quant),
-qr_pick AS (
-  SELECT g.lang0, g.source0, max(f.level) AS level FROM qr_fence g JOIN qr_fence f
-    ON (f.level = 2 AND f.lang0 = g.lang0 AND f.source0 = g.source0) OR (f.level = 1 AND f.lang0 = g.lang0) OR f.level = 0
-  WHERE g.level = 2 AND (f.docs >= {min_docs} OR f.level = 0) GROUP BY ALL),
+qr_long AS (SELECT lang0, source0, feature, (v >> low) << low AS bin FROM ({long})),{quartiles('fine', 'lang0, source0,')},{quartiles('wide', 'lang0,')},{quartiles('whole', '')},
+qr_lang AS (SELECT a.lang0, a.feature, {mixed} FROM qr_wide a JOIN qr_whole b USING (feature)),
+qr_group AS (SELECT a.lang0, a.source0, a.feature, {mixed} FROM (SELECT * FROM qr_fine) a JOIN (SELECT *, 0 AS docs FROM qr_lang) b USING (lang0, feature)),
+qr_fence AS (SELECT lang0, source0, {fences} FROM qr_group GROUP BY lang0, source0),
 judged AS (
   SELECT r.*, q.* EXCLUDE (rid, lang0, source0), NOT base_failed AND {inside} AS kept
-  FROM qr_feat q JOIN qr_rows r USING (rid) JOIN qr_pick p ON p.lang0 = q.lang0 AND p.source0 = q.source0
-  JOIN qr_fence f ON f.level = p.level AND f.lang0 = CASE WHEN p.level >= 1 THEN p.lang0 ELSE '' END AND f.source0 = CASE WHEN p.level = 2 THEN p.source0 ELSE '' END)"""
+  FROM qr_feat q JOIN qr_rows r USING (rid) JOIN qr_fence p ON p.lang0 = q.lang0 AND p.source0 = q.source0)"""
 
 
 ORACLE_SQL = f"WITH {_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"
