@@ -51,17 +51,16 @@ UNITS = (
 NAME = r"^\p{Lu}\p{Ll}+$"
 NUMBER = r"^[0-9]"
 PUNCTUATION = r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D]+"
-SPLIT = r"[\x20\x09-\x0D]+"
 #: Types of tokens. A word stands in the arrays by its hash, the others by their type.
 WORD, NUM, NAM, UNIT = 0, 1, 2, 3
 
 
 def tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep`, low (lower-cased tokens) and kind (their types) of the column text."""
-    full = lambda x: F.filter(F.split(x, SPLIT), lambda w: w != "")
-    bare = docs.select(*keep, F.regexp_replace("text", PUNCTUATION, "").alias("bare"))
+    full = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
+    bare = docs.select(*keep, F.translate(F.regexp_replace("text", PUNCTUATION, ""), "\t\n\x0b\x0c\r", "     ").alias("bare"))
     cut = bare.select(*keep, full(F.col("bare")).alias("toks"), full(F.lower("bare")).alias("low"))
-    digit = lambda w: w.between("0", ":") & (w != ":")  # noqa: E731  the same as NUMBER
+    digit = lambda w: (w < ":") & (w >= "0")  # noqa: E731  the same as NUMBER
 
     def kind(w: Column, i: Column) -> Column:
         unit = F.coalesce(digit(F.get("toks", i - 1)), F.lit(False)) & F.get("low", i).isin(*UNITS)
@@ -71,46 +70,47 @@ def tokens(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _views(toks: DataFrame, keep: list[str]) -> DataFrame:
-    """view 0 (names are one placeholder a run) and 1 (names are words): t (type or hash of each token), v (hash), s (token)."""
-    at = toks.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("low") - 1), lambda i: ~((F.get("kind", i) == NAM) & F.coalesce(F.get("kind", i - 1) == NAM, F.lit(False))))).filter(F.size("low") > 0)
-    value = lambda i: F.xxhash64(F.get("low", i)).bitwiseOR(F.lit(-(1 << 63)))  # noqa: E731  below all types
-    typed = lambda i: F.when(F.get("kind", i) == WORD, value(i)).otherwise(F.get("kind", i).cast("long"))
-    plain = lambda i: F.when(F.get("kind", i).isin(WORD, NAM), value(i)).otherwise(F.get("kind", i).cast("long"))
-    every = F.sequence(F.lit(0), F.size("low") - 1)
-    return at.select(
-        *keep,
-        F.transform("at", typed).alias("t0"), F.transform("at", value).alias("v0"), F.transform("at", lambda i: F.get("low", i)).alias("s0"),
-        F.transform(every, plain).alias("t1"), F.transform(every, value).alias("v1"), F.col("low").alias("s1"),
-    )
+    """view 0 (names are one placeholder a run) and 1 (names are words): t (type or hash of each token, hashes are negative), s (token)."""
+    hashed = toks.filter(F.size("low") > 0).select(*keep, "low", "kind", F.transform("low", lambda w: F.xxhash64(w).bitwiseOR(F.lit(-(1 << 63)))).alias("hashes"))
+    at = F.filter(F.sequence(F.lit(0), F.size("low") - 1), lambda i: (F.get("kind", i) != NAM) | F.coalesce(F.get("kind", i - 1) != NAM, F.lit(True)))
+    typed = lambda i: F.when(F.get("kind", i) == WORD, F.get("hashes", i)).otherwise(F.get("kind", i).cast("long"))
+    plain = F.zip_with("hashes", "kind", lambda h, k: F.when(k.isin(WORD, NAM), h).otherwise(k.cast("long")))
+    return hashed.withColumn("at", at).select(*keep, F.transform("at", typed).alias("t0"), F.transform("at", lambda i: F.get("low", i)).alias("s0"), plain.alias("t1"), F.col("low").alias("s1"))
 
 
-def _places(n: Column, span: Column) -> Column:
-    return F.when(n >= span, F.sequence(F.lit(1), n - span + 1)).otherwise(F.array().cast("array<int>"))
+def _places(n: Column, span: int) -> Column:
+    return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
 
 
-def _window(view: int, i: Column, span: Column) -> Column:
-    """Hash of the window at place i (from 1): of its types and words, or of its values if it holds no word."""
-    some = F.slice(f"t{view}", i, span)
-    return F.xxhash64(F.when(F.array_min(some) > 0, F.slice(f"v{view}", i, span)).otherwise(some), F.lit(view))
+def _window(view: int, i: Column, span: int, window: int) -> Column:
+    """Hash of the window at place i: of its types and words; of a short one without a word, of its values.
 
+    Long windows without a word are compared by value once they are joined.
+    """
+    types = [F.get(f"t{view}", i + k) for k in range(span)]
+    whole = F.xxhash64(*types, F.lit(view))
+    if span == window:
+        return whole
+    return F.when(F.least(F.lit(4), *types) > 0, F.xxhash64(*[F.get(f"s{view}", i + k) for k in range(span)], F.lit(view))).otherwise(whole)
 
-def _slots(view: int, i: Column, span: Column) -> Column:
-    """(j, value) of the placeholders in the window at place i."""
-    both = F.zip_with(F.slice(f"t{view}", i, span), F.slice(f"s{view}", i, span), lambda t, s: F.struct(t.alias("t"), s.alias("s")))
-    numbered = F.transform(both, lambda x, j: F.struct(j.alias("j"), x["t"].alias("t"), x["s"].alias("s")))
-    return F.transform(F.filter(numbered, lambda x: x["t"].between(NUM, UNIT)), lambda x: F.struct(x["j"].alias("j"), x["s"].alias("s")))
+
+def _slots(view: int, i: Column, span: int) -> Column:
+    """(j, s): the placeholders in the window at place i."""
+    there = F.filter(F.array(*[F.lit(k) for k in range(span)]), lambda k: F.get(f"t{view}", i + k) > 0)
+    return F.transform(there, lambda k: F.struct(k.alias("j"), F.get(f"s{view}", i + k).alias("s")))
 
 
 def item_places(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """item_id, cls, h, span, item_at, slots, n_places: the windows of both views of each item; cls tells views and texts of items apart."""
     items = _views(tokens(benchmark.select("item_id", text_of().alias("text")), ["item_id"]), ["item_id"])
 
-    def cut(view: int) -> Column:
-        n = F.size(f"t{view}")
-        span, cls = F.least(F.lit(window), n), F.xxhash64(f"s{view}", f"t{view}", F.lit(view))
-        return F.transform(_places(n, span), lambda i: F.struct(cls.alias("cls"), _window(view, i, span).alias("h"), span.alias("span"), i.alias("item_at"), _slots(view, i, span).alias("slots"), (n - span + 1).alias("n_places")))
+    def cut(view: int, span: int) -> Column:
+        n, cls = F.size(f"t{view}"), F.xxhash64(f"s{view}", f"t{view}", F.lit(view))
+        one = lambda i: F.struct(cls.alias("cls"), _window(view, i, span, window).alias("h"), F.lit(span).alias("span"), i.alias("item_at"), _slots(view, i, span).alias("slots"), (n - span + 1).alias("n_places"))
+        fits = n == span if span < window else n >= window
+        return F.transform(F.when(fits, _places(n, span)).otherwise(F.array().cast("array<int>")), one)
 
-    return items.select("item_id", F.inline(F.concat(cut(0), cut(1))))
+    return items.select("item_id", F.inline(F.concat(*[cut(view, span) for view in (0, 1) for span in range(1, window + 1)])))
 
 
 def _seeds(places: DataFrame, cover: int) -> DataFrame:
@@ -124,15 +124,15 @@ def _seeds(places: DataFrame, cover: int) -> DataFrame:
     return rare.withColumn("before", before).filter(100 * (F.col("n_places") - F.col("before")) >= cover * F.col("n_places")).select("h", "cls")
 
 
-def _doc_windows(docs: DataFrame, spans: list[int], slots: bool) -> DataFrame:
+def _doc_windows(docs: DataFrame, spans: list[int], window: int, slots: bool) -> DataFrame:
     """_k, _t and h of every window of both views, with its place and slots if asked for."""
     views = _views(tokens(docs, ["_k", "_t"]), ["_k", "_t"])
 
-    def cut(view: int, span: Column) -> Column:
-        one = lambda i: F.struct(_window(view, i, span).alias("h"), i.alias("at"), _slots(view, i, span).alias("slots"))
-        return F.transform(_places(F.size(f"t{view}"), span), one if slots else lambda i: _window(view, i, span))
+    def cut(view: int, span: int) -> Column:
+        one = lambda i: F.struct(_window(view, i, span, window).alias("h"), i.alias("at"), _slots(view, i, span).alias("slots"))
+        return F.transform(_places(F.size(f"t{view}"), span), one if slots else lambda i: _window(view, i, span, window))
 
-    each = F.concat(*[cut(view, F.lit(s)) for view in (0, 1) for s in spans])
+    each = F.concat(*[cut(view, s) for view in (0, 1) for s in spans])
     return views.select("_k", "_t", F.inline(each) if slots else F.explode(each).alias("h"))
 
 
@@ -159,14 +159,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     """_k, _t, item_id, n_windows, n_found, n_slots, n_slots_ok: documents that hold an item, with the figures of its best view and alignment."""
     items = written(item_places(benchmark, window), "decontaminate-items")
     spans = sorted({window, *(r[0] for r in items.select("span").distinct().collect())})  # `window` values at most
-    places = written(items.drop("item_id", "span").distinct(), "decontaminate-places")
+    places = written(items.drop("item_id").distinct(), "decontaminate-places")
     names = written(items.select("item_id", "cls").distinct(), "decontaminate-names")
     base = keyed(docs.select("doc_id", text_of().alias("text")))
     seeds = written(_seeds(places, cover), "decontaminate-seeds")
-    candidates = written(_doc_windows(base, spans, slots=False).join(small(seeds, rows), "h").select("_k", "_t", "cls").distinct(), "decontaminate-candidates")
+    candidates = written(_doc_windows(base, spans, window, slots=False).join(small(seeds, rows), "h").select("_k", "_t", "cls").distinct(), "decontaminate-candidates")
     texts = base.join(small(candidates.select("_k", "_t").distinct(), rows), ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
-    hits = _doc_windows(texts, spans, slots=True).withColumnRenamed("slots", "ours").join(small(places.withColumnRenamed("slots", "theirs"), rows), "h")
-    hits = written(hits.join(small(candidates, rows), ["_k", "_t", "cls"], "left_semi"), "decontaminate-hits")
+    hits = _doc_windows(texts, spans, window, slots=True).withColumnRenamed("slots", "ours").join(small(places.withColumnRenamed("slots", "theirs"), rows), "h")
+    by_value = (F.size("theirs") < F.col("span")) | (F.col("theirs") == F.col("ours"))
+    hits = written(hits.filter(by_value).join(small(candidates, rows), ["_k", "_t", "cls"], "left_semi"), "decontaminate-hits")
     found = _aligned(hits, cover, slots_ok).join(small(names, rows), "cls")
     best = F.max(F.struct("n_found", "n_slots_ok", "n_slots", "n_windows"))
     return found.groupBy("_k", "_t", "item_id").agg(best.alias("b")).select("_k", "_t", "item_id", "b.n_windows", "b.n_found", "b.n_slots", "b.n_slots_ok")
@@ -191,7 +192,7 @@ def _sql(source: str, benchmark: str = "benchmark") -> str:
 
     def toks(key: str, t: str, name: str) -> str:
         return rf"""
-{name}_w AS (SELECT {key}, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '{PUNCTUATION}', '', 'g'), '{SPLIT}'), lambda w: w <> '') AS w FROM {t}),
+{name}_w AS (SELECT {key}, list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '{PUNCTUATION}', '', 'g'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM {t}),
 {name}_k AS (SELECT {key}, list_transform(w, lambda x: lower(x)) AS low, list_transform(w, lambda x, i: CASE WHEN regexp_matches(x, '{NUMBER}') THEN 'N' WHEN lower(x) IN ({units}) AND i > 1 AND regexp_matches(w[i - 1], '{NUMBER}') THEN 'U' WHEN regexp_matches(x, '{NAME}') THEN 'P' ELSE '' END) AS kind FROM {name}_w),
 {name}_v AS (
   SELECT {key}, 0 AS view, list_filter(list_transform(low, lambda x, i: CASE WHEN kind[i] = 'P' AND i > 1 AND kind[i - 1] = 'P' THEN NULL ELSE {{'t': CASE WHEN kind[i] = '' THEN x ELSE chr(1) || kind[i] END, 's': x, 'slot': kind[i] <> ''}} END), lambda z: z IS NOT NULL) AS z FROM {name}_k

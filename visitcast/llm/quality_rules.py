@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from visitcast.llm.common import BLANKS, BROADCAST_ROWS, keyed, small, spread, table, text_of, without, written
 
 #: Leading binary digits that a bin of the sketches keeps of a value.
-DIGITS = 7
+DIGITS = 6
 #: Documents of the wider group that quartiles are mixed with.
 PULL = 20
 #: feature: (quartile ranges allowed beyond the median, least distance from the median, two-sided).
