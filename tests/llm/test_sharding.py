@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from conftest import SMALL
 from helpers import documents, empty, odd, words
@@ -26,25 +26,66 @@ def plain_best_fit(sizes, capacity):
     return out
 
 
-def test_tree_is_best_fit():
+def _runs(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def _loads(runs, placed):
+    load = defaultdict(int)
+    for (size, number), parts in zip(runs, placed, strict=True):
+        assert sum(n for _, n in parts) == number
+        for b, n in parts:
+            load[b] += size * n
+    return sorted(load.values())
+
+
+def test_runs_are_best_fit():
+    """Whole runs at a time fill the bins as one group after the other does."""
     r = random.Random(1)
     for _ in range(30):
-        sizes = [r.randint(1, 100) for _ in range(r.randint(1, 900))]
-        capacity = r.randint(100, 300)
-        ours, theirs = sharding.best_fit_decreasing(sizes, capacity), plain_best_fit(sizes, capacity)
-        fill = lambda bins: sorted(sum(s for s, b in zip(sizes, bins, strict=True) if b == k) for k in set(bins))
-        assert fill(ours) == fill(theirs) and max(fill(ours)) <= capacity
+        sizes = [r.randint(1, r.choice([5, 100, 350])) for _ in range(r.randint(1, 900))]
+        capacity, runs = r.randint(100, 300), _runs(sizes)
+        theirs = plain_best_fit(sizes, capacity)
+        fill = sorted(sum(s for s, b in zip(sizes, theirs, strict=True) if b == k) for k in set(theirs))
+        assert _loads(runs, sharding.best_fit_decreasing(runs, capacity)) == fill
 
 
 def test_pack_is_near_equal():
     r = random.Random(2)
     sizes = [r.randint(1, 1000) for _ in range(5000)] + [400_000]
-    load = [0] * 24
-    for s, b in zip(sizes, sharding.pack(sizes, 24), strict=True):
-        load[b] += s
-    rest = sorted(load)[:-1]
-    assert max(load) == 400_000 and max(rest) - min(rest) <= 0.01 * max(rest)
-    assert sharding.pack([], 24) == [] and len(set(sharding.pack([5, 5], 24))) == 2 and sharding.pack([7], 1) == [0]
+    load = _loads(_runs(sizes), sharding.pack(_runs(sizes), 24))
+    assert load[-1] == 400_000 and load[-2] - load[0] <= 0.01 * load[-2] and len(load) == 24
+    assert sharding.pack([], 24) == [] and len(_loads([(5, 2)], sharding.pack([(5, 2)], 24))) == 2 and sharding.pack([(7, 1)], 1) == [[(0, 1)]]
+
+
+def _plain_pack(sizes, shards):
+    """Loads of plain best fit decreasing over open bins, at the capacity that the same bisection finds."""
+
+    def loads(capacity):
+        left = [capacity] * shards
+        for s in sorted(sizes, reverse=True):
+            b = min((b for b in range(shards) if left[b] >= s), key=lambda b: (left[b], b), default=None)
+            if b is None:
+                return None
+            left[b] -= s
+        return sorted(capacity - x for x in left)
+
+    low = max(-(-sum(sizes) // shards), max(sizes))
+    high = -(-sum(sizes) // shards) + max(sizes)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (middle + 1, high) if loads(middle) is None else (low, middle)
+    return loads(high)
+
+
+def test_query_packs_every_group(spark, tmp_path):
+    """10,000 texts of a few hundred lengths, some in several copies: the loads of plain best fit over all groups."""
+    r = random.Random(5)
+    texts = [f"{i} " + "x" * r.choice([r.randint(0, 300), 40, 41, r.randint(0, 4000)]) for i in range(10_000)]
+    texts += [texts[r.randrange(200)] for _ in range(500)]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op4_best_fit_sharding(spark, str(tmp_path)).collect()
+    assert sorted(_law(got, 24).values()) == _plain_pack([(len(t) + 8) * n for t, n in Counter(texts).items()], 24)
 
 
 def _law(got, shards):
@@ -58,14 +99,15 @@ def _law(got, shards):
     return load
 
 
-def test_law(spark):
+def test_law(spark, monkeypatch):
     r = random.Random(3)
     texts = [words(r, r.randint(1, 60)) for _ in range(400)] + ["the same text"] * 90 + ["né 控"]
     df = documents(spark, texts)
-    for grain in (4, 1024):
-        got = sharding.shard(df, shards=8, grain=grain).collect()
+    for part in (7, 50_000):
+        monkeypatch.setattr(sharding, "PART", part)
+        got = sharding.shard(df, shards=8).collect()
         load = _law(got, 8)
-        assert len(got) == len(texts) and len(load) == 8 and max(load.values()) - min(load.values()) <= 0.3 * max(load.values()) / (1 if grain == 4 else 10)
+        assert len(got) == len(texts) and len(load) == 8 and max(load.values()) - min(load.values()) <= 0.03 * max(load.values())
         assert all(r.size == len(texts[r.doc_id].encode()) + 8 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in got)
     few = sharding.shard(df, capacity=5000).collect()
     load = _law(few, 100)

@@ -75,7 +75,7 @@ def _views(toks: DataFrame, keep: list[str]) -> DataFrame:
     at = F.filter(F.sequence(F.lit(0), F.size("low") - 1), lambda i: (F.get("kind", i) != NAM) | F.coalesce(F.get("kind", i - 1) != NAM, F.lit(True)))
     typed = lambda i: F.when(F.get("kind", i) == WORD, F.get("hashes", i)).otherwise(F.get("kind", i).cast("long"))
     plain = F.zip_with("hashes", "kind", lambda h, k: F.when(k.isin(WORD, NAM), h).otherwise(k.cast("long")))
-    return hashed.withColumn("at", at).select(*keep, F.transform("at", typed).alias("t0"), F.transform("at", lambda i: F.get("low", i)).alias("s0"), plain.alias("t1"), F.col("low").alias("s1"))
+    return hashed.withColumn("at", at).select(*keep, F.transform("at", typed).alias("t0"), F.transform("at", lambda i: F.get("low", i)).alias("s0"), plain.alias("t1"), F.col("low").alias("s1"), "kind")
 
 
 def _places(n: Column, span: int) -> Column:
@@ -88,10 +88,10 @@ def _window(view: int, i: Column, span: int, window: int) -> Column:
     Long windows without a word are compared by value once they are joined.
     """
     types = [F.get(f"t{view}", i + k) for k in range(span)]
-    whole = F.xxhash64(*types, F.lit(view))
+    whole = F.xxhash64(*types)
     if span == window:
         return whole
-    return F.when(F.least(F.lit(4), *types) > 0, F.xxhash64(*[F.get(f"s{view}", i + k) for k in range(span)], F.lit(view))).otherwise(whole)
+    return F.when(F.least(F.lit(4), *types) > 0, F.xxhash64(*[F.get(f"s{view}", i + k) for k in range(span)])).otherwise(whole)
 
 
 def _slots(view: int, i: Column, span: int) -> Column:
@@ -101,12 +101,12 @@ def _slots(view: int, i: Column, span: int) -> Column:
 
 
 def item_places(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, cls, h, span, item_at, slots, n_places: the windows of both views of each item; cls tells views and texts of items apart."""
+    """item_id, cls, view, h, span, item_at, slots, n_places: the windows of both views of each item; cls tells views and texts of items apart."""
     items = _views(tokens(benchmark.select("item_id", text_of().alias("text")), ["item_id"]), ["item_id"])
 
     def cut(view: int, span: int) -> Column:
         n, cls = F.size(f"t{view}"), F.xxhash64(f"s{view}", f"t{view}", F.lit(view))
-        one = lambda i: F.struct(cls.alias("cls"), _window(view, i, span, window).alias("h"), F.lit(span).alias("span"), i.alias("item_at"), _slots(view, i, span).alias("slots"), (n - span + 1).alias("n_places"))
+        one = lambda i: F.struct(cls.alias("cls"), F.lit(view).alias("view"), _window(view, i, span, window).alias("h"), F.lit(span).alias("span"), i.alias("item_at"), _slots(view, i, span).alias("slots"), (n - span + 1).alias("n_places"))
         fits = n == span if span < window else n >= window
         return F.transform(F.when(fits, _places(n, span)).otherwise(F.array().cast("array<int>")), one)
 
@@ -124,16 +124,32 @@ def _seeds(places: DataFrame, cover: int) -> DataFrame:
     return rare.withColumn("before", before).filter(100 * (F.col("n_places") - F.col("before")) >= cover * F.col("n_places")).select("h", "cls")
 
 
-def _doc_windows(docs: DataFrame, spans: list[int], window: int, slots: bool) -> DataFrame:
-    """_k, _t and h of every window of both views, with its place and slots if asked for."""
+def _doc_hashes(docs: DataFrame, spans: list[int], window: int) -> DataFrame:
+    """_k, _t and h of the windows of the first view, and of those of the second that hold a name: the others are the same."""
+    views = _views(tokens(docs, ["_k", "_t"]), ["_k", "_t"])
+    n = F.size("kind")
+    names = F.filter(F.sequence(F.lit(0), n - 1), lambda p: F.get("kind", p) == NAM)
+
+    def near(span: int) -> Column:
+        around = F.transform(names, lambda p: F.sequence(F.greatest(p - (span - 1), F.lit(0)), F.least(p, n - span)))
+        return F.when(n >= span, F.array_distinct(F.flatten(around))).otherwise(F.array().cast("array<int>"))
+
+    each = [_hashes(0, _places(F.size("t0"), s), s, window) for s in spans] + [_hashes(1, near(s), s, window) for s in spans]
+    return views.select("_k", "_t", F.explode(F.concat(*each)).alias("h"))
+
+
+def _hashes(view: int, places: Column, span: int, window: int) -> Column:
+    return F.transform(places, lambda i: _window(view, i, span, window))
+
+
+def _doc_windows(docs: DataFrame, spans: list[int], window: int) -> DataFrame:
+    """_k, _t, view, h, at and slots of every window of both views."""
     views = _views(tokens(docs, ["_k", "_t"]), ["_k", "_t"])
 
     def cut(view: int, span: int) -> Column:
-        one = lambda i: F.struct(_window(view, i, span, window).alias("h"), i.alias("at"), _slots(view, i, span).alias("slots"))
-        return F.transform(_places(F.size(f"t{view}"), span), one if slots else lambda i: _window(view, i, span, window))
+        return F.transform(_places(F.size(f"t{view}"), span), lambda i: F.struct(F.lit(view).alias("view"), _window(view, i, span, window).alias("h"), i.alias("at"), _slots(view, i, span).alias("slots")))
 
-    each = F.concat(*[cut(view, s) for view in (0, 1) for s in spans])
-    return views.select("_k", "_t", F.inline(each) if slots else F.explode(each).alias("h"))
+    return views.select("_k", "_t", F.inline(F.concat(*[cut(view, s) for view in (0, 1) for s in spans])))
 
 
 def _aligned(hits: DataFrame, cover: int, slots_ok: int) -> DataFrame:
@@ -163,9 +179,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: in
     names = written(items.select("item_id", "cls").distinct(), "decontaminate-names")
     base = keyed(docs.select("doc_id", text_of().alias("text")))
     seeds = written(_seeds(places, cover), "decontaminate-seeds")
-    candidates = written(_doc_windows(base, spans, window, slots=False).join(small(seeds, rows), "h").select("_k", "_t", "cls").distinct(), "decontaminate-candidates")
+    candidates = written(_doc_hashes(base, spans, window).join(small(seeds, rows), "h").select("_k", "_t", "cls").distinct(), "decontaminate-candidates")
     texts = base.join(small(candidates.select("_k", "_t").distinct(), rows), ["_k", "_t"], "left_semi").dropDuplicates(["_k", "_t"])
-    hits = _doc_windows(texts, spans, window, slots=True).withColumnRenamed("slots", "ours").join(small(places.withColumnRenamed("slots", "theirs"), rows), "h")
+    hits = _doc_windows(texts, spans, window).withColumnRenamed("slots", "ours").join(small(places.withColumnRenamed("slots", "theirs"), rows), ["h", "view"])
     by_value = (F.size("theirs") < F.col("span")) | (F.col("theirs") == F.col("ours"))
     hits = written(hits.filter(by_value).join(small(candidates, rows), ["_k", "_t", "cls"], "left_semi"), "decontaminate-hits")
     found = _aligned(hits, cover, slots_ok).join(small(names, rows), "cls")

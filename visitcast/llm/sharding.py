@@ -1,14 +1,20 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Documents of equal text are one group. Groups of at least 1 / GRAIN of a shard
-are items of their own; smaller ones are gathered by hash into bundles, so that
-the list to be packed has a bound (about 2 * GRAIN * shards rows) that doesn't
-grow with the data. Items enter in order of falling size; each goes to the bin
-with the tightest sufficient remaining capacity, found in a balanced tree. For a
-given number of shards, the smallest capacity that suffices is searched; groups
-too large for an even share get a shard of their own first.
-
-Only the bounded item list reaches the driver; texts, documents and groups don't.
+Documents of equal text are one group. Groups enter in order of falling size; each
+goes to the bin with the tightest sufficient remaining capacity, found in a balanced
+tree. Groups of one size are a run: best fit puts as many of a run into the tightest
+bin as it holds before it turns to the next, so a run costs a step for each bin that
+it touches and not one for each group, with the same result.
+
+The driver sees the runs (size, number of groups), not the groups: with distinct sizes
+s1 < s2 < ... that sum to the table's bytes at most, there are at most the square
+root of twice the bytes of them, and in practice the number of text lengths. The
+groups of a size are then ranked in Spark, in parts, and dealt to the bins of its run.
+
+For a given number of shards, the capacity is found by bisection between an even share
+and that plus the largest group, where best fit always succeeds. (Best fit decreasing
+isn't monotone in the capacity, so a smaller one might exist.) Groups too large for an
+even share get a shard of their own first.
 
 Defined results: a null text counts as an empty one, with 0 bytes and that CRC, in
 one group with the empty texts; rows that repeat a doc_id are placed each; an empty table gives no rows. Extra columns are ignored.
@@ -22,14 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitcast.llm.common import table, text_of, written
+from visitcast.llm.common import small, table, text_of, written
 
-#: Items that an even share of bytes is split into at least.
-GRAIN = 1024
 #: Bytes that each document takes besides its text.
 OVERHEAD = 8
-#: Parts of a shard within which slots are counted, so that no task numbers a whole shard.
-PARTS = 64
+#: Rows that are numbered in one task, about.
+PART = 50_000
 
 
 class Capacities:
@@ -69,50 +73,55 @@ class Capacities:
             self.tops[i] = self.leaves[i][-1]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """The bin of each size (in the order given); None if more than `most` bins are needed.
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """For each run (size, number), sizes falling, what goes where: (bin, number) pairs. None if more than `most` bins are needed.
 
     A size above the capacity gets a bin of its own. With `most`, all bins are open
     from the start; without, a bin opens when no open one has room.
     """
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     tree = Capacities([(capacity, b) for b in range(most or 0)])
-    bins, opened = [0] * len(sizes), most or 0
-    for i in order:
-        found = tree.take(min(sizes[i], capacity))
-        if found is None:
-            if most is not None:
-                return None
-            found, opened = (capacity, opened), opened + 1
-        bins[i] = found[1]
-        tree.put((max(0, found[0] - sizes[i]), found[1]))
-    return bins
-
-
-def pack(sizes: list[int], shards: int) -> list[int]:
-    """The shard of each size: oversize items alone, the rest at the smallest capacity that best fit decreasing meets."""
-    order, own = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), 0
-    rest = sum(sizes)
-    while own < min(len(order), shards - 1) and sizes[order[own]] * (shards - own) > rest:
-        rest -= sizes[order[own]]
-        own += 1
-    out, left = [0] * len(sizes), order[own:]
-    for b, i in enumerate(order[:own]):
-        out[i] = b
-    if not left:
+    out, opened = [], most or 0
+    for size, number in runs:
+        parts = []
+        while number:
+            found = tree.take(min(size, capacity))
+            if found is None:
+                if most is not None:
+                    return None
+                found, opened = (capacity, opened), opened + 1
+            n = min(number, max(1, found[0] // size)) if size else number
+            parts.append((found[1], n))
+            tree.put((max(0, found[0] - n * size), found[1]))
+            number -= n
+        out.append(parts)
+    return out
+
+
+def pack(runs: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
+    """(shard, number) pairs of each run: oversize groups alone, the rest at the smallest capacity found that best fit meets."""
+    own, rest, left = 0, sum(s * n for s, n in runs), [list(x) for x in runs]
+    out: list[list[tuple[int, int]]] = [[] for _ in runs]
+    for i, (size, _) in enumerate(runs):
+        while left[i][1] and own < shards - 1 and size * (shards - own) > rest:
+            out[i].append((own, 1))
+            left[i][1] -= 1
+            rest -= size
+            own += 1
+    todo = [(i, s, n) for i, (s, n) in enumerate(left) if n]
+    if not todo:
         return out
-    small, bins = [sizes[i] for i in left], shards - own
-    low = max(-(-rest // bins), small[0])
-    high, found = 2 * low, best_fit_decreasing(small, 2 * low, bins)
+    bins, some = shards - own, [(s, n) for _, s, n in todo]
+    low = max(-(-rest // bins), some[0][0])
+    high = -(-rest // bins) + some[0][0]
+    found = best_fit_decreasing(some, high, bins)
     while low < high:
         middle = (low + high) // 2
-        if (x := best_fit_decreasing(small, middle, bins)) is None:
+        if (x := best_fit_decreasing(some, middle, bins)) is None:
             low = middle + 1
         else:
             high, found = middle, x
-    found = found or best_fit_decreasing(small, high, bins)
-    for b, i in zip(found, left, strict=True):
-        out[i] = own + b
+    for (i, _, _), parts in zip(todo, found, strict=True):
+        out[i] += [(own + b, n) for b, n in parts]
     return out
 
 
@@ -121,32 +130,40 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", size.alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), F.xxhash64(text_of()).alias("g1"), F.xxhash64(F.lit(1), text_of()).alias("g2"))
 
 
-def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = None, grain: int = GRAIN) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot: `shards` near-equal shards, or as few as hold `capacity` bytes each.
+def _numbered(df: DataFrame, rows: int, group: str, by: list[str], name: str) -> DataFrame:
+    """df, of so many rows, with `name`: a gapless number from 0 within each value of `group`, counted in parts so that no task numbers a large group whole."""
+    parts = max(1, rows // PART)
+    dealt = written(df.withColumn("_part", F.pmod(F.xxhash64(*by), F.lit(parts)).cast("int")), "sharding-parts")
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(group, "_part").agg(F.count("*").alias("n")).select(group, "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*by))
+    return dealt.withColumn("_place", place).join(small(starts), [group, "_part"]).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_part", "_start", "_place")
+
+
+def shard(docs: DataFrame, shards: int | None = None, capacity: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot: `shards` near-equal shards, or as few as best fit needs for `capacity` bytes each.
 
     With `capacity`, a group larger than it has a shard to itself.
     """
     spark: SparkSession = docs.sparkSession
     rows = written(_narrow(docs), "sharding-rows")
-    groups = rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    count = shards or max(1, -(-total // capacity))
-    least = max(1, total // (count * grain))
-    # A large group is its own item, known by its hash; small ones share bundles 0 to count * grain - 1.
-    alone = F.col("bytes") >= least
-    bundle = F.when(alone, F.lit(-1)).otherwise(F.pmod(F.xxhash64("g2", "g1"), F.lit(count * grain)))
-    labelled = written(groups.select("g1", "g2", "bytes", bundle.alias("bundle")), "sharding-groups")
-    i1, i2 = (F.when(F.col("bundle") < 0, F.col(g)).otherwise(F.lit(0)).alias(f"i{g[1]}") for g in ("g1", "g2"))
-    items = labelled.groupBy("bundle", i1, i2).agg(F.sum("bytes").alias("bytes")).orderBy("bundle", "i1", "i2").toPandas()
-    sizes = [int(x) for x in items["bytes"]]
-    items["shard"] = pack(sizes, shards) if shards else best_fit_decreasing(sizes, capacity)
-    placed = spark.createDataFrame(items[["bundle", "i1", "i2", "shard"]], "bundle long, i1 long, i2 long, shard int")
-    where = labelled.select("g1", "g2", F.col("bundle").cast("long").alias("bundle"), i1, i2).join(F.broadcast(placed), ["bundle", "i1", "i2"]).select("g1", "g2", "shard")
-    put = written(rows.join(where, ["g1", "g2"]).select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(PARTS)).cast("int").alias("part")), "sharding-placed")
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = put.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size"))
-    return put.withColumn("place", place).join(F.broadcast(starts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).alias("slot"))
+    groups = written(rows.groupBy("g1", "g2").agg(F.sum("size").alias("bytes")), "sharding-groups")
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).orderBy(F.desc("bytes")).toPandas()
+    runs = [(int(s), int(n)) for s, n in zip(sizes["bytes"], sizes["n"], strict=True)]
+    placed = pack(runs, shards) if shards else best_fit_decreasing(runs, capacity)
+    table_: list[tuple[int, int, int, int]] = []
+    for (size, _), parts in zip(runs, placed, strict=True):
+        at = 0
+        for b, n in parts:
+            table_.append((size, at, at + n, b))
+            at += n
+    import pandas as pd
+
+    bins = spark.createDataFrame(pd.DataFrame(table_, columns=["bytes", "lo", "hi", "shard"]), "bytes long, lo long, hi long, shard int")
+    ranked = _numbered(groups, sum(n for _, n in runs), "bytes", ["g1", "g2"], "rank")
+    where = ranked.join(small(bins), "bytes").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select("g1", "g2", "shard")
+    put = rows.join(where, ["g1", "g2"]).select("doc_id", "size", "text_crc32", "shard")
+    return _numbered(put, rows.count(), "shard", ["doc_id", "text_crc32", "size"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op4_best_fit_sharding(spark, sf_dir: str) -> DataFrame:
