@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import re
 
 from conftest import SMALL, duck_rows, rows
@@ -74,7 +76,7 @@ def test_merging_of_branches(spark):
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x", "y"), (1, None, "x", "y"), (None, "http://a.net/es/" + "s/" * 5000, "x", "y")], "page_id long, url string, template string, host string")
     got = u.judge(df)
-    assert sorted(got.columns) == ["host", "page_id", "path", "rule", "template", "url", "verdict"]
+    assert sorted(got.columns) == ["host", "page_id", "path", "purity", "rule", "template", "url", "verdict"]
     assert got.count() == 3 and got.filter("verdict = 'block'").count() == 1
     assert u.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
@@ -91,3 +93,26 @@ def test_small_siblings_are_pooled(spark):
     rows = [("bad", [f"s{i}"], 3, 3, 3) for i in range(20)] + [("good", [f"s{i}"], 3, 3, 0) for i in range(5)] + [("few", ["s0"], 4, 4, 4), ("none", ["s0"], 9, 0, 0)]
     counted = spark.createDataFrame([(h, t, n, l, b) for h, t, n, l, b in rows], "host string, template array<string>, n long, labelled long, blocked long")
     assert {r.host for r in u.purity(counted).filter("rejected").collect()} == {"bad"}
+
+
+def test_hidden_labels_are_predicted(spark):
+    """Sections of 20 hosts are mostly blocked or mostly allowed; every third URL's label is hidden from the tree and predicted."""
+    r = random.Random(7)
+    urls, label = [], {}
+    for h in range(20):
+        for s in range(6):
+            bad = r.random() < 0.5
+            for k in range(25):
+                urls.append((len(urls), f"h{h}.org", [f"section{s}", "{n}", f"p{k % 2}"], bad if r.random() < 0.95 else not bad, bad))
+    shown = [(h, [*t, str(i)], 1, int(i % 3 != 0), int(b and i % 3 != 0)) for i, h, t, b, _ in urls]
+    tree = u.templates(spark.createDataFrame(shown, "host string, segments array<string>, n long, labelled long, blocked long"))
+    got = {(x.host, x.segments[3]): x.rejected for x in tree.join(u.purity(tree), ["host", "template"]).collect()}
+    right = [got[h, str(i)] == bad for i, h, _, _, bad in urls if i % 3 == 0]
+    assert len(right) == 1000 and sum(right) >= 980
+
+
+def test_unlabelled_templates_take_their_branchs_purity(spark):
+    """A section without labels follows its host where that is pure, a host without labels stays allowed."""
+    tree = [("a.net", ["es", "{n}"], 9, 9), ("a.net", ["fr", "{n}"], 9, 9), ("a.net", ["en", "{n}"], 0, 0), ("b.net", ["en"], 0, 0), ("c.org", ["es"], 30, 0), ("c.org", ["fr"], 60, 60), ("c.org", ["en"], 0, 0)]
+    got = {(r.host, r.template[0]): r.rejected for r in u.purity(spark.createDataFrame(tree, "host string, template array<string>, labelled long, blocked long")).collect()}
+    assert got == {("a.net", "es"): True, ("a.net", "fr"): True, ("a.net", "en"): True, ("b.net", "en"): False, ("c.org", "es"): False, ("c.org", "fr"): True, ("c.org", "en"): False}

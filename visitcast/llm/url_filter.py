@@ -2,14 +2,17 @@
 
 Per host, paths become templates: numbers and long hexadecimal segments turn into
 typed wildcards, and walking down the tree a segment that is rare among its
-siblings becomes `*`, down to the last segment. URLs that a rule
-decides are the labelled sample. Sibling branches (templates of a host that differ
-in their last literal segment) whose shares of blocked URLs don't differ by more
-than Z standard errors from the pooled share are merged. A template with at least
-LEAST labels is rejected if its purity, the share of blocked labels smoothed
-towards the share of the whole sample, reaches REJECT. A template with fewer labels
-takes the pooled purity of all labelled siblings, if these don't differ and have
-LEAST labels together.
+siblings becomes `*`, down to the last segment. URLs that a rule decides are the
+labelled sample. Siblings (nodes below one parent) whose shares of blocked URLs
+don't differ by more than Z standard errors are merged, neighbours in order of
+their share pairwise, and have their labels in common.
+
+The purity of a node, its share of blocked labels, is smoothed towards that of its
+parent as if WEIGHT labels of the parent were added: the host's towards the suffix's
+(the last part of the host name), the suffix's towards the corpus's. So a template
+without labels of its own has the purity of the nearest branch that has some. A
+template is rejected if its purity reaches REJECT and its host has LEAST labels; a
+host without is left to the rules.
 
 Equal (host, typed path) rows are counted first, so a hot host shrinks to its
 distinct typed paths before any join; the verdicts come back by a join on these.
@@ -17,8 +20,8 @@ distinct typed paths before any join; the verdicts come back by a join on these.
 Defined results: a null URL or one without `://` has an empty host and path, fits
 no rule and is judged by its (unlabelled) template, so allowed; repeated rows are
 judged each; no labels at all: everything beyond the rules is allowed; an empty
-table gives no rows; other columns pass through, but those named like a result are
-replaced by it.
+table gives no rows; other columns pass through, but those named like a result, _k,
+_verdict or _segments are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import table, written
+from pyspark.sql.window import Window
+
+from visitcast.llm.common import BROADCAST_ROWS, small, table, written
 
 #: (verdict, host, path): the rules of the registered query. Given as a short list, at most MOST_RULES.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -35,6 +40,7 @@ MOST_RULES = 1000
 DEPTH = 4
 #: A segment stays literal if it has this many URLs and this share (in thousandths) of its parent's.
 SUPPORT, SHARE = 3, 20
+#: Labels that a host needs.
 LEAST = 5
 Z = 1.96
 WEIGHT = 10.0
@@ -91,39 +97,56 @@ def templates(paths: DataFrame) -> DataFrame:
     return finished
 
 
-def _family(template: Column) -> Column:
-    """The template with its last literal segment replaced by *; itself if it has none."""
-    literal = F.transform(template, lambda s, i: F.when(~s.isin("{n}", "{h}", "*", "**"), i))
-    last = F.array_max(literal)
-    return F.when(last.isNull(), template).otherwise(F.transform(template, lambda s, i: F.when(i == last, F.lit("*")).otherwise(s)))
-
-
-def purity(counted: DataFrame, least: int = LEAST, z: float = Z, weight: float = WEIGHT, reject: float = REJECT) -> DataFrame:
-    """host, template, rejected, for the templates of `counted` (host, template, labelled, blocked)."""
-    each = counted.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).withColumn("family", _family(F.col("template")))
-    known = F.col("labelled") >= least
-    some = F.col("labelled") > 0
-    near_all = F.abs(F.col("blocked") - F.col("labelled") * F.col("all_bad") / F.col("all_n")) <= z * F.sqrt(F.col("labelled") * F.col("all_bad") / F.col("all_n") * (1 - F.col("all_bad") / F.col("all_n"))) + 1e-9
-    family = each.filter(some).groupBy("host", "family").agg(F.sum("labelled").alias("all_n"), F.sum("blocked").alias("all_bad"))
-    family = each.filter(some).join(family, ["host", "family"]).groupBy("host", "family").agg(F.first("all_n").alias("all_n"), F.first("all_bad").alias("all_bad"), F.bool_and(near_all).alias("all_alike"))
-    pool = each.filter(known).groupBy("host", "family").agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_bad"), F.count("*").alias("branches"))
-    one = each.join(pool, ["host", "family"], "left")
-    p = F.col("pool_bad") / F.col("pool_n")
-    near = F.abs(F.col("blocked") - F.col("labelled") * p) <= z * F.sqrt(F.col("labelled") * p * (1 - p)) + 1e-9
-    merged = one.groupBy("host", "family").agg(F.bool_and(F.when(known, near)).alias("alike"))
-    total = counted.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+def _prefixes(template: Column) -> Column:
+    """The template's nodes: its first segments to the last that isn't `*`, from none on, and all of them."""
+    said = F.filter(F.sequence(F.lit(1), F.greatest(F.size(template), F.lit(1))), lambda i: F.get(template, i - 1) != "*")
+    depths = F.array_distinct(F.concat(F.sequence(F.lit(0), F.coalesce(F.array_max(said), F.lit(0))), F.array(F.size(template))))
+    return F.transform(depths, lambda d: F.slice(template, F.lit(1), d))
+
+
+def nodes(tree: DataFrame, z: float = Z) -> DataFrame:
+    """host, node (a template's first segments, none for the root), labelled, blocked: with the labels of merged siblings in common."""
+    each = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).filter("labelled > 0")
+    counted = each.select("host", F.explode(_prefixes(F.col("template"))).alias("node"), "labelled", "blocked").groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    # A node has at most 1000 / SHARE literal children and three wildcards, so no window is large.
+    parent = F.slice("node", F.lit(1), F.greatest(F.size("node") - 1, F.lit(0)))
+    placed = counted.select("*", F.struct(parent.alias("p"), F.size("node").alias("d")).alias("family"))
+    order = Window.partitionBy("host", "family").orderBy(F.col("blocked") / F.col("labelled"), "node")
+    n, bad = F.lag("labelled").over(order), F.lag("blocked").over(order)
+    both = (bad + F.col("blocked")) / (n + F.col("labelled"))
+    near = F.abs(F.col("blocked") / F.col("labelled") - bad / n) <= z * F.sqrt(both * (1 - both) * (1 / n + 1 / F.col("labelled"))) + 1e-9
+    grouped = placed.withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_branch", F.sum("_new").over(order))
+    common = Window.partitionBy("host", "family", "_branch")
+    return grouped.select("host", "node", F.sum("labelled").over(common).alias("labelled"), F.sum("blocked").over(common).alias("blocked"))
+
+
+def _suffix(host: Column) -> Column:
+    return F.substring_index(host, ".", -1)
+
+
+def purity(tree: DataFrame, least: int = LEAST, z: float = Z, weight: float = WEIGHT, reject: float = REJECT, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """host, template, purity, rejected, for the templates of `tree` (host, template, labelled, blocked)."""
+    known = written(nodes(tree, z), "url-nodes")
+    roots = known.filter(F.size("node") == 0)
+    total = roots.agg(F.coalesce(F.sum("labelled"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     prior = total[1] / total[0] if total[0] else 0.0
-    use = known & F.coalesce("alike", F.lit(False)) & (F.col("branches") > 1)
-    n, bad = F.when(use, F.col("pool_n")).otherwise(F.col("labelled")), F.when(use, F.col("pool_bad")).otherwise(F.col("blocked"))
-    judged = one.join(merged, ["host", "family"], "left").join(family, ["host", "family"], "left")
-    few = some & ~known & F.coalesce("all_alike", F.lit(False)) & (F.col("all_n") >= least)
-    by_family = few & ((F.col("all_bad") + weight * prior) / (F.col("all_n") + weight) >= reject)
-    return judged.select("host", "template", F.coalesce((known & ((bad + weight * prior) / (n + weight) >= reject)) | by_family, F.lit(False)).alias("rejected"))
+    # Suffixes are few, hosts may be many.
+    ends = roots.groupBy(_suffix(F.col("host")).alias("suffix")).agg(((F.sum("blocked") + weight * prior) / (F.sum("labelled") + weight)).alias("prior"))
+    each = tree.select("host", "template").distinct()
+    way = each.select("host", "template", F.explode(_prefixes(F.col("template"))).alias("node")).join(small(known, rows), ["host", "node"])
+    chain = way.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct(F.size("node").alias("d"), "labelled", "blocked"))).alias("chain"))
+    based = chain.withColumn("suffix", _suffix(F.col("host"))).join(small(ends, rows), "suffix")
+    smooth = F.aggregate("chain", F.col("prior"), lambda p, x: (x["blocked"] + weight * p) / (x["labelled"] + weight))
+    judged = based.select("host", "template", smooth.alias("purity"), (F.get("chain", F.lit(0))["labelled"] >= least).alias("enough"))
+    found = judged.select(F.col("host").alias("_h"), F.col("template").alias("_t"), "purity", (F.col("enough") & (F.col("purity") >= reject)).alias("rejected"))
+    # Hosts without labels don't come back from the join with the nodes.
+    out = each.join(found, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")), "left")
+    return out.select("host", "template", "purity", F.coalesce("rejected", F.lit(False)).alias("rejected"))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """pages with host, path, rule, template and verdict."""
-    pages = pages.drop("host", "path", "rule", "template", "verdict")
+    """pages with host, path, rule, template, purity (null on hosts without labels) and verdict."""
+    pages = pages.drop("host", "path", "rule", "template", "purity", "verdict", "_verdict", "_segments")
     host, path = host_and_path(F.col("url"))
     rows = pages.withColumns({"host": host, "path": path})
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -131,7 +154,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     label = F.col("_verdict")
     paths = rows.groupBy("host", F.col("_segments").alias("segments")).agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label == "block").alias("blocked"))
     tree = written(templates(paths), "url-templates")
-    rejected = tree.join(purity(tree), ["host", "template"]).select("host", F.col("segments").alias("_segments"), F.array_join("template", "/").alias("template"), "rejected")
+    rejected = tree.join(purity(tree), ["host", "template"]).select("host", F.col("segments").alias("_segments"), F.array_join("template", "/").alias("template"), "purity", "rejected")
     joined = rows.join(rejected, ["host", "_segments"], "left")
     return joined.withColumn("verdict", F.coalesce(label, F.when(F.col("rejected"), "block").otherwise("allow"))).drop("_verdict", "_segments", "rejected")
 
@@ -141,7 +164,6 @@ def op5_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    special = "('{n}', '{h}', '*', '**')"
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
     longest = sorted(RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for _, h, p in longest) + " END"
@@ -162,18 +184,22 @@ uf_rows AS (
   FROM uf_parts),
 uf_t0 AS (SELECT host, segs, count(*) AS n, count(v) AS labelled, count(*) FILTER (v = 'block') AS blocked, CAST([] AS VARCHAR[]) AS tm FROM uf_rows GROUP BY host, segs),{levels}
 uf_tree AS (SELECT * EXCLUDE (tm), CASE WHEN len(segs) > {DEPTH} THEN list_append(tm, '**') ELSE tm END AS tm FROM uf_t{DEPTH}),
-uf_each AS (SELECT host, tm, sum(labelled) AS labelled, sum(blocked) AS blocked, list_max(list_filter(range(1, len(tm) + 1), lambda i: tm[i] NOT IN {special})) AS lit FROM uf_tree GROUP BY host, tm),
-uf_fam AS (SELECT *, CASE WHEN lit IS NULL THEN tm ELSE list_transform(range(1, len(tm) + 1), lambda i: CASE WHEN i = lit THEN '*' ELSE tm[i] END) END AS family FROM uf_each),
-uf_pool AS (SELECT host, family, sum(labelled) AS pn, sum(blocked) AS pb, count(*) AS branches FROM uf_fam WHERE labelled >= {LEAST} GROUP BY ALL),
-uf_alike AS (
-  SELECT f.host, f.family, bool_and(abs(blocked - labelled * (pb / pn)) <= {Z} * sqrt(labelled * (pb / pn) * (1 - pb / pn)) + 1e-9) AS alike
-  FROM uf_fam f JOIN uf_pool USING (host, family) WHERE labelled >= {LEAST} GROUP BY ALL),
-uf_prior AS (SELECT coalesce(sum(blocked) / nullif(sum(labelled), 0), 0) AS prior FROM uf_tree),
+uf_pre AS (SELECT host, tm[1:d] AS node, sum(labelled) AS n, sum(blocked) AS b FROM (SELECT host, tm, labelled, blocked, unnest(list_filter(range(0, len(tm) + 1), lambda d: d = len(tm) OR len(list_filter(tm[d:], lambda s: s <> '*')) > 0 OR d = 0)) AS d FROM uf_tree WHERE labelled > 0) GROUP BY ALL),
+uf_lag AS (
+  SELECT *, lag(n) OVER w AS n0, lag(b) OVER w AS b0 FROM (SELECT *, node[1:greatest(len(node) - 1, 0)] AS par, len(node) AS d FROM uf_pre) WINDOW w AS (PARTITION BY host, par, d ORDER BY b / n, node)),
+uf_new AS (SELECT *, CASE WHEN abs(b / n - b0 / n0) <= {Z} * sqrt(((b0 + b) / (n0 + n)) * (1 - (b0 + b) / (n0 + n)) * (1 / n0 + 1 / n)) + 1e-9 THEN 0 ELSE 1 END AS fresh FROM uf_lag),
+uf_branch AS (SELECT *, sum(fresh) OVER (PARTITION BY host, par, d ORDER BY b / n, node) AS branch FROM uf_new),
+uf_node AS (SELECT host, node, d, sum(n) OVER (PARTITION BY host, par, d, branch) AS n, sum(b) OVER (PARTITION BY host, par, d, branch) AS b FROM uf_branch),
+uf_prior AS (SELECT coalesce(sum(b) / nullif(sum(n), 0), 0) AS prior FROM uf_node WHERE d = 0),
+uf_end AS (SELECT regexp_extract(host, '[^.]*$') AS suffix, (sum(b) + {WEIGHT} * any_value(prior)) / (sum(n) + {WEIGHT}) AS p FROM uf_node, uf_prior WHERE d = 0 GROUP BY ALL),
+uf_way AS (
+  SELECT t.host, t.tm, list({{'n': CAST(n.n AS DOUBLE), 'b': CAST(n.b AS DOUBLE)}} ORDER BY n.d) AS way, max(n.n) FILTER (n.d = 0) AS own
+  FROM (SELECT DISTINCT host, tm FROM uf_tree) t JOIN uf_node n ON n.host = t.host AND n.d <= len(t.tm) AND n.node = t.tm[1:n.d] GROUP BY ALL),
 uf_judged AS (
-  SELECT f.host, f.tm, f.labelled >= {LEAST} AND (CASE WHEN alike AND branches > 1 THEN pb ELSE blocked END + {WEIGHT} * prior) / (CASE WHEN alike AND branches > 1 THEN pn ELSE labelled END + {WEIGHT}) >= {REJECT} AS rejected
-  FROM uf_fam f LEFT JOIN uf_pool USING (host, family) LEFT JOIN uf_alike USING (host, family) CROSS JOIN uf_prior)
+  SELECT w.host, w.tm, own >= {LEAST} AND list_reduce(list_prepend(e.p, list_transform(way, lambda x: CAST(NULL AS DOUBLE))), lambda p, x, i: (way[i - 1].b + {WEIGHT} * p) / (way[i - 1].n + {WEIGHT})) >= {REJECT} AS rejected
+  FROM uf_way w JOIN uf_end e ON e.suffix = regexp_extract(w.host, '[^.]*$'))
 SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.v, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict, array_to_string(t.tm, '/') AS template
-FROM uf_rows r JOIN uf_tree t ON t.host = r.host AND t.segs = r.segs JOIN uf_judged j ON j.host = t.host AND j.tm = t.tm"""
+FROM uf_rows r JOIN uf_tree t ON t.host = r.host AND t.segs = r.segs LEFT JOIN uf_judged j ON j.host = t.host AND j.tm = t.tm"""
 
 
 ORACLE_SQL = _sql()
