@@ -50,9 +50,12 @@ def _boxes(polygons: DataFrame) -> DataFrame:
 
 def district_from_text(df: DataFrame, districts: DataFrame, address: str = "address") -> DataFrame:
     """df with the longest district name that its address contains (ties by name); null if none does."""
-    names = dimension(districts.select(F.col("district").alias("_name")).distinct())
-    distinct = df.select(F.col(address).alias("_a")).distinct()
-    hits = distinct.join(names, F.col("_a").contains(F.col("_name")))
+    # Names meet the addresses that hold their first two characters, so that the join is on a key.
+    names = districts.filter(F.length("district") > 0).select(F.col("district").alias("_name"), F.substring("district", 1, 2).alias("_gram")).distinct()
+    distinct = df.select(F.col(address).alias("_a")).filter(F.col(address).isNotNull()).distinct()
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("_a"), F.lit(1))), lambda i: F.substring(F.col("_a"), i, F.lit(n)))
+    grams = distinct.select("_a", F.explode(F.array_distinct(F.concat(cut(1), cut(2)))).alias("_gram"))
+    hits = grams.join(dimension(names), "_gram").filter(F.col("_a").contains(F.col("_name")))
     best = hits.groupBy("_a").agg(F.min(F.struct((-F.length("_name")).alias("l"), "_name")).alias("b")).select("_a", F.col("b._name").alias("district"))
     return df.join(best, F.col(address) == F.col("_a"), "left").drop("_a")
 

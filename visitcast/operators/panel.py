@@ -8,28 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from visitcast.operators.icd import dimension
-
 COUNTS = ("visit_amount", "death_amount", "emergency_amount")
 
 
 def panel(spark: SparkSession, start: date, end: date, districts: DataFrame, diseases: DataFrame) -> DataFrame:
     """Every date from start to end with every district and disease; the two lists are dimensions."""
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("INTERVAL 1 DAY"))).alias("date"))
+    return panel_over(spark.range(1).select(F.lit(start).alias("start"), F.lit(end).alias("end")), districts, diseases)
+
+
+def span(df: DataFrame, day: str) -> DataFrame:
+    """start, end: the first and last day of a table, one row."""
+    return df.agg(F.min(day).alias("start"), F.max(day).alias("end"))
+
+
+def panel_over(days: DataFrame, districts: DataFrame, diseases: DataFrame) -> DataFrame:
+    """panel() from `start` to `end` of a one-row table, without reading it first."""
+    dates = days.select(F.explode(F.sequence("start", "end", F.expr("INTERVAL 1 DAY"))).alias("date"))
     lists = districts.select("district").distinct().agg(F.sort_array(F.collect_list("district")).alias("_a")), diseases.select("disease").distinct().agg(F.sort_array(F.collect_list("disease")).alias("_b"))
     # Two one-row tables: the panel itself arises in parallel from the exploded lists.
-    return days.join(F.broadcast(lists[0])).join(F.broadcast(lists[1])).repartition("date").select("date", F.explode("_a").alias("district"), "_b").select("date", "district", F.explode("_b").alias("disease"))
+    return dates.join(F.broadcast(lists[0])).join(F.broadcast(lists[1])).repartition("date").select("date", F.explode("_a").alias("district"), "_b").select("date", "district", F.explode("_b").alias("disease"))
 
 
 def merge_features(base: DataFrame, visits: DataFrame | None = None, air: DataFrame | None = None, deaths: DataFrame | None = None, weather: DataFrame | None = None, emergency: DataFrame | None = None, embedding: DataFrame | None = None) -> DataFrame:
-    """base with the given tables left-joined: by date, district and disease, or date and district (these broadcast if small)."""
+    """base with the given tables left-joined: by date, district and disease, or date and district.
+
+    Whether a table is small enough to broadcast is known once it is aggregated, so that is left to adaptive execution.
+    """
     out = base
     for t in (visits, embedding):
         if t is not None:
             out = out.join(t, ["date", "district", "disease"], "left")
     for t in (air, deaths, weather, emergency):
         if t is not None:
-            out = out.join(dimension(t), ["date", "district"], "left")
+            out = out.join(t, ["date", "district"], "left")
     return out
 
 
@@ -62,5 +73,8 @@ def add_weekday(df: DataFrame) -> DataFrame:
     return df.withColumn("weekday", F.weekday("date"))
 
 
-def full_history(df: DataFrame, start: date, days: int = 7) -> DataFrame:
+def full_history(df: DataFrame, start: date | DataFrame, days: int = 7) -> DataFrame:
+    """Rows with all their days before; start: the panel's first day, or the one-row table of span()."""
+    if isinstance(start, DataFrame):
+        return df.join(F.broadcast(start.select(F.col("start").alias("_start"))), F.col("date") >= F.date_add("_start", days)).drop("_start")
     return df.filter(F.col("date") >= F.date_add(F.lit(start), days))

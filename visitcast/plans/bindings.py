@@ -5,20 +5,13 @@ CTE holds named relations; with_(names, query) writes the WITH clause that they
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CITY = "ASIA"
 AIR = ["click", "view", "purchase"]
 WEATHER = ["error", "signup"]
-#: Days from the readings' dates to the merge days, and the merge days.
-SHIFT = 10592
-START, END = date(1995, 1, 1), date(1995, 1, 30)
-HISTORY_START, HISTORY_END = date(1995, 1, 1), date(1995, 3, 31)
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-HOURS = 720
 POLYGONS = {
     "A": [(0, 0), (5, 0), (5, 5), (0, 5)],
     "B": [(5, 0), (9, 0), (9, 8), (7, 8), (7, 5), (5, 5)],
@@ -64,6 +57,18 @@ def deaths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return final.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(F.to_date("o_orderdate").alias("date"), "district", _gender("o_custkey").alias("gender"), (F.col("o_custkey") % 90 + 1).cast("int").alias("age"))
 
 
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """start, end: the first and last day with visits, one row."""
+    return table(spark, sf_dir, "orders").agg(F.min(F.to_date("o_orderdate")).alias("start"), F.max(F.to_date("o_orderdate")).alias("end"))
+
+
+def placed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings moved so that their first day is the visits' first day: the two tables are of different years."""
+    found = readings(spark, sf_dir)
+    moved = found.agg(F.min(F.to_date("ts")).alias("_first")).join(F.broadcast(days(spark, sf_dir))).select(F.date_diff("_first", "start").alias("_shift"))
+    return found.join(F.broadcast(moved)).withColumn("ts", F.date_sub(F.to_date("ts"), F.col("_shift"))).drop("_shift")
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("district"))
     events = table(spark, sf_dir, "events").withColumn("station", (F.col("user_id") % 12).cast("int"))
@@ -71,13 +76,12 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """indicator, t (hour), value: means per hour, with gaps made by rule."""
+    """indicator, t (hour since the first day), value: means per hour; hours without a reading are gaps."""
     events = table(spark, sf_dir, "events").select("event_type", "ts", "value")
     first = events.agg(F.min(F.date_trunc("day", "ts")).alias("day0"))
     hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("day0").cast("timestamp"))) / 3_600_000_000)
-    timed = events.join(F.broadcast(first)).select(F.col("event_type").alias("indicator"), hour.cast("int").alias("t"), "value").filter(F.col("t").between(0, HOURS - 1))
-    kept = timed.groupBy("indicator", "t").agg(F.avg("value").alias("value"))
-    return kept.filter((F.col("t") * 7 + F.length("indicator")) % 11 != 0)
+    timed = events.join(F.broadcast(first)).select(F.col("event_type").alias("indicator"), hour.cast("int").alias("t"), "value")
+    return timed.groupBy("indicator", "t").agg(F.avg("value").alias("value"))
 
 
 def icd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +132,12 @@ CTE = {
     "emergency": f"SELECT CAST(o_orderdate AS DATE) AS visit_date, cr.r_name AS district FROM orders {_DISTRICT} WHERE o_orderpriority = '1-URGENT'",
     "deaths": f"SELECT CAST(o_orderdate AS DATE) AS date, cr.r_name AS district, {_PEOPLE} FROM orders {_DISTRICT} WHERE o_orderstatus = 'F'",
     "readings": "SELECT ts, r_name AS district, event_type AS indicator, value FROM events JOIN region ON CAST(user_id % 12 AS INTEGER) % 5 = r_regionkey",
-    "hourly": f"""SELECT indicator, t, avg(value) AS value FROM (SELECT event_type AS indicator, value,
+    "hourly": """SELECT indicator, t, avg(value) AS value FROM (SELECT event_type AS indicator, value,
       CAST(floor((epoch_us(ts) - (SELECT epoch_us(date_trunc('day', min(ts))) FROM events)) / 3600000000) AS INTEGER) AS t FROM events)
-      WHERE t BETWEEN 0 AND {HOURS - 1} AND (t * 7 + length(indicator)) % 11 <> 0 GROUP BY ALL""",
+      GROUP BY ALL""",
     "grid": """SELECT g.indicator, g.t, h.value FROM (SELECT indicator, CAST(unnest(range(min(t), max(t) + 1)) AS INTEGER) AS t FROM hourly GROUP BY indicator) g
       LEFT JOIN hourly h ON h.indicator = g.indicator AND h.t = g.t""",
+    "days": "SELECT min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM orders",
     "icd": "SELECT 'D' || lpad(CAST(row_number() OVER (ORDER BY name) AS VARCHAR), 3, '0') AS code, name FROM (SELECT DISTINCT p_name AS name FROM part)",
     "dirty": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE p_name[1:p_partkey % length(p_name)] || p_name[p_partkey % length(p_name) + 2:] END AS raw FROM part""",
     "points": "SELECT c_custkey, (c_acctbal + 1000) / 1000 AS lon, c_custkey % 97 / 10 AS lat FROM customer",

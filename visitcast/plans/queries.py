@@ -8,7 +8,7 @@ two engines hand them to Python in different types.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
-SPLIT = date(1995, 3, 1)
+#: Share of the days that models are trained on.
+TRAINED = 0.75
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -55,8 +56,10 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
     return visits.dedup_visits(city, b.LINE)
 
 
-def _at_merge(readings: DataFrame) -> DataFrame:
-    return readings.withColumn("ts", F.date_sub(F.to_date("ts"), b.SHIFT))
+def _split(spark: SparkSession, sf: str) -> date:
+    """The day from which on rows are for testing; read before a fit, which is an action too."""
+    start, end = b.days(spark, sf).first()
+    return start + timedelta(days=int((end - start).days * TRAINED))
 
 
 # -- descriptive statistics ---------------------------------------------------
@@ -64,7 +67,7 @@ def _at_merge(readings: DataFrame) -> DataFrame:
 
 @query
 def profile_(spark, sf):
-    p = profile.profile(b.table(spark, sf, "lineitem"), PROFILED)
+    p = profile.profile(b.table(spark, sf, "lineitem"), PROFILED, exact=True)
     return p.select("column", "n", "nulls", "n_distinct", *[rnd(c, 4).alias(c) for c in ("min", "max", "mean", "std")])
 
 
@@ -169,14 +172,14 @@ ORACLE_SQL["district_text"] = b.with_(["addresses"], "SELECT c_custkey, (SELECT
 def district_geocoded(spark, sf):
     """Gazetteer coordinates first, then the name in the text."""
     where = b.points(spark, sf).join(b.addresses(spark, sf), "c_custkey")
-    known = where.filter("c_custkey % 3 = 0").select("address", "lon", "lat")
+    known = where.select("address", "lon", "lat")
     names = b.table(spark, sf, "region").select(F.col("r_name").alias("district"))
     return address.clean_district(b.addresses(spark, sf), known, b.polygons(spark), names).select("c_custkey", "district")
 
 
 ORACLE_SQL["district_geocoded"] = b.with_(
     ["points", "edges", "addresses"],
-    """, hits AS (SELECT c_custkey, district FROM points, edges WHERE c_custkey % 3 = 0 GROUP BY c_custkey, district
+    """, hits AS (SELECT c_custkey, district FROM points, edges GROUP BY c_custkey, district
   HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND CASE WHEN y2 = y1 THEN false ELSE lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 END) % 2 = 1)
 SELECT c_custkey, coalesce((SELECT min(district) FROM hits WHERE hits.c_custkey = addresses.c_custkey), (SELECT r_name FROM region WHERE contains(address, r_name) ORDER BY length(r_name) DESC, r_name LIMIT 1)) AS district FROM addresses""",
 )
@@ -334,7 +337,7 @@ ORACLE_SQL["patient_sentences"] = b.with_(
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     clean = _clean(spark, sf)
-    sentences = embedding.patient_sentences(clean, as_of=SPLIT)
+    sentences = embedding.patient_sentences(clean, as_of=_split(spark, sf))
     return clean, embedding.patient_vectors(embedding.fit_word2vec(sentences), sentences)
 
 
@@ -353,68 +356,116 @@ def embedding_features(spark, sf):
 # -- panel and history --------------------------------------------------------
 
 
-def _panel(spark: SparkSession, sf: str, start: date, end: date) -> DataFrame:
+def _panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Every day between the first and the last visit, every district and disease."""
     districts = b.table(spark, sf, "region").select(F.col("r_name").alias("district"))
-    return panel.panel(spark, start, end, districts, b.table(spark, sf, "part").select(F.col("p_type").alias("disease")))
+    return panel.panel_over(b.days(spark, sf), districts, b.table(spark, sf, "part").select(F.col("p_type").alias("disease")))
 
 
-def _panel_sql(start: date, end: date) -> str:
-    return f"(SELECT CAST(d AS DATE) AS date, r_name AS district, disease FROM (SELECT unnest(generate_series(DATE '{start}', DATE '{end}', INTERVAL 1 DAY)) AS d), region, (SELECT DISTINCT p_type AS disease FROM part))"
+_PANEL = f"(SELECT CAST(d AS DATE) AS date, r_name AS district, disease FROM (SELECT unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS d FROM ({b.CTE['days']})), region, (SELECT DISTINCT p_type AS disease FROM part))"
+_FIRST = f"(SELECT first_day FROM ({b.CTE['days']}))"
 
 
 @query
 def panel_(spark, sf):
-    return _panel(spark, sf, b.START, b.END)
+    return _panel(spark, sf)
 
 
-ORACLE_SQL["panel"] = f"SELECT * FROM {_panel_sql(b.START, b.END)}"
+ORACLE_SQL["panel"] = f"SELECT * FROM {_PANEL}"
 
 _MERGED = ["visit_amount", "visit_age_mean", "death_amount", "death_age_mean", "emergency_amount", "click_mean", "purchase_std_remove", "error_mean"]
 
 
+_AGES = ["visit_age_mean", "visit_age_std", "death_age_mean", "death_age_std"]
+_SHARES = ["visit_gender_f", "death_gender_f"]
+_READ = [f"{i}_{f}" for i in [*b.AIR, *b.WEATHER] for f in ("mean", "mean_remove", "std", "std_remove")]
+#: The features of the wide table that are lagged.
+WIDE = [*panel.COUNTS, *_AGES, *_SHARES, *_READ]
+
+
+def _merged(spark: SparkSession, sf: str, vectors: DataFrame | None = None) -> DataFrame:
+    """All feature tables on the panel; the readings' two pivots come from one aggregation."""
+    readings = environment.air_features(b.placed_readings(spark, sf).filter(F.col("indicator").isin([*b.AIR, *b.WEATHER])))
+    clean = _clean(spark, sf)
+    return panel.fill_counts(
+        panel.merge_features(
+            _panel(spark, sf),
+            visits=visits.visit_features(clean),
+            air=environment.pivot_indicators(readings, [*b.AIR, *b.WEATHER], ("mean", "mean_remove", "std", "std_remove")),
+            deaths=visits.death_features(b.deaths(spark, sf)),
+            emergency=visits.emergency_features(b.emergency(spark, sf)),
+            embedding=None if vectors is None else embedding.embedding_features(clean, vectors),
+        )
+    )
+
+
 @query
 def merge_features(spark, sf):
-    readings = _at_merge(b.readings(spark, sf))
-    merged = panel.merge_features(
-        _panel(spark, sf, b.START, b.END),
-        visits=visits.visit_features(_clean(spark, sf)),
-        air=environment.pivot_indicators(environment.air_features(readings), b.AIR),
-        deaths=visits.death_features(b.deaths(spark, sf)),
-        weather=environment.weather_features(readings, b.WEATHER),
-        emergency=visits.emergency_features(b.emergency(spark, sf)),
-    )
-    return panel.fill_counts(merged).select("date", "district", "disease", *[(F.col(c) if c.endswith("amount") else rnd(c)).alias(c) for c in _MERGED])
+    return _merged(spark, sf).select("date", "district", "disease", *[(F.col(c) if c.endswith("amount") else rnd(c)).alias(c) for c in _MERGED])
 
 
-ORACLE_SQL["merge_features"] = b.with_(
-    ["visits", "city", "clean", "readings", "deaths", "emergency"],
+_MERGED_NAMES = ["visits", "city", "clean", "readings", "deaths", "emergency"]
+_MERGED_SQL = (
     _AIR
-    + f""", rd AS (SELECT CAST(date - INTERVAL {b.SHIFT} DAY AS DATE) AS date, district, any_value(x_mean) FILTER (indicator = 'click') AS click_mean,
-  any_value(x_std_remove) FILTER (indicator = 'purchase') AS purchase_std_remove, any_value(x_mean) FILTER (indicator = 'error') AS error_mean FROM airs GROUP BY ALL),
-v AS (SELECT visit_date AS date, district, disease, count(*) AS n, avg(age) AS m FROM clean GROUP BY ALL), dt AS (SELECT date, district, count(*) AS n, avg(age) AS m FROM deaths GROUP BY ALL),
-e AS (SELECT visit_date AS date, district, count(*) AS n FROM emergency GROUP BY ALL)
-SELECT p.date, p.district, p.disease, coalesce(v.n, 0) AS visit_amount, {r('v.m')} AS visit_age_mean, coalesce(dt.n, 0) AS death_amount, {r('dt.m')} AS death_age_mean,
-  coalesce(e.n, 0) AS emergency_amount, {r('click_mean')} AS click_mean, {r('purchase_std_remove')} AS purchase_std_remove, {r('error_mean')} AS error_mean
-FROM {_panel_sql(b.START, b.END)} p LEFT JOIN v USING (date, district, disease) LEFT JOIN dt USING (date, district) LEFT JOIN e USING (date, district) LEFT JOIN rd USING (date, district)""",
+    + f""", moved AS (SELECT (SELECT min(CAST(ts AS DATE)) FROM readings) - first_day AS shift FROM ({b.CTE['days']})),
+rd AS (SELECT CAST(date - to_days(CAST(shift AS INTEGER)) AS DATE) AS date, district, {', '.join(f"any_value(x_{f}) FILTER (indicator = '{i}') AS {i}_{f}" for i in [*b.AIR, *b.WEATHER] for f in ('mean', 'mean_remove', 'std', 'std_remove'))} FROM airs, moved GROUP BY ALL),
+v AS (SELECT visit_date AS date, district, disease, count(*) AS n, avg(age) AS m, stddev_samp(age) AS s, count(*) FILTER (gender = 'F') / nullif(count(gender), 0) AS f FROM clean GROUP BY ALL),
+dt AS (SELECT date, district, count(*) AS n, avg(age) AS m, stddev_samp(age) AS s, count(*) FILTER (gender = 'F') / nullif(count(gender), 0) AS f FROM deaths GROUP BY ALL),
+e AS (SELECT visit_date AS date, district, count(*) AS n FROM emergency GROUP BY ALL),
+merged AS (
+  SELECT p.date, p.district, p.disease, coalesce(v.n, 0) AS visit_amount, v.m AS visit_age_mean, v.s AS visit_age_std, v.f AS visit_gender_f, coalesce(dt.n, 0) AS death_amount, dt.m AS death_age_mean,
+    dt.s AS death_age_std, dt.f AS death_gender_f, coalesce(e.n, 0) AS emergency_amount, rd.* EXCLUDE (date, district)
+  FROM {_PANEL} p LEFT JOIN v USING (date, district, disease) LEFT JOIN dt USING (date, district) LEFT JOIN e USING (date, district) LEFT JOIN rd USING (date, district))
+"""
+)
+ORACLE_SQL["merge_features"] = b.with_(_MERGED_NAMES, _MERGED_SQL + f"SELECT date, district, disease, {', '.join(c if c.endswith('amount') else f'{r(c)} AS {c}' for c in _MERGED)} FROM merged")
+
+
+def _wide(spark: SparkSession, sf: str, vectors: DataFrame | None = None) -> DataFrame:
+    """The wide table: every feature of each of the seven days before, the target and its weekday."""
+    cols = [*WIDE, *(["embedding"] if vectors is not None else [])]
+    merged = _merged(spark, sf, vectors).select("date", "district", "disease", *cols)
+    lagged = panel.add_weekday(panel.add_target(panel.add_history(merged, cols)))
+    return panel.full_history(lagged, b.days(spark, sf)).drop(*cols)
+
+
+def _lags(cols: list[str]) -> list[str]:
+    return [f"{c}_lag{i}" for c in cols for i in range(1, 8)]
+
+
+@query
+def wide_table(spark, sf):
+    """All feature tables merged, with the seven days before of each feature."""
+    return _wide(spark, sf).select("date", "district", "disease", "target", "weekday", *[(F.col(c) if "amount" in c else rnd(c)).alias(c) for c in _lags(WIDE)])
+
+
+def _lag_sql(c: str, i: int) -> str:
+    x = f"lag({c}, {i}) OVER (PARTITION BY district, disease ORDER BY date)"
+    return f"{x if c.endswith('amount') else r(x)} AS {c}_lag{i}"
+
+
+ORACLE_SQL["wide_table"] = b.with_(
+    _MERGED_NAMES,
+    _MERGED_SQL + f"SELECT * FROM (SELECT date, district, disease, visit_amount AS target, CAST(isodow(date) - 1 AS INTEGER) AS weekday, {', '.join(_lag_sql(c, i) for c in WIDE for i in range(1, 8))} FROM merged) WHERE date >= {_FIRST} + 7",
 )
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
-    base = _panel(spark, sf, b.HISTORY_START, b.HISTORY_END)
+    base = _panel(spark, sf)
     counted = visits.visit_features(_clean(spark, sf)).select("date", "district", "disease", "visit_amount", "visit_age_mean")
     return panel.fill_counts(panel.merge_features(base, visits=counted))
 
 
 _LAGS = [f"visit_amount_lag{i}" for i in range(1, 8)]
 _DAILY = f""", counted AS (SELECT visit_date AS date, district, disease, count(*) AS n FROM clean GROUP BY ALL),
-daily AS (SELECT p.date, p.district, p.disease, coalesce(n, 0) AS visit_amount FROM {_panel_sql(b.HISTORY_START, b.HISTORY_END)} p LEFT JOIN counted USING (date, district, disease)),
+daily AS (SELECT p.date, p.district, p.disease, coalesce(n, 0) AS visit_amount FROM {_PANEL} p LEFT JOIN counted USING (date, district, disease)),
 hist AS (SELECT *, {', '.join(f'lag(visit_amount, {i}) OVER (PARTITION BY district, disease ORDER BY date) AS visit_amount_lag{i}' for i in range(1, 8))} FROM daily)
 """
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
     full = panel.add_weekday(panel.add_target(panel.add_history(_daily(spark, sf), ["visit_amount", "visit_age_mean"])))
-    return panel.full_history(full, b.HISTORY_START)
+    return panel.full_history(full, b.days(spark, sf))
 
 
 @query
@@ -423,7 +474,7 @@ def history_dense(spark, sf):
     return _history(spark, sf).select("date", "district", "disease", "target", *_LAGS)
 
 
-ORACLE_SQL["history_dense"] = b.with_(["visits", "city", "clean"], _DAILY + f"SELECT date, district, disease, visit_amount AS target, {', '.join(_LAGS)} FROM hist WHERE date >= DATE '{b.HISTORY_START}' + 7")
+ORACLE_SQL["history_dense"] = b.with_(["visits", "city", "clean"], _DAILY + f"SELECT date, district, disease, visit_amount AS target, {', '.join(_LAGS)} FROM hist WHERE date >= {_FIRST} + 7")
 
 
 @query
@@ -474,7 +525,7 @@ def r2_by_series(spark, sf):
 ORACLE_SQL["r2_by_series"] = b.with_(
     ["visits", "city", "clean"],
     _DAILY
-    + f""", p AS (SELECT district, disease, visit_amount AS y, visit_amount_lag7 AS p, avg(visit_amount) OVER (PARTITION BY district, disease) AS m FROM hist WHERE date >= DATE '{b.HISTORY_START}' + 7)
+    + f""", p AS (SELECT district, disease, visit_amount AS y, visit_amount_lag7 AS p, avg(visit_amount) OVER (PARTITION BY district, disease) AS m FROM hist WHERE date >= {_FIRST} + 7)
 SELECT district, disease, count(*) AS n, {r('1 - sum((y - p) ^ 2) / nullif(sum((y - m) ^ 2), 0)')} AS r2 FROM p GROUP BY ALL""",
 )
 
@@ -487,14 +538,20 @@ def curve(spark, sf):
 
 ORACLE_SQL["curve"] = b.with_(
     ["visits", "city", "clean"],
-    _DAILY + f"SELECT date, district, 'A_L' AS block, CAST(sum(visit_amount) AS BIGINT) AS actual, {r('CAST(sum(visit_amount_lag7) AS DOUBLE)')} AS predicted FROM hist WHERE date >= DATE '{b.HISTORY_START}' + 7 AND disease < 'M' AND district = 'ASIA' GROUP BY date, district",
+    _DAILY + f"SELECT date, district, 'A_L' AS block, CAST(sum(visit_amount) AS BIGINT) AS actual, {r('CAST(sum(visit_amount_lag7) AS DOUBLE)')} AS predicted FROM hist WHERE date >= {_FIRST} + 7 AND disease < 'M' AND district = 'ASIA' GROUP BY date, district",
 )
 
-FEATURES = [*_LAGS, "visit_age_mean_lag1", "weekday", "district_index", "disease_index"]
+#: Components of the embedding, of the day before.
+_EMBEDDED = [f"embedding_lag1_{i}" for i in range(16)]
+FEATURES = [*_lags(WIDE), *_EMBEDDED, "weekday", "district_index", "disease_index"]
 
 
 def _forest(spark: SparkSession, sf: str):
-    train, test = forecast.split_by_date(forecast.drop_multi(_history(spark, sf)), SPLIT)
+    """The forest on the wide table: environment, weather, deaths, emergencies, visits and patient vectors of the days before."""
+    split = _split(spark, sf)
+    wide = _wide(spark, sf, _vectors(spark, sf)[1])
+    flat = wide.withColumns({c: F.get("embedding_lag1", F.lit(i)) for i, c in enumerate(_EMBEDDED)}).drop(*_lags(["embedding"])).cache()
+    train, test = forecast.split_by_date(forecast.drop_multi(flat), split)
     codes = forecast.encode_categories(train, ["district", "disease"])
     return forecast.fit_forest(codes.transform(train), FEATURES), codes.transform(test)
 
@@ -526,7 +583,7 @@ def crossed_features(spark, sf):
 
 #: Columns that are dates in the SQL.
 _DATES = {
-    **dict.fromkeys(("air_features", "air_pivot", "weather_features", "death_features", "visit_features", "emergency_features", "panel", "merge_features", "history_dense", "history_sparse", "multi_counts", "curve"), "date"),
+    **dict.fromkeys(("air_features", "air_pivot", "weather_features", "death_features", "visit_features", "emergency_features", "panel", "merge_features", "wide_table", "history_dense", "history_sparse", "multi_counts", "curve"), "date"),
     **dict.fromkeys(("city_filter", "visit_dedup"), "visit_date"),
     "tidy_fields": "tidy_date",
 }
