@@ -111,3 +111,20 @@ def test_common():
     assert minhash._common(x, y).tolist() == [[len(set(a) & set(b)) for b in y] for a in x]
     twice = minhash._common(x, x)
     assert all(twice[i, j] == len(set(x[i]) & set(x[j])) for i in range(3) for j in range(3) if i != j)
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    """Stars cut into blocks of few members and few shingles give the components of uncut ones."""
+    r = random.Random(21)
+    base = [words(r, 120).split() for _ in range(3)]
+    texts = []
+    for k in range(60):
+        w = list(base[k % 3])
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"n{r.randint(0, 9)}"
+        texts.append(" ".join(w))
+    df = documents(spark, texts)
+    whole = {x.doc_id: x.component_id for x in minhash.components(df, 3, 85).collect()}
+    monkeypatch.setattr(minhash, "SHINGLES", 600)
+    assert {x.doc_id: x.component_id for x in minhash.components(df, 3, 85, block=7, broadcast_rows=0).collect()} == whole
+    assert 3 <= len(set(whole.values())) < 60

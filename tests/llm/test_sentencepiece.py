@@ -41,18 +41,20 @@ def test_library_alone_agrees(codec):
     assert codec.decode_by_library(ids) == codec.decode(ids) == texts
 
 
-def test_generations(monkeypatch):
-    monkeypatch.setattr(s, "REMEMBERED", 50)
+def test_memory_is_bounded_in_bytes(monkeypatch):
+    """Neither many words nor texts of one unit each stay in the worker beyond the bound."""
+    monkeypatch.setattr(s, "REMEMBERED", 20_000)
     r = random.Random(1)
     c = s.Codec(MODEL)
-    for _ in range(20):
-        text = " ".join(f"x{r.randint(0, 90)}" for _ in range(60))
+    for k in range(20):
+        text = "".join(r.choice("abcdefgh") for _ in range(9000)) if k % 3 == 0 else " ".join(f"x{r.randint(0, 90)}" for _ in range(60))
         assert c.encode([text])[0].tolist() == c.reference.encode(text)
-        assert len(c.known) <= 50 + 60
+        size = lambda known: sum(len(u) + len(x) for u, x in known.items())
+        assert size(c.known) <= 20_000 + 50_000 and size(c.older) <= 40_000
 
 
-def test_unigram_model():
-    """A unigram model with byte fallback, spelled out by hand: both libraries agree on it."""
+def _model(extra: list[tuple[str, float, int]]) -> bytes:
+    """A unigram model with byte fallback, spelled out by hand."""
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
@@ -63,11 +65,18 @@ def test_unigram_model():
     m.normalizer_spec.add_dummy_prefix = True
     m.normalizer_spec.remove_extra_whitespaces = False
     m.normalizer_spec.escape_whitespaces = True
-    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(f"<0x{i:02X}>", 0, 6) for i in range(256)], ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.1, 1), ("▁a", -3.2, 1), ("ab", -3.3, 1), ("▁ab", -4.0, 1), ("bab", -4.4, 1)]:
+    for piece, score, kind in [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *[(f"<0x{i:02X}>", 0, 6) for i in range(256)], ("▁", -2.0, 1), ("a", -3.0, 1), ("b", -3.1, 1), ("▁a", -3.2, 1), ("ab", -3.3, 1), ("▁ab", -4.0, 1), ("bab", -4.4, 1), *extra]:
         p = m.pieces.add()
         p.piece, p.score, p.type = piece, score, kind
-    c = s.Codec(m.SerializeToString())
-    for text in ("abab ba", "a", "", "bab abab  aab", "aé b"):
+    return m.SerializeToString()
+
+
+@pytest.mark.parametrize(("extra", "splits"), [([], True), ([("ab▁b", -3.4, 1)], False)])
+def test_unigram_model(extra, splits):
+    """Both libraries agree, unit by unit and, where a piece holds a marker inside, text by text."""
+    c = s.Codec(_model(extra))
+    assert c.splits == splits
+    for text in ("abab ba", "a", "", "bab abab  aab", "aé b", "ab b ab bab"):
         ids = c.encode([text])[0]
         assert ids.tolist() == c.reference.encode(text) and c.decode([ids])[0] == text
     assert c.differing == 0
@@ -77,7 +86,7 @@ def test_query(spark):
     got = s.op2_sentencepiece(spark, SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     c = s.codec(MODEL)
-    assert len(got) == len(texts) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got)
+    assert len(got) == len(texts) and all(r.round_trip and r.n_differing == 0 and r.n_tokens == len(r.token_ids) for r in got)
     assert all(r.token_ids == c.reference.encode(texts[r.doc_id]) for r in got[:50])
 
 

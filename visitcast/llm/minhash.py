@@ -11,9 +11,12 @@ confirmed on the full sets. Components of confirmed links get the smallest doc_i
 Work stays linear on large groups: equal sets are one class from the start; each
 bucket's members are first compared with the bucket's smallest id only; components
 are found; then only members of buckets that still span several components are
-compared, on their full sets, block by block inside tasks, which emit nothing but
-links that join components. No bucket is held whole in one task and no link that
-could change a component is left out.
+compared, block by block inside tasks: first their registers, by the estimate, then
+the full sets of those members that may still be linked with another component. These
+tasks emit nothing but links that join components. Blocks are bounded in members and
+in shingles; no bucket is held whole in one task and no link that could change a
+component is left out. In a bucket that stays unresolved the comparison of registers
+is quadratic in its members, that of texts in those that the estimate leaves.
 
 With 24 bands of 3 registers a pair of similarity s shares no band with
 probability (1 - s^3)^24: 3e-8 at 0.8, 1e-10 at 0.85.
@@ -43,8 +46,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Chance at most that the estimate drops a pair which reaches the threshold.
 MISS = 1e-9
-#: Members of a star that are compared in one block, and shingles of theirs at a time.
-BLOCK, COLUMNS = 512, 4096
+#: Members of a star that are compared in one block, shingles of theirs in all, and at a time.
+BLOCK, SHINGLES, COLUMNS = 256, 400_000, 4096
 
 _U = np.uint64
 
@@ -237,6 +240,23 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _possible(pdf, percent: int):
+    """The members of one block pair of a star that the estimate may link with a member of another component."""
+    left, right = pdf[pdf.side == 0], pdf[pdf.side == 1]
+    whole = not len(right) or not len(left)
+    if whole:
+        left = right = pdf
+    x, y = (np.frombuffer(b"".join(p.sig), dtype=np.uint16).reshape(-1, REGISTERS) for p in (left, right))
+    equal = np.zeros((len(x), len(y)), dtype=np.int64)
+    for r in range(REGISTERS):
+        equal += x[:, r][:, None] == y[:, r][None, :]
+    ok = _likely(equal, left.n.to_numpy()[:, None], right.n.to_numpy()[None, :], percent) & (left.comp.to_numpy()[:, None] != right.comp.to_numpy()[None, :])
+    found = [left[ok.any(axis=1) | ok.any(axis=0)]] if whole else [left[ok.any(axis=1)], right[ok.any(axis=0)]]
+    import pandas as pd
+
+    return pd.concat(found)[["pivot", "i", "j", "side", "rep", "comp"]]
+
+
 def _joining(pdf, width: int, percent: int):
     """Links in one block pair of a star that join components: a forest over these."""
     import pandas as pd
@@ -276,11 +296,14 @@ def _rest(members: DataFrame, comps: DataFrame, docs: DataFrame, classes: DataFr
     at = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "pivot", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ = at.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("size > 2 AND c0 != c1")
     stars = written(at.join(open_.select("key"), "key", "left_semi").select("pivot", "rep", "comp").distinct(), "minhash-stars")
-    texts = _texts(stars.select("rep").distinct(), docs, classes, rows)
-    sized = stars.join(stars.groupBy("pivot").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "pivot").join(texts, "rep")
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    weighed = stars.join(classes.select("rep", "n", "sig"), "rep")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks")
+    sized = weighed.join(weighed.groupBy("pivot").agg(blocks), "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"), (F.col("own") > j).cast("int").alias("side")))
-    return sized.select("pivot", F.inline(cell), "rep", "comp", "text").groupBy("pivot", "i", "j").applyInPandas(lambda pdf: _joining(pdf, width, percent), "a long, b long")
+    cells = sized.select("pivot", F.inline(cell), "rep", "comp", "n", "sig").groupBy("pivot", "i", "j")
+    left = written(cells.applyInPandas(lambda pdf: _possible(pdf, percent), "pivot long, i int, j int, side int, rep long, comp long"), "minhash-possible")
+    texts = _texts(left.select("rep").distinct(), docs, classes, rows)
+    return left.join(texts, "rep").groupBy("pivot", "i", "j").applyInPandas(lambda pdf: _joining(pdf, width, percent), "a long, b long")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,7 +11,8 @@ A unit is a run of markers and what follows up to the next marker. If no piece h
 a marker after another character (checked when the model is read; true of models
 trained with whitespace splitting), no merge crosses units, so ids of units joined
 are ids of the text, and repeated words are encoded once. Other models are encoded
-text by text. Batches of units are encoded on several threads.
+text by text, by both libraries too. Batches of units are encoded on several threads.
+What a worker remembers is bounded in bytes.
 
 The model's bytes (a bounded file) travel with the tasks; no task opens its path.
 
@@ -38,8 +39,10 @@ from visitcast.llm.common import modest_batches, spread, table
 from visitcast.llm.text_bytes import tidied
 
 MARKER = "▁"
-#: Distinct units that each of two generations in a worker holds, and rows whose ids are built at once.
-REMEMBERED, ROWS = 60_000, 256
+#: Bytes of units and ids that each of two generations in a worker remembers, besides the units of one batch, and rows whose ids are built at once.
+REMEMBERED, ROWS = 12 << 20, 256
+#: What a remembered unit takes besides its characters and ids, about.
+BESIDE = 160
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 THREADS = 2
 
@@ -95,7 +98,7 @@ class Codec:
         self.unit = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.differing = 0
+        self.held = self.differing = 0
         text = lambda p, t: bytes([int(p[3:-1], 16)]) if t == BYTE else (b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARKER, " ").encode())
         self.spelled = [text(p, t) for p, _, t in self.pieces]
 
@@ -118,20 +121,24 @@ class Codec:
             if u != MARKER and ids != b:
                 self.differing += 1
                 ids = b
-            self.known[u] = array("i", ids).tobytes()
+            self.remember(u, array("i", ids).tobytes())
+
+    def remember(self, unit: str, ids: bytes) -> None:
+        self.known[unit] = ids
+        self.held += 2 * len(unit) + len(ids) + BESIDE
 
     def forget(self) -> None:
-        self.known, self.older = {}, {}
+        self.known, self.older, self.held = {}, {}, 0
 
     def recall(self, units: set[str]) -> None:
         """Makes every unit known; what wasn't met since the last change of generation is forgotten."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
+        if self.held > REMEMBERED:
+            self.known, self.older, self.held = {}, self.known if self.held <= 2 * REMEMBERED else {}, 0
         fresh = []
         for u in units:
             if u not in self.known:
                 if u in self.older:
-                    self.known[u] = self.older[u]
+                    self.remember(u, self.older[u])
                 else:
                     fresh.append(u)
         if fresh:
@@ -139,7 +146,10 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.splits:
-            return [np.asarray(x, dtype=np.int32) for x in self.reference.encode(texts, num_threads=THREADS)]
+            ours = self.tokenizer.encode_batch_fast([self.marked(t) for t in texts], add_special_tokens=False)
+            theirs = self.reference.encode(texts, num_threads=THREADS)
+            self.differing += sum(a.ids != b for a, b in zip(ours, theirs, strict=True))
+            return [np.asarray(x, dtype=np.int32) for x in theirs]
         parts = [self.unit.findall(self.marked(t)) for t in texts]
         self.recall(set().union(*parts))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), dtype=np.int32) for p in parts]
@@ -222,6 +232,6 @@ def decode(rows: DataFrame, column: str = "token_ids", model: bytes | None = Non
 
 
 def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Ids of every whole text and whether decoding gives the text back."""
+    """Ids of every whole text, whether decoding gives the text back, and in how many units of its batch the libraries differed (0: parity)."""
     found = encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), keep_text=False)
-    return found.selectExpr("doc_id", "_n_tokens AS n_tokens", "_token_ids AS token_ids", "_round_trip AS round_trip")
+    return found.selectExpr("doc_id", "_n_tokens AS n_tokens", "_token_ids AS token_ids", "_round_trip AS round_trip", "_differing AS n_differing")
