@@ -298,7 +298,8 @@ def _rest(members: DataFrame, comps: DataFrame, docs: DataFrame, classes: DataFr
     stars = written(at.join(open_.select("key"), "key", "left_semi").select("pivot", "rep", "comp").distinct(), "minhash-stars")
     weighed = stars.join(classes.select("rep", "n", "sig"), "rep")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks")
-    sized = weighed.join(weighed.groupBy("pivot").agg(blocks), "pivot").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # Written, since rows dealt by pivot would pass for dealt by block pair, and a star would stay in one task.
+    sized = written(weighed.join(small(weighed.groupBy("pivot").agg(blocks), rows), "pivot"), "minhash-sized").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"), (F.col("own") > j).cast("int").alias("side")))
     cells = sized.select("pivot", F.inline(cell), "rep", "comp", "n", "sig").groupBy("pivot", "i", "j")
     left = written(cells.applyInPandas(lambda pdf: _possible(pdf, percent), "pivot long, i int, j int, side int, rep long, comp long"), "minhash-possible")
