@@ -295,7 +295,9 @@ def _rest(members: DataFrame, comps: DataFrame, docs: DataFrame, classes: DataFr
     """
     at = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "pivot", "rep", F.coalesce("component", "rep").alias("comp"))
     open_ = at.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("size > 2 AND c0 != c1")
-    stars = written(at.join(open_.select("key"), "key", "left_semi").select("pivot", "rep", "comp").distinct(), "minhash-stars")
+    # A hot bucket's members would meet in one task if both sides were dealt by key.
+    open_ = small(written(open_.select("key"), "minhash-open"), rows)
+    stars = written(at.join(open_, "key", "left_semi").select("pivot", "rep", "comp").distinct(), "minhash-stars")
     weighed = stars.join(classes.select("rep", "n", "sig"), "rep")
     blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("blocks")
     # Written, since rows dealt by pivot would pass for dealt by block pair, and a star would stay in one task.
