@@ -115,6 +115,24 @@ def test_word2vec(spark):
     assert one == two and all(len(r.vector) == 4 for r in one)
 
 
+def test_word2vec_over_tasks(spark):
+    """Fitted in several tasks, codes that occur together still lie closer than codes that never do."""
+    import math
+    import random
+
+    r = random.Random(4)
+    left, right = ([f"{k}{i}" for i in range(6)] for k in "ab")
+    s = spark.createDataFrame([(str(i), r.choices(left if i % 2 else right, k=8)) for i in range(2000)], "patient_id string, sentence array<string>")
+    model = embedding.fit_word2vec(s, 8, 3, per_task=500)
+    assert model.getNumPartitions() == 4
+    v = {x.word: x.vector.toArray() for x in model.getVectors().collect()}
+    assert sorted(v) == sorted(left + right)
+    cosine = lambda a, b: float(v[a] @ v[b] / math.sqrt((v[a] @ v[a]) * (v[b] @ v[b])))
+    within = [cosine(a, b) for side in (left, right) for a in side for b in side if a < b]
+    across = [cosine(a, b) for a in left for b in right]
+    assert min(within) > max(across)
+
+
 @pytest.mark.parametrize("dense", [True, False])
 def test_history(spark, dense):
     start = date(2020, 1, 1)

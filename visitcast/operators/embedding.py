@@ -20,8 +20,12 @@ def patient_sentences(visits: DataFrame, as_of: date | None = None) -> DataFrame
     return first.groupBy("patient_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first_date", "disease"))), lambda s: s["disease"]).alias("sentence"))
 
 
-def fit_word2vec(sentences: DataFrame, size: int = 16, seed: int = 1, partitions: int = 1) -> Word2VecModel:
-    """Same seed, same vectors on one partition; every code counts, however rare."""
+def fit_word2vec(sentences: DataFrame, size: int = 16, seed: int = 1, per_task: int = 20_000) -> Word2VecModel:
+    """Fitted on about `per_task` sentences a task, the tasks' vectors averaged; every code counts, however rare.
+
+    Same seed and same partitions, same vectors up to the order in which they are summed.
+    """
+    partitions = max(1, -(-sentences.count() // per_task))
     return Word2Vec(vectorSize=size, minCount=1, seed=seed, numPartitions=partitions, inputCol="sentence", outputCol="vector").fit(sentences)
 
 
