@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,6 +91,22 @@ def modest_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> N
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+@contextmanager
+def modest(spark: SparkSession, rows: int = 1000, size: str = "8m") -> Iterator[None]:
+    """modest_batches() for the actions within; the caller's settings return afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n, None) for n in names]
+    modest_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for n, x in zip(names, before, strict=True):
+            if x is not None:
+                spark.conf.set(n, x)
+            else:
+                spark.conf.unset(n)
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -7,7 +7,7 @@ force, round trips and held-out labels.
 
 from __future__ import annotations
 
-from visitcast.llm import decontaminate, fill_middle, line_dedup, minhash, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, url_filter, warc
+from visitcast.llm import decontaminate, fill_middle, importance, line_dedup, minhash, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, url_filter, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -20,6 +20,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_warc_revisits": warc.op10_warc_revisits,
+    "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
 }
 
@@ -30,5 +31,6 @@ ORACLE_SQL = {
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op10_warc_revisits": warc.ORACLE_SQL,
+    "op11_importance_resampling": importance.ORACLE_SQL,
     "op12_fill_in_middle": fill_middle.ORACLE_SQL,
 }
