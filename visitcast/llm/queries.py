@@ -7,7 +7,7 @@ force, round trips and held-out labels.
 
 from __future__ import annotations
 
-from visitcast.llm import decontaminate, fill_middle, importance, line_dedup, minhash, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, url_filter, warc
+from visitcast.llm import decontaminate, fill_middle, importance, line_dedup, minhash, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_warc_revisits": warc.op10_warc_revisits,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_substring_dedup": substring_dedup.op13_substring_dedup,
 }
 
 ORACLE_SQL = {
@@ -33,4 +34,5 @@ ORACLE_SQL = {
     "op10_warc_revisits": warc.ORACLE_SQL,
     "op11_importance_resampling": importance.ORACLE_SQL,
     "op12_fill_in_middle": fill_middle.ORACLE_SQL,
+    "op13_substring_dedup": substring_dedup.ORACLE_SQL,
 }

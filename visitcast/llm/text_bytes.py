@@ -31,7 +31,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _BASE and of its inverse modulo 2^64, 2^bits of each."""
     out = []
@@ -71,8 +71,8 @@ def pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and 64-bit hash of each word (A-Z lower-cased, split at ASCII blanks), and the texts' bounds among them."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and 64-bit hash of each word (A-Z lower-cased unless told not to, split at ASCII blanks), and the texts' bounds among them."""
     blank = _BLANK[data]
     first, last = ~blank, ~blank
     first[1:] &= blank[:-1]
@@ -84,5 +84,27 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     power, inverse = _powers(max(10, int(len(data)).bit_length()))
     sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(_BYTE[_LOWER[data]] * power[: len(data)], out=sums[1:])
+    np.cumsum(_BYTE[_LOWER[data] if lower else data] * power[: len(data)], out=sums[1:])
     return start, end, mix((sums[end] - sums[start]) * inverse[start]), np.searchsorted(start, offsets)
+
+
+class Runs:
+    """Hashes of any runs of consecutive words, from prefix sums over the words' hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        power, self._inverse = _powers(max(10, int(len(hashes)).bit_length()))
+        self._sums = np.zeros(len(hashes) + 1, dtype=_U)
+        np.cumsum(hashes * power[: len(hashes)], out=self._sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words from start up to end, both arrays of word numbers."""
+        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
+
+
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` neighbours, by minima over powers of two."""
+    done = 1
+    while 2 * done <= width:
+        x, done = np.minimum(x[: len(x) - done], x[done:]), 2 * done
+    rest = width - done
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
