@@ -170,9 +170,9 @@ def fragments(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
 
 
 def _texts(docs: DataFrame, classes: DataFrame, span: int, rows: int) -> DataFrame:
-    """classes with their words (joined by a space) and the hashes of their windows, read from their first document."""
+    """classes with their words (joined by a space), the hashes of their windows and a number of their own, read from their first document."""
     asks = classes.groupBy(F.col("first._k").alias("_k"), F.col("first._t").alias("_t")).agg(F.collect_list(F.struct(*_CLASS, F.col("first.at").alias("at"))).alias("asks"))
-    # Of the rows that repeat an id and text, any will do: equal pieces are one again below.
+    # Rows that repeat an id and text give a piece each; all that is made of pieces are minima and sets.
     found = keyed(docs).select("_k", "_t", text_of().alias("text")).join(small(written(asks, "repeat-asks"), rows), ["_k", "_t"])
     names = ["m", "h", "n", "owner", "words", "windows"]
 
@@ -191,19 +191,23 @@ def _texts(docs: DataFrame, classes: DataFrame, span: int, rows: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int64())), strict=True)], names)
 
     with modest(docs.sparkSession, rows=200):
-        return written(found.mapInArrow(lambda b: tidied(read(b)), "m long, h long, n int, owner long, words string, windows array<long>").dropDuplicates(_CLASS), "repeat-texts")
+        return written(found.mapInArrow(lambda b: tidied(read(b)), "m long, h long, n int, owner long, words string, windows array<long>").withColumn("piece", F.monotonically_increasing_id()), "repeat-texts")
 
 
-def _units(texts: DataFrame, span: int, shard_words: int) -> DataFrame:
+def _units(texts: DataFrame, span: int, gram: int, shard_words: int, rows: int) -> DataFrame:
     """key, kind (0 reference, 1 stream), class, base (first window), owner, words and, of references, the windows they stand for."""
-    window = texts.select(*_CLASS, "owner", F.posexplode("windows").alias("o", "w"))
-    first = window.groupBy("m", "w").agg(F.min(F.struct("owner", "h", "n", "o")).alias("a"), F.max("owner").alias("last")).filter(F.col("a.owner") < F.col("last"))
-    owned = written(first.groupBy("m", F.col("a.h").alias("h"), F.col("a.n").alias("n")).agg(F.array_sort(F.collect_set("a.o")).alias("owned")), "repeat-owned")
+    width = span - gram + 1  # no piece has more windows, so piece and window are one number
+    window = texts.select("m", "owner", "piece", F.posexplode("windows").alias("o", "w")).select("m", "w", "owner", (F.col("piece") * width + F.col("o")).alias("at"))
+    first = window.groupBy("m", "w").agg(F.min(F.struct("owner", "at")).alias("a"), F.max("owner").alias("last")).filter(F.col("a.owner") < F.col("last"))
+    at = F.col("a.at")
+    owned = written(first.groupBy("m", F.floor(at / width).alias("piece")).agg(F.array_sort(F.collect_set((at % width).cast("int"))).alias("owned")), "repeat-owned")
     # Keys with many references, whose windows are dealt by their own hash.
-    keys = owned.groupBy("m").agg(F.sum(F.size("owned") + span - 1).alias("weight")).select("m", (F.col("weight") > shard_words).alias("heavy"))
-    stream = texts.join(keys, "m").select("*", F.lit(1).alias("kind"), F.lit(None).cast("array<int>").alias("owned"))
-    refs = texts.join(owned, _CLASS).join(keys, "m").select(*texts.columns, "heavy", F.lit(0).alias("kind"), "owned")
-    both = refs.unionByName(stream)
+    weight = F.sum(F.size("owned") + span - 1)
+    keys = written(owned.groupBy("m").agg((weight > shard_words).alias("heavy")), "repeat-keys")
+    both = texts.join(small(keys, rows), "m").join(small(owned.drop("m"), rows // 8), "piece", "left")
+    # A piece is streamed, and a reference as well if it owns windows.
+    kinds = F.explode(F.when(F.col("owned").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1))))
+    both = both.withColumn("kind", kinds).withColumn("owned", F.when(F.col("kind") == 0, F.col("owned")))
     light = both.filter("NOT heavy").select(F.col("m").alias("key"), "kind", *_CLASS, F.lit(0).alias("base"), "owner", "words", "owned")
     single = both.filter("heavy").select("*", F.posexplode("windows").alias("base", "w")).filter("kind = 1 OR array_contains(owned, base)")
     word = F.array_join(F.slice(F.split("words", " "), F.col("base") + 1, F.lit(span)), " ")
@@ -221,9 +225,9 @@ def _stretches(owned: list[int], span: int) -> Iterator[tuple[int, int]]:
     yield begin, last + span
 
 
-def matched(texts: DataFrame, span: int = SPAN, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, rows: int = BROADCAST_ROWS) -> DataFrame:
+def matched(texts: DataFrame, span: int = SPAN, gram: int = GRAM, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS, rows: int = BROADCAST_ROWS) -> DataFrame:
     """m, h, n, spans: what goes of a class (words from its first one on) in the document with its smallest id."""
-    units = written(_units(texts, span, shard_words).withColumn("long", F.size(F.split("words", " "))), "repeat-units")
+    units = written(_units(texts, span, gram, shard_words, rows).withColumn("long", F.size(F.split("words", " "))), "repeat-units")
     total = units.agg(F.sum(F.when(F.col("kind") == 0, F.col("long"))).alias("n")).first().n or 0
     shards = 1 + 2 * total // shard_words
     dealt = units.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
@@ -259,14 +263,16 @@ def covered(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard_words: in
     if not 1 <= gram < span:
         raise ValueError("gram has to lie below span")
     cut = fragments(docs, span, gram)
-    shared = cut.groupBy("m").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo < hi").select("m")
-    cut = written(cut.join(shared, "m", "left_semi"), "repeat-shared")
+    # Sides that a join meets by key are written first: where they are too many to broadcast, both sides
+    # of the join are dealt for it alone, and adaptive execution can split a hot key.
+    shared = written(cut.groupBy("m").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).filter("lo < hi").select("m"), "repeat-keys")
+    cut = written(cut.join(small(shared, rows), "m", "left_semi"), "repeat-shared")
     classes = written(cut.groupBy(*_CLASS).agg(F.min(F.struct("_k", "_t", "at")).alias("first"), F.max("_k").alias("last")), "repeat-classes")
-    several = classes.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m")
-    inner = matched(_texts(docs, classes.join(several, "m", "left_semi"), span, rows), span, shard_words, stream_words, rows)
+    several = written(classes.groupBy("m").agg(F.count("*").alias("c")).filter("c > 1").select("m"), "repeat-keys")
+    inner = matched(_texts(docs, classes.join(small(several, rows), "m", "left_semi"), span, rows), span, gram, shard_words, stream_words, rows)
     known = classes.join(inner, _CLASS, "left").filter("first._k < last OR spans IS NOT NULL").select(*_CLASS, F.col("first._k").alias("owner"), "spans")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + span - 1).alias("b")))
-    gone = cut.join(known, _CLASS).select("_k", "_t", "at", F.when(F.col("_k") > F.col("owner"), whole).otherwise(F.col("spans")).alias("s")).filter("s IS NOT NULL")
+    gone = cut.join(small(written(known, "repeat-known"), rows), _CLASS).select("_k", "_t", "at", F.when(F.col("_k") > F.col("owner"), whole).otherwise(F.col("spans")).alias("s")).filter("s IS NOT NULL")
     spans = gone.select("_k", "_t", F.explode(F.transform("s", lambda x: F.struct((F.col("at") + x["a"]).alias("a"), (F.col("at") + x["b"]).alias("b")))).alias("s"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
