@@ -25,9 +25,9 @@ def array_mean(values: Column) -> Column:
 
 
 def array_std(values: Column, ddof: int = 1) -> Column:
-    """In two passes, so that large values with a small spread don't cancel."""
-    mean = array_mean(values)
-    squares = F.aggregate(F.transform(values, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x)
+    """In two passes, so that large values with a small spread don't cancel; the mean is taken once and carried along."""
+    start = F.struct(array_mean(values).alias("m"), F.lit(0.0).alias("s"))
+    squares = F.aggregate(values, start, lambda a, x: F.struct(a["m"].alias("m"), (a["s"] + (x - a["m"]) * (x - a["m"])).alias("s")), lambda a: a["s"])
     return F.when(F.size(values) > ddof, F.sqrt(squares / (F.size(values) - ddof)))
 
 

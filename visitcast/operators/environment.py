@@ -20,15 +20,29 @@ def complete_grid(df: DataFrame, keys: list[str], t: str, step: int | str = 1) -
     return grid.join(df, [*keys, t], "left")
 
 
-def fill_lagrange(df: DataFrame, keys: list[str], t: str, v: str, k: int = 2, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """df with `filled`: v, and in inner gaps the polynomial through up to k observed values on each side.
+def running_count(df: DataFrame, keys: list[str], t: str, v: str, block: float = 4096, name: str = "_n") -> DataFrame:
+    """df with the number of non-null v of the series up to t (t included), in two passes.
 
-    t must be a number of moderate size, such as hours since the series began. A gap
-    at an end stays null. Only the gap rows are multiplied (2k each) and meet the
-    observed rows in an equi-join on series and ordinal.
+    Blocks of `block` units of t are counted, their sums before each block are running sums over
+    blocks alone, and rows are counted within their block: a long series is shared by many tasks.
     """
-    order = Window.partitionBy(*keys).orderBy(t)
-    seen = df.withColumn("_n", F.count(v).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    cut = df.withColumn("_b", F.floor(F.col(t) / block))
+    totals = cut.groupBy(*keys, "_b").agg(F.count(v).alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*keys, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    return cut.join(offsets, [*keys, "_b"], "left").withColumn(name, F.coalesce("_before", F.lit(0)) + F.count(v).over(within)).drop("_b", "_before")
+
+
+def fill_lagrange(df: DataFrame, keys: list[str], t: str, v: str, k: int = 2, bounds: tuple[float, float] | None = None, block: float = 4096) -> DataFrame:
+    """df with `filled` and `known_at`: v, and in inner gaps the polynomial through up to k observed values on each side.
+
+    known_at is the t from which on the value can be known: its own for an observed one, that of
+    the last node for a filled one. t must be a number of moderate size, such as hours since the
+    series began. A gap at an end stays null. Only the gap rows are multiplied (2k each) and meet
+    the observed rows in an equi-join on series and ordinal; ordinals are counted in blocks of t.
+    """
+    seen = running_count(df, keys, t, v, block)
     known = seen.filter(F.col(v).isNotNull()).select(*keys, F.col("_n").alias("_o"), F.col(t).cast("double").alias("_x"), F.col(v).cast("double").alias("_y"))
     gaps = seen.filter(F.col(v).isNull()).select(*keys, t, "_n", F.explode(F.sequence(F.col("_n") - k + 1, F.col("_n") + k)).alias("_o"))
     nodes = gaps.join(known, [*keys, "_o"]).groupBy(*keys, t).agg(F.sort_array(F.collect_list(F.struct("_x", "_y"))).alias("_nodes"), F.count_if(F.col("_o") <= F.col("_n")).alias("_before"), F.count_if(F.col("_o") > F.col("_n")).alias("_after"))
@@ -41,8 +55,32 @@ def fill_lagrange(df: DataFrame, keys: list[str], t: str, v: str, k: int = 2, bo
     value = F.aggregate(F.transform(pts, term), F.lit(0.0), lambda s, x: s + x)
     if bounds:
         value = F.greatest(F.lit(float(bounds[0])), F.least(F.lit(float(bounds[1])), value))
-    filled = nodes.filter("_before > 0 AND _after > 0").select(*keys, t, value.alias("_value"))
-    return df.join(filled, [*keys, t], "left").withColumn("filled", F.coalesce(F.col(v).cast("double"), "_value")).drop("_value")
+    filled = nodes.filter("_before > 0 AND _after > 0").select(*keys, t, value.alias("_value"), F.element_at(pts, -1)["_x"].alias("_last"))
+    out = df.join(filled, [*keys, t], "left")
+    return out.withColumns({"filled": F.coalesce(F.col(v).cast("double"), "_value"), "known_at": F.when(F.col(v).isNotNull(), at).otherwise(F.col("_last"))}).drop("_value", "_last")
+
+
+def features_as_of(filled: DataFrame, t: str = "t", days: int = 7, per_day: float = 24, keys: tuple[str, ...] = ("district", "indicator"), ddof: int = 1) -> DataFrame:
+    """keys, day, lag, n, x_mean, x_mean_remove, x_std, x_std_remove, known_at: daily features as they are known `lag` days later.
+
+    `filled` comes from fill_lagrange, with `per_day` units of t a day. Seen from the target day day + lag, a value
+    counts only if its last node lies before that day: what a later reading fills in is missing from the features of
+    the days that come before it. The values of one day are gathered once for all lags.
+    """
+    day = F.floor(F.col(t) / per_day)
+    late = F.floor(F.col("known_at") / per_day) - day
+    daily = filled.filter(F.col("filled").isNotNull()).groupBy(*keys, day.cast("int").alias("day")).agg(F.collect_list(F.struct(F.col("filled").alias("v"), late.alias("late"), "known_at")).alias("_all"))
+    seen = daily.select(*keys, "day", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("lag"), "_all").withColumn("_seen", F.filter("_all", lambda s: s["late"] < F.col("lag")))
+    values = seen.withColumn("_v", F.array_sort(F.transform("_seen", lambda s: s["v"])))
+    inner = trimmed(F.col("_v"))
+    return values.select(*keys, "day", "lag", F.size("_v").alias("n"), array_mean(F.col("_v")).alias("x_mean"), array_mean(inner).alias("x_mean_remove"), array_std(F.col("_v"), ddof).alias("x_std"), array_std(inner, ddof).alias("x_std_remove"), F.array_max(F.transform("_seen", lambda s: s["known_at"])).alias("known_at"))
+
+
+def history_as_of(features: DataFrame, indicators: list[str], days: int = 7, fields: tuple[str, ...] = ("mean", "mean_remove", "std", "std_remove")) -> DataFrame:
+    """target, district and <indicator>_<field>_lag<i>: the features of features_as_of() under the day that they serve."""
+    pick = lambda i, f, d: F.first(F.when((F.col("indicator") == i) & (F.col("lag") == d), F.col(f"x_{f}")), ignorenulls=True).alias(f"{i}_{f}_lag{d}")
+    chosen = features.filter(F.col("indicator").isin(indicators)).withColumn("target", F.col("day") + F.col("lag"))
+    return chosen.groupBy("target", "district").agg(*[pick(i, f, d) for i in indicators for f in fields for d in range(1, days + 1)])
 
 
 def air_features(readings: DataFrame, ddof: int = 1) -> DataFrame:

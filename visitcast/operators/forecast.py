@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
 from datetime import date
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,22 +46,35 @@ def split_by_date(df: DataFrame, split_date: date) -> tuple[DataFrame, DataFrame
     return df.filter(F.col("date") < F.lit(split_date)), df.filter(F.col("date") >= F.lit(split_date))
 
 
-def fit_forest(train: DataFrame, features: list[str], seed: int = 1, trees: int = 20, depth: int = 6, label: str = "target") -> PipelineModel:
-    """Missing values get the training mean; the assembled training set is what the trees read repeatedly."""
-    typed = [F.col(c).cast("double").alias(c) for c in features]
-    filled = [f"{c}_filled" for c in features]
-    stages = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)]
-    data = train.select(*typed, F.col(label).cast("double").alias(label)).cache()
+@dataclass(frozen=True)
+class Forest:
+    """A fitted forest with its features and what stands for their missing values."""
+
+    model: RandomForestRegressionModel
+    features: list[str]
+    means: list[float]
+
+    def assembled(self, df: DataFrame) -> DataFrame:
+        """df with `features`: one vector made in one projection, missing values replaced by the training means."""
+        return df.withColumn("features", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in zip(self.features, self.means, strict=True)])))
+
+
+def fit_forest(train: DataFrame, features: list[str], seed: int = 1, trees: int = 20, depth: int = 6, label: str = "target") -> Forest:
+    """Missing values get the training mean (0 where all are missing); the assembled vectors are what the trees read repeatedly."""
+    means = train.agg(*[F.avg(F.col(c).cast("double")).alias(f"_{i}") for i, c in enumerate(features)]).first()
+    empty = Forest(None, features, [0.0 if m is None else float(m) for m in means])
+    data = empty.assembled(train).select("features", F.col(label).cast("double").alias(label)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=stages).fit(data)
+        return replace(empty, model=RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(data))
     finally:
         data.unpersist()
 
 
-def predict(model: PipelineModel, df: DataFrame, features: list[str]) -> DataFrame:
+def predict(forest: Forest, df: DataFrame, features: list[str] | None = None) -> DataFrame:
     """df with `predicted`."""
-    typed = df.withColumns({c: F.col(c).cast("double") for c in features})
-    return model.transform(typed).select(*df.columns, F.col("prediction").alias("predicted"))
+    if features not in (None, forest.features):
+        raise ValueError("the forest was fitted on other features")
+    return forest.model.transform(forest.assembled(df)).select(*df.columns, F.col("prediction").alias("predicted"))
 
 
 def r2(pred: DataFrame, by: list[str] | None = None, actual: str = "target", predicted: str = "predicted") -> DataFrame:
@@ -71,10 +87,9 @@ def r2(pred: DataFrame, by: list[str] | None = None, actual: str = "target", pre
     return scored
 
 
-def importances(model: PipelineModel, features: list[str]) -> DataFrame:
+def importances(forest: Forest, features: list[str] | None = None) -> DataFrame:
     """feature, importance in falling order."""
-    forest = model.stages[-1]
-    rows = [(f, float(x)) for f, x in zip(features, forest.featureImportances.toArray(), strict=True)]
+    rows = [(f, float(x)) for f, x in zip(features or forest.features, forest.model.featureImportances.toArray(), strict=True)]
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 

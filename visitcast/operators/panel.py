@@ -49,15 +49,24 @@ def fill_counts(df: DataFrame, counts: tuple[str, ...] = COUNTS, value: int = 0)
     return df.fillna(value, [c for c in counts if c in df.columns])
 
 
-def add_history(df: DataFrame, cols: list[str], days: int = 7, dense: bool = True, keys: tuple[str, ...] = ("district", "disease")) -> DataFrame:
+def add_history(df: DataFrame, cols: list[str], days: int = 7, dense: bool = True, keys: tuple[str, ...] = ("district", "disease"), block: int = 56) -> DataFrame:
     """df with <col>_lag1 ... _lag<days>: the values of the days before.
 
-    dense: one window for all lags, right only if every key has every date. Otherwise
-    each row is sent to the days it is history of and met there by date.
+    dense: right only if every key has every date. Time is cut into blocks of `block` days, each
+    with a copy of the `days` days before it, so that a series is many windows and tasks aren't
+    bounded by the number of series; all lags of a block come from one window. Otherwise each
+    row is sent to the days it is history of and met there by date.
     """
     if dense:
-        w = Window.partitionBy(*keys).orderBy("date")
-        return df.select("*", *[F.lag(c, i).over(w).alias(f"{c}_lag{i}") for c in cols for i in range(1, days + 1)])
+        if block < days:
+            raise ValueError("a block has to be as long as the history")
+        day = F.unix_date("date")
+        own = F.floor(day / block)
+        ends = F.pmod(day, F.lit(block)) >= block - days
+        sent = df.withColumn("_block", F.explode(F.when(ends, F.array(own, own + 1)).otherwise(F.array(own))))
+        w = Window.partitionBy(*keys, "_block").orderBy("date")
+        lagged = sent.select("*", *[F.lag(c, i).over(w).alias(f"{c}_lag{i}") for c in cols for i in range(1, days + 1)])
+        return lagged.filter(F.col("_block").eqNullSafe(own)).drop("_block")
     sent = df.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(days))).alias("_i"), "date", *cols).withColumn("date", F.date_add("date", F.col("_i")))
     past = sent.groupBy(*keys, "date").agg(*[F.first(F.when(F.col("_i") == i, F.col(c)), ignorenulls=True).alias(f"{c}_lag{i}") for c in cols for i in range(1, days + 1)])
     return df.join(past, [*keys, "date"], "left")

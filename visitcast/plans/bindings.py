@@ -84,6 +84,15 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.groupBy("indicator", "t").agg(F.avg("value").alias("value"))
 
 
+def station_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """district, indicator, t (hour since the first day), value: means per hour; hours without a reading are gaps."""
+    found = readings(spark, sf_dir)
+    first = found.agg(F.min(F.date_trunc("day", "ts")).alias("day0"))
+    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("day0").cast("timestamp"))) / 3_600_000_000)
+    timed = found.join(F.broadcast(first)).select("district", "indicator", hour.cast("int").alias("t"), "value")
+    return timed.groupBy("district", "indicator", "t").agg(F.avg("value").alias("value"))
+
+
 def icd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, name: the distinct part names, numbered in order (a dimension of 64 rows)."""
     from pyspark.sql.window import Window
@@ -137,6 +146,11 @@ CTE = {
       GROUP BY ALL""",
     "grid": """SELECT g.indicator, g.t, h.value FROM (SELECT indicator, CAST(unnest(range(min(t), max(t) + 1)) AS INTEGER) AS t FROM hourly GROUP BY indicator) g
       LEFT JOIN hourly h ON h.indicator = g.indicator AND h.t = g.t""",
+    "station": """SELECT district, indicator, t, avg(value) AS value FROM (SELECT district, indicator, value,
+      CAST(floor((epoch_us(ts) - (SELECT epoch_us(date_trunc('day', min(ts))) FROM readings)) / 3600000000) AS INTEGER) AS t FROM readings)
+      GROUP BY ALL""",
+    "station_grid": """SELECT g.district, g.indicator, g.t, h.value FROM (SELECT district, indicator, CAST(unnest(range(min(t), max(t) + 1)) AS INTEGER) AS t FROM station GROUP BY district, indicator) g
+      LEFT JOIN station h ON h.district = g.district AND h.indicator = g.indicator AND h.t = g.t""",
     "days": "SELECT min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day FROM orders",
     "icd": "SELECT 'D' || lpad(CAST(row_number() OVER (ORDER BY name) AS VARCHAR), 3, '0') AS code, name FROM (SELECT DISTINCT p_name AS name FROM part)",
     "dirty": """SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name ELSE p_name[1:p_partkey % length(p_name)] || p_name[p_partkey % length(p_name) + 2:] END AS raw FROM part""",

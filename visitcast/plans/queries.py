@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from visitcast.functions.fields import tidy_age, tidy_date, tidy_gender
 from visitcast.operators import address, embedding, environment, forecast, icd, panel, profile, visits
 from visitcast.plans import bindings as b
+from visitcast.sources.scratch import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +24,8 @@ ORACLE_SQL: dict[str, str] = {}
 PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 #: Share of the days that models are trained on.
 TRAINED = 0.75
+#: Share of the days whose visits code vectors are learned from; patients have vectors on the days after.
+EMBEDDED = 0.25
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -56,12 +59,6 @@ def _clean(spark: SparkSession, sf: str) -> DataFrame:
     return visits.dedup_visits(city, b.LINE)
 
 
-def _split(spark: SparkSession, sf: str) -> date:
-    """The day from which on rows are for testing; read before a fit, which is an action too."""
-    start, end = b.days(spark, sf).first()
-    return start + timedelta(days=int((end - start).days * TRAINED))
-
-
 # -- descriptive statistics ---------------------------------------------------
 
 
@@ -202,15 +199,20 @@ def lagrange_fill(spark, sf):
     return environment.fill_lagrange(g, ["indicator"], "t", "value").select("indicator", "t", rnd("filled", 4).alias("filled"))
 
 
-ORACLE_SQL["lagrange_fill"] = b.with_(
-    ["hourly", "grid"],
-    f""", seen AS (SELECT *, count(value) OVER (PARTITION BY indicator ORDER BY t) AS n FROM grid),
-nodes AS (SELECT g.indicator, g.t, g.n, k.n AS o, k.t AS x, k.value AS y FROM seen g JOIN seen k ON k.indicator = g.indicator AND k.value IS NOT NULL AND k.n BETWEEN g.n - 1 AND g.n + 2 WHERE g.value IS NULL),
-terms AS (SELECT a.indicator, a.t, a.o, any_value(a.y) * product((a.t - b.x) / (a.x - b.x)) AS v FROM nodes a JOIN nodes b ON a.indicator = b.indicator AND a.t = b.t AND a.o <> b.o GROUP BY a.indicator, a.t, a.o),
-ok AS (SELECT indicator, t FROM nodes GROUP BY ALL HAVING count(*) FILTER (o <= n) > 0 AND count(*) FILTER (o > n) > 0),
-fill AS (SELECT indicator, t, sum(v) AS v FROM terms JOIN ok USING (indicator, t) GROUP BY ALL)
-SELECT indicator, t, {r('coalesce(value, v)', 4)} AS filled FROM grid LEFT JOIN fill USING (indicator, t)""",
-)
+def _fill_sql(grid: str, keys: str, pre: str = "") -> str:
+    """Relations up to <pre>filled (keys, t, value, filled, known_at) over a grid (keys, t, value)."""
+    same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in keys.split(", "))
+    of = lambda x: ", ".join(f"{x}.{c}" for c in keys.split(", "))
+    return f""", {pre}seen AS (SELECT *, count(value) OVER (PARTITION BY {keys} ORDER BY t) AS n FROM {grid}),
+{pre}nodes AS (SELECT {of('g')}, g.t, g.n, k.n AS o, k.t AS x, k.value AS y FROM {pre}seen g JOIN {pre}seen k ON {same('k', 'g')} AND k.value IS NOT NULL AND k.n BETWEEN g.n - 1 AND g.n + 2 WHERE g.value IS NULL),
+{pre}terms AS (SELECT {of('a')}, a.t, a.o, any_value(a.y) * product((a.t - b.x) / (a.x - b.x)) AS v FROM {pre}nodes a JOIN {pre}nodes b ON {same('a', 'b')} AND a.t = b.t AND a.o <> b.o GROUP BY {of('a')}, a.t, a.o),
+{pre}ok AS (SELECT {keys}, t, max(x) AS last FROM {pre}nodes GROUP BY ALL HAVING count(*) FILTER (o <= n) > 0 AND count(*) FILTER (o > n) > 0),
+{pre}fill AS (SELECT {keys}, t, sum(v) AS v, any_value(last) AS last FROM {pre}terms JOIN {pre}ok USING ({keys}, t) GROUP BY {keys}, t),
+{pre}filled AS (SELECT {keys}, t, value, coalesce(value, v) AS filled, CAST(CASE WHEN value IS NULL THEN last ELSE t END AS DOUBLE) AS known_at FROM {grid} LEFT JOIN {pre}fill USING ({keys}, t))
+"""
+
+
+ORACLE_SQL["lagrange_fill"] = b.with_(["hourly", "grid"], _fill_sql("grid", "indicator") + f"SELECT indicator, t, {r('filled', 4)} AS filled FROM filled")
 
 _RAW = """SELECT o_orderkey,
   CASE o_orderkey % 4 WHEN 0 THEN ' ' || CAST(o_orderkey % 130 AS VARCHAR) || ' years' WHEN 1 THEN 'abc' WHEN 2 THEN '-' || CAST(o_orderkey % 9 AS VARCHAR) ELSE CAST(o_orderkey % 130 AS VARCHAR) END AS age_text,
@@ -288,6 +290,32 @@ def weather_features(spark, sf):
 ORACLE_SQL["weather_features"] = b.with_(["readings"], _AIR + f"SELECT date, district, {_pivot_sql(b.WEATHER)} FROM airs WHERE indicator IN ({_WEATHER_IN}) GROUP BY date, district")
 
 
+def _known_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily features of the filled hourly series of each district, as known one to seven days later."""
+    keys = ["district", "indicator"]
+    grid = environment.complete_grid(b.station_hours(spark, sf), keys, "t")
+    return environment.features_as_of(environment.fill_lagrange(grid, keys, "t", "value"))
+
+
+@query
+def filled_features(spark, sf):
+    """Air and weather features of filled series, in the versions that the days after may use."""
+    return _known_features(spark, sf).select("district", "indicator", "day", "lag", "n", *[rnd(f"x_{c}", 3).alias(f"x_{c}") for c in _FIELDS], "known_at")
+
+
+_KNOWN_NAMES = ["readings", "station", "station_grid"]
+_KNOWN = (
+    _fill_sql("station_grid", "district, indicator", "st_")
+    + """, st_all AS (SELECT *, CAST(floor(t / 24) AS INTEGER) AS day, CAST(floor(known_at / 24) AS INTEGER) AS known_day FROM st_filled WHERE filled IS NOT NULL),
+st_day AS (SELECT district, indicator, day, CAST(i AS INTEGER) AS i, list_sort(list(filled) FILTER (known_day < day + i)) AS vs, max(known_at) FILTER (known_day < day + i) AS known_at FROM st_all, range(1, 8) lags(i) GROUP BY ALL),
+st_features AS (
+  SELECT district, indicator, day, i, CAST(coalesce(len(vs), 0) AS INTEGER) AS n, list_avg(vs) AS x_mean, list_stddev_samp(vs) AS x_std, CASE WHEN len(vs) > 2 THEN list_avg(vs[2:len(vs) - 1]) END AS x_mean_remove,
+    CASE WHEN len(vs) > 3 THEN list_stddev_samp(vs[2:len(vs) - 1]) END AS x_std_remove, known_at FROM st_day)
+"""
+)
+ORACLE_SQL["filled_features"] = b.with_(_KNOWN_NAMES, _KNOWN + f"SELECT district, indicator, day, i AS lag, n, {', '.join(f'{r(f"x_{c}", 3)} AS x_{c}' for c in _FIELDS)}, known_at FROM st_features")
+
+
 def _person(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, f"{prefix}_amount", *[rnd(f"{prefix}_{c}").alias(f"{prefix}_{c}") for c in ("gender_m", "gender_f", "age_mean", "age_std")], _texts(F.col(f"{prefix}_age_multi")).alias(f"{prefix}_age_multi"))
 
@@ -335,24 +363,65 @@ ORACLE_SQL["patient_sentences"] = b.with_(
 )
 
 
-def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    clean = _clean(spark, sf)
-    sentences = embedding.patient_sentences(clean, as_of=_split(spark, sf))
-    return clean, embedding.patient_vectors(embedding.fit_word2vec(sentences), sentences)
+def _day(spark: SparkSession, sf: str, share: float) -> date:
+    """The day by which a share of the visits' days has passed; read before a fit, which is an action too."""
+    start, end = b.days(spark, sf).first()
+    return start + timedelta(days=int((end - start).days * share))
+
+
+def _day_sql(share: float) -> str:
+    return f"(SELECT CAST(first_day + CAST(floor((last_day - first_day) * {share}) AS INTEGER) AS DATE) FROM ({b.CTE['days']}))"
 
 
 @query
 def word2vec_patients(spark, sf):
-    from pyspark.ml.functions import vector_to_array
+    """Vectors of the patients known on the split day."""
+    sentences = embedding.patient_sentences(_clean(spark, sf), as_of=_day(spark, sf, TRAINED))
+    return embedding.patient_vectors(embedding.fit_word2vec(sentences), sentences)
 
-    return _vectors(spark, sf)[1].select("patient_id", vector_to_array("vector").alias("vector"))
+
+def _word_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of patients as of each of their days, over code vectors learned before these days begin."""
+    clean, begin = _clean(spark, sf), _day(spark, sf, EMBEDDED)
+    codes = embedding.code_vectors(embedding.fit_word2vec(embedding.patient_sentences(clean, as_of=begin)))
+    return embedding.vectors_as_of(clean, embedding.patient_history(clean, codes), begin)
 
 
 @query
 def embedding_features(spark, sf):
-    return embedding.embedding_features(*_vectors(spark, sf))
+    return embedding.embedding_features(_clean(spark, sf), _word_vectors(spark, sf))
+
+
+def _plain_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with code vectors that SQL can follow: mean age and share of women among a code's early visits."""
+    clean, begin = _clean(spark, sf), _day(spark, sf, EMBEDDED)
+    codes = clean.filter(F.col("visit_date") < F.lit(begin)).groupBy("disease").agg(F.array(F.avg("age"), F.count_if(F.col("gender") == "F") / F.count("*")).alias("vector"))
+    return embedding.vectors_as_of(clean, embedding.patient_history(clean, codes, 2), begin)
+
+
+@query
+def patients_as_of(spark, sf):
+    """The running mean of each patient's codes on each day of a visit, from visits before that day."""
+    v = _plain_vectors(spark, sf)
+    return v.select("patient_id", "visit_date", F.coalesce("n_codes", F.lit(0)).cast("long").alias("n_codes"), *[rnd(F.get("vector", F.lit(i))).alias(f"v{i}") for i in (0, 1)])
 
 
+@query
+def embedding_as_of(spark, sf):
+    """Mean vector of the patients of each day, district and disease; groups without a known patient stay."""
+    e = embedding.embedding_features(_clean(spark, sf), _plain_vectors(spark, sf), 2)
+    return e.select("date", "district", "disease", "embedded", *[rnd(F.get("embedding", F.lit(i))).alias(f"v{i}") for i in (0, 1)])
+
+
+_AS_OF = f""", ws_codes AS (SELECT disease, avg(age) AS a, count(*) FILTER (gender = 'F') / count(*) AS f FROM clean WHERE visit_date < {_day_sql(EMBEDDED)} GROUP BY disease),
+ws_first AS (SELECT patient_id, disease, min(visit_date) AS first_date FROM clean GROUP BY ALL),
+ws_state AS (
+  SELECT q.patient_id, q.visit_date, count(a) AS n_codes, avg(a) AS v0, avg(f) AS v1 FROM (SELECT DISTINCT patient_id, visit_date FROM clean) q
+  LEFT JOIN (SELECT * FROM ws_first JOIN ws_codes USING (disease)) c ON c.patient_id = q.patient_id AND c.first_date < q.visit_date AND q.visit_date >= {_day_sql(EMBEDDED)} GROUP BY ALL)
+"""
+ORACLE_SQL["patients_as_of"] = b.with_(["visits", "city", "clean"], _AS_OF + f"SELECT patient_id, visit_date, n_codes, {r('v0')} AS v0, {r('v1')} AS v1 FROM ws_state")
+ORACLE_SQL["embedding_as_of"] = b.with_(["visits", "city", "clean"], _AS_OF + f"SELECT visit_date AS date, district, disease, count(v0) AS embedded, {r('avg(v0)')} AS v0, {r('avg(v1)')} AS v1 FROM clean LEFT JOIN ws_state USING (patient_id, visit_date) GROUP BY ALL")
+
 # -- panel and history --------------------------------------------------------
 
 
@@ -380,18 +449,20 @@ _AGES = ["visit_age_mean", "visit_age_std", "death_age_mean", "death_age_std"]
 _SHARES = ["visit_gender_f", "death_gender_f"]
 _READ = [f"{i}_{f}" for i in [*b.AIR, *b.WEATHER] for f in ("mean", "mean_remove", "std", "std_remove")]
 #: The features of the wide table that are lagged.
-WIDE = [*panel.COUNTS, *_AGES, *_SHARES, *_READ]
+PEOPLE = [*panel.COUNTS, *_AGES, *_SHARES]
+WIDE = [*PEOPLE, *_READ]
 
 
-def _merged(spark: SparkSession, sf: str, vectors: DataFrame | None = None) -> DataFrame:
+def _merged(spark: SparkSession, sf: str, vectors: DataFrame | None = None, air: bool = True) -> DataFrame:
     """All feature tables on the panel; the readings' two pivots come from one aggregation."""
-    readings = environment.air_features(b.placed_readings(spark, sf).filter(F.col("indicator").isin([*b.AIR, *b.WEATHER])))
+    indicators = [*b.AIR, *b.WEATHER]
+    readings = environment.pivot_indicators(environment.air_features(b.placed_readings(spark, sf).filter(F.col("indicator").isin(indicators))), indicators, _FIELDS) if air else None
     clean = _clean(spark, sf)
     return panel.fill_counts(
         panel.merge_features(
             _panel(spark, sf),
             visits=visits.visit_features(clean),
-            air=environment.pivot_indicators(readings, [*b.AIR, *b.WEATHER], ("mean", "mean_remove", "std", "std_remove")),
+            air=readings,
             deaths=visits.death_features(b.deaths(spark, sf)),
             emergency=visits.emergency_features(b.emergency(spark, sf)),
             embedding=None if vectors is None else embedding.embedding_features(clean, vectors),
@@ -421,11 +492,17 @@ merged AS (
 ORACLE_SQL["merge_features"] = b.with_(_MERGED_NAMES, _MERGED_SQL + f"SELECT date, district, disease, {', '.join(c if c.endswith('amount') else f'{r(c)} AS {c}' for c in _MERGED)} FROM merged")
 
 
-def _wide(spark: SparkSession, sf: str, vectors: DataFrame | None = None) -> DataFrame:
-    """The wide table: every feature of each of the seven days before, the target and its weekday."""
-    cols = [*WIDE, *(["embedding"] if vectors is not None else [])]
-    merged = _merged(spark, sf, vectors).select("date", "district", "disease", *cols)
+def _wide(spark: SparkSession, sf: str, vectors: DataFrame | None = None, filled: bool = False) -> DataFrame:
+    """The wide table: every feature of each of the seven days before, the target and its weekday.
+
+    filled: the readings' features come from filled series, each lag as it was known before the target day.
+    """
+    cols = [*(PEOPLE if filled else WIDE), *(["embedding"] if vectors is not None else [])]
+    merged = _merged(spark, sf, vectors, air=not filled).select("date", "district", "disease", *cols)
     lagged = panel.add_weekday(panel.add_target(panel.add_history(merged, cols)))
+    if filled:
+        known = environment.history_as_of(_known_features(spark, sf), [*b.AIR, *b.WEATHER]).join(F.broadcast(b.days(spark, sf).select("start"))).withColumn("date", F.date_add("start", F.col("target").cast("int")))
+        lagged = lagged.join(known.drop("start", "target"), ["date", "district"], "left")
     return panel.full_history(lagged, b.days(spark, sf)).drop(*cols)
 
 
@@ -450,6 +527,24 @@ ORACLE_SQL["wide_table"] = b.with_(
 )
 
 
+@query
+def wide_filled(spark, sf):
+    """The wide table with air and weather of filled series, as they were known before each target day."""
+    return _wide(spark, sf, filled=True).select("date", "district", "disease", "target", "weekday", *[(F.col(c) if "amount" in c else rnd(c)).alias(c) for c in _lags(PEOPLE)], *[rnd(c, 3).alias(c) for c in _lags(_READ)])
+
+
+ORACLE_SQL["wide_filled"] = b.with_(
+    [*_MERGED_NAMES, *_KNOWN_NAMES[1:]],
+    _MERGED_SQL
+    + _KNOWN
+    + f""", st_pivot AS (
+  SELECT CAST((SELECT first_day FROM ({b.CTE['days']})) + day + i AS DATE) AS date, district, {', '.join(f"{r(f"any_value(x_{f}) FILTER (indicator = '{k}' AND i = {i})", 3)} AS {k}_{f}_lag{i}" for k in [*b.AIR, *b.WEATHER] for f in _FIELDS for i in range(1, 8))}
+  FROM st_features GROUP BY ALL)
+SELECT w.*, st_pivot.* EXCLUDE (date, district) FROM (SELECT date, district, disease, visit_amount AS target, CAST(isodow(date) - 1 AS INTEGER) AS weekday, {', '.join(_lag_sql(c, i) for c in PEOPLE for i in range(1, 8))} FROM merged) w
+LEFT JOIN st_pivot USING (date, district) WHERE date >= {_FIRST} + 7""",
+)
+
+
 def _daily(spark: SparkSession, sf: str) -> DataFrame:
     base = _panel(spark, sf)
     counted = visits.visit_features(_clean(spark, sf)).select("date", "district", "disease", "visit_amount", "visit_age_mean")
@@ -546,31 +641,38 @@ _EMBEDDED = [f"embedding_lag1_{i}" for i in range(16)]
 FEATURES = [*_lags(WIDE), *_EMBEDDED, "weekday", "district_index", "disease_index"]
 
 
-def _forest(spark: SparkSession, sf: str):
-    """The forest on the wide table: environment, weather, deaths, emergencies, visits and patient vectors of the days before."""
-    split = _split(spark, sf)
-    wide = _wide(spark, sf, _vectors(spark, sf)[1])
-    flat = wide.withColumns({c: F.get("embedding_lag1", F.lit(i)) for i, c in enumerate(_EMBEDDED)}).drop(*_lags(["embedding"])).cache()
-    train, test = forecast.split_by_date(forecast.drop_multi(flat), split)
-    codes = forecast.encode_categories(train, ["district", "disease"])
-    return forecast.fit_forest(codes.transform(train), FEATURES), codes.transform(test)
+def _forest(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """predictions and importances of the forest on the wide table, fitted once for the queries that show them.
+
+    Environment and weather enter as known before the target day, patients as of the day before.
+    """
+
+    def fit() -> dict[str, DataFrame]:
+        split = _day(spark, sf, TRAINED)
+        wide = _wide(spark, sf, _word_vectors(spark, sf), filled=True)
+        flat = wide.withColumns({c: F.get("embedding_lag1", F.lit(i)) for i, c in enumerate(_EMBEDDED)}).drop(*_lags(["embedding"]))
+        flat = once(spark, f"forest-input {sf}", lambda: {"forest-input": flat})["forest-input"]
+        train, test = forecast.split_by_date(forecast.drop_multi(flat), split)
+        codes = forecast.encode_categories(train, ["district", "disease"])
+        forest = forecast.fit_forest(codes.transform(train), FEATURES)
+        return {"predictions": forecast.predict(forest, codes.transform(test)).select("date", "district", "disease", "target", "predicted"), "importances": forecast.importances(forest)}
+
+    return once(spark, f"forest {sf}", fit)
 
 
 @query
 def forest_predictions(spark, sf):
-    model, test = _forest(spark, sf)
-    return forecast.predict(model, test, FEATURES).select("date", "district", "disease", "target", "predicted")
+    return _forest(spark, sf)["predictions"]
 
 
 @query
 def forest_importances(spark, sf):
-    return forecast.importances(_forest(spark, sf)[0], FEATURES)
+    return _forest(spark, sf)["importances"].orderBy(F.desc("importance"), "feature")
 
 
 @query
 def forest_r2(spark, sf):
-    model, test = _forest(spark, sf)
-    return forecast.r2(forecast.predict(model, test, FEATURES), by=["district"])
+    return forecast.r2(_forest(spark, sf)["predictions"], by=["district"])
 
 
 @query
@@ -583,8 +685,8 @@ def crossed_features(spark, sf):
 
 #: Columns that are dates in the SQL.
 _DATES = {
-    **dict.fromkeys(("air_features", "air_pivot", "weather_features", "death_features", "visit_features", "emergency_features", "panel", "merge_features", "wide_table", "history_dense", "history_sparse", "multi_counts", "curve"), "date"),
-    **dict.fromkeys(("city_filter", "visit_dedup"), "visit_date"),
+    **dict.fromkeys(("air_features", "air_pivot", "weather_features", "death_features", "visit_features", "emergency_features", "panel", "merge_features", "wide_table", "wide_filled", "embedding_as_of", "history_dense", "history_sparse", "multi_counts", "curve"), "date"),
+    **dict.fromkeys(("city_filter", "visit_dedup", "patients_as_of"), "visit_date"),
     "tidy_fields": "tidy_date",
 }
 ORACLE_SQL.update({n: f"SELECT * REPLACE (CAST({c} AS VARCHAR) AS {c}) FROM ({ORACLE_SQL[n]})" for n, c in _DATES.items()})
