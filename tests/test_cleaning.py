@@ -1,0 +1,63 @@
+"""Raw records to clean visits by hand, and the curve made of them."""
+
+from __future__ import annotations
+
+from datetime import date
+
+import pytest
+from conftest import SMALL, rows
+from pyspark.sql import functions as F
+
+from visitcast.operators import cleaning
+from visitcast.plans import queries as jobs
+
+RAW = "patient_id string, gy_bm string, date_text string, age_text string, gender_text string, disease_raw string, current_address string, registered_address string, line int"
+
+
+@pytest.fixture(scope="module")
+def clean(spark):
+    raw = spark.createDataFrame([
+        ("1", "g", "2020-01-05", "35岁", "男", "急性心肌梗塞", "广州市天河区1号", None, 1),
+        ("1", "g", "2020/1/5", "36", "男", "急性心肌梗死", "广州市天河区1号", None, 2),  # same patient, day and gy_bm
+        ("2", "g", "20200106", "-3", "x", "i21", None, "广州", 3),
+        ("3", "g", "junk", "40", "F", "I21", "广州", None, 4),  # no date
+        ("4", "g", "2020-01-06", "40", "F", "I21", "深圳", "北京", 5),  # another city
+        ("01", "g", "2020-01-06", "40", "F", "I21", "广州", None, 6),  # the placeholder
+        (None, "g", "2020-01-06", None, None, None, "广州 海珠", None, 7),
+        ("5", "g", "2020-01-06", "40", "F", "不明", "广州某处", None, 8),
+    ], RAW)
+    library = spark.createDataFrame([("I21", "急性心肌梗死"), ("E11", "2型糖尿病")], "code string, name string")
+    blocks = spark.createDataFrame([("I20_I25", "I20", "I25")], "block string, lo string, hi string")
+    gazetteer = spark.createDataFrame([("广州市天河区1号", 0.5, 0.5)], "address string, lon double, lat double")
+    polygons = spark.createDataFrame([("天河区", [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)])], "district string, ring array<struct<x:double,y:double>>")
+    names = spark.createDataFrame([("海珠",)], "district string")
+    return cleaning.clean_visits(raw, library, blocks, gazetteer, polygons, names, ["line"])
+
+
+def test_clean_visits(clean):
+    got = {r.line: (r.visit_date, r.age, r.gender, r.code, r.block, r.district) for r in clean.collect()}
+    assert got == {
+        1: (date(2020, 1, 5), 35, "M", "I21", "I20_I25", "天河区"),
+        3: (date(2020, 1, 6), None, None, "I21", "I20_I25", None),
+        7: (date(2020, 1, 6), None, None, None, None, "海珠"),
+        8: (date(2020, 1, 6), 40, "F", None, None, None),
+    }
+
+
+def test_rejects_and_features(clean):
+    assert {(r.reason, r.value, r.n) for r in cleaning.rejects(clean).collect()} == {("disease", None, 1), ("disease", "不明", 1), ("address", None, 1), ("address", "广州某处", 1)}
+    assert [(r.date, r.district, r.disease, r.visit_amount) for r in cleaning.block_features(clean).collect()] == [(date(2020, 1, 5), "天河区", "I20_I25", 1)]
+
+
+def test_nothing_to_clean(clean):
+    assert cleaning.block_features(clean.limit(0)).count() == 0
+
+
+def test_curve_is_the_sum_of_its_predictions(spark):
+    """The curve of a block and district from the forest on histories made of raw records."""
+    predicted = jobs.QUERIES["block_predictions"](spark, SMALL)
+    curve = jobs.QUERIES["block_curve"](spark, SMALL)
+    want = predicted.filter("block = 'D00_D01' AND district = 'A'").groupBy("date").agg(F.sum("target").alias("actual"), F.sum("predicted").alias("predicted"))
+    assert rows(curve.select("date", "actual", "predicted")) == rows(want) and curve.count() > 100
+    history = jobs.QUERIES["block_history"](spark, SMALL)
+    assert predicted.join(history, ["date", "district", "block", "target"]).count() == predicted.count()

@@ -93,6 +93,30 @@ def station_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timed.groupBy("district", "indicator", "t").agg(F.avg("value").alias("value"))
 
 
+#: Raw texts of an order, as SQL of both engines but for the dates' spellings.
+RAW_TEXTS = {
+    "age_text": "CASE o_orderkey % 4 WHEN 0 THEN ' ' || CAST(o_orderkey % 130 AS VARCHAR(9)) || ' years' WHEN 1 THEN 'abc' WHEN 2 THEN '-' || CAST(o_orderkey % 9 AS VARCHAR(9)) ELSE CAST(o_orderkey % 130 AS VARCHAR(9)) END",
+    "gender_text": "CASE o_orderkey % 6 WHEN 0 THEN ' male ' WHEN 1 THEN 'F' WHEN 2 THEN '2' WHEN 3 THEN 'x' WHEN 4 THEN NULL ELSE 'Female' END",
+    "date_text": "CASE o_orderkey % 4 WHEN 0 THEN {iso} WHEN 1 THEN {slash} WHEN 2 THEN {packed} ELSE 'junk' END",
+}
+SPARK_DATES = {"iso": "date_format(o_orderdate, 'yyyy-MM-dd')", "slash": "date_format(o_orderdate, 'yyyy/M/d')", "packed": "date_format(o_orderdate, 'yyyyMMdd')"}
+DUCK_DATES = {"iso": "strftime(o_orderdate, '%Y-%m-%d')", "slash": "strftime(o_orderdate, '%Y/%-m/%-d')", "packed": "strftime(o_orderdate, '%Y%m%d')"}
+
+
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_orderkey, o_custkey and raw texts of age, gender and date."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", *[f"{x.format(**SPARK_DATES)} AS {c}" for c, x in RAW_TEXTS.items()])
+
+
+def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visits before cleaning: texts of age, gender, date, disease and addresses."""
+    part = dirty(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gy_bm")), "p_partkey").withColumnRenamed("raw", "disease_raw")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(_regions(spark, sf_dir, "registered"), F.col("s_nationkey") == F.col("registered_nation")).select("s_suppkey", F.col("registered").alias("registered_address"))
+    people = addresses(spark, sf_dir).withColumnRenamed("address", "current_address")
+    joined = table(spark, sf_dir, "lineitem").select(*LINE).join(raw_texts(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(people, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    return joined.select(F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"), "gy_bm", *RAW_TEXTS, "disease_raw", "current_address", "registered_address", *LINE)
+
+
 def icd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, name: the distinct part names, numbered in order (a dimension of 64 rows)."""
     from pyspark.sql.window import Window
@@ -138,6 +162,9 @@ CTE = {
       JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey""",
     "city": f"SELECT * FROM visits WHERE (current_address LIKE '%{CITY}%' OR registered_address LIKE '%{CITY}%') AND patient_id <> '01'",
     "clean": f"SELECT * FROM city QUALIFY row_number() OVER (PARTITION BY patient_id, visit_date, gy_bm ORDER BY {', '.join(LINE)}) = 1",
+    "raw_visits": f"""SELECT CASE WHEN o_custkey = 1 THEN '01' ELSE CAST(o_custkey AS VARCHAR) END AS patient_id, p_brand AS gy_bm, c_custkey, {', '.join(f"{x.format(**DUCK_DATES)} AS {c}" for c, x in RAW_TEXTS.items())},
+      CAST(o_orderdate AS DATE) AS day, raw, address AS current_address, sr.r_name AS registered_address, {', '.join(LINE)} FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = part.p_partkey
+      JOIN dirty ON dirty.p_partkey = part.p_partkey JOIN addresses ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey""",
     "emergency": f"SELECT CAST(o_orderdate AS DATE) AS visit_date, cr.r_name AS district FROM orders {_DISTRICT} WHERE o_orderpriority = '1-URGENT'",
     "deaths": f"SELECT CAST(o_orderdate AS DATE) AS date, cr.r_name AS district, {_PEOPLE} FROM orders {_DISTRICT} WHERE o_orderstatus = 'F'",
     "readings": "SELECT ts, r_name AS district, event_type AS indicator, value FROM events JOIN region ON CAST(user_id % 12 AS INTEGER) % 5 = r_regionkey",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visitcast.functions.fields import tidy_age, tidy_date, tidy_gender
-from visitcast.operators import address, embedding, environment, forecast, icd, panel, profile, visits
+from visitcast.operators import address, cleaning, embedding, environment, forecast, icd, panel, profile, visits
 from visitcast.plans import bindings as b
 from visitcast.sources.scratch import once
 
@@ -214,23 +214,17 @@ def _fill_sql(grid: str, keys: str, pre: str = "") -> str:
 
 ORACLE_SQL["lagrange_fill"] = b.with_(["hourly", "grid"], _fill_sql("grid", "indicator") + f"SELECT indicator, t, {r('filled', 4)} AS filled FROM filled")
 
-_RAW = """SELECT o_orderkey,
-  CASE o_orderkey % 4 WHEN 0 THEN ' ' || CAST(o_orderkey % 130 AS VARCHAR) || ' years' WHEN 1 THEN 'abc' WHEN 2 THEN '-' || CAST(o_orderkey % 9 AS VARCHAR) ELSE CAST(o_orderkey % 130 AS VARCHAR) END AS age_text,
-  CASE o_orderkey % 6 WHEN 0 THEN ' male ' WHEN 1 THEN 'F' WHEN 2 THEN '2' WHEN 3 THEN 'x' WHEN 4 THEN NULL ELSE 'Female' END AS gender_text,
-  CASE o_orderkey % 4 WHEN 0 THEN {iso} WHEN 1 THEN {slash} WHEN 2 THEN {packed} ELSE 'junk' END AS date_text, CAST(o_orderdate AS DATE) AS d FROM orders"""
+_AGE_SQL = "CASE WHEN TRY_CAST(regexp_extract(trim(age_text), '^(-?[0-9]+)', 1) AS INTEGER) BETWEEN 0 AND 120 THEN TRY_CAST(regexp_extract(trim(age_text), '^(-?[0-9]+)', 1) AS INTEGER) END"
+_GENDER_SQL = "CASE upper(trim(gender_text)) WHEN 'MALE' THEN 'M' WHEN 'F' THEN 'F' WHEN '2' THEN 'F' WHEN 'FEMALE' THEN 'F' END"
 
 
 @query
 def tidy_fields(spark, sf):
-    b.table(spark, sf, "orders").createOrReplaceTempView("visitcast_orders")
-    raw = spark.sql(_RAW.format(iso="date_format(o_orderdate, 'yyyy-MM-dd')", slash="date_format(o_orderdate, 'yyyy/M/d')", packed="date_format(o_orderdate, 'yyyyMMdd')").replace("FROM orders", "FROM visitcast_orders").replace("VARCHAR", "STRING"))
-    return raw.select("o_orderkey", tidy_age(F.col("age_text")).alias("age"), tidy_gender(F.col("gender_text")).alias("gender"), tidy_date(F.col("date_text")).alias("tidy_date"))
+    return b.raw_texts(spark, sf).select("o_orderkey", tidy_age(F.col("age_text")).alias("age"), tidy_gender(F.col("gender_text")).alias("gender"), tidy_date(F.col("date_text")).alias("tidy_date"))
 
 
-ORACLE_SQL["tidy_fields"] = f"""WITH raw AS ({_RAW.format(iso="strftime(o_orderdate, '%Y-%m-%d')", slash="strftime(o_orderdate, '%Y/%-m/%-d')", packed="strftime(o_orderdate, '%Y%m%d')")})
-SELECT o_orderkey, CASE WHEN a BETWEEN 0 AND 120 THEN a END AS age,
-  CASE upper(trim(gender_text)) WHEN 'MALE' THEN 'M' WHEN 'F' THEN 'F' WHEN '2' THEN 'F' WHEN 'FEMALE' THEN 'F' END AS gender, CASE WHEN date_text <> 'junk' THEN d END AS tidy_date
-FROM (SELECT *, TRY_CAST(regexp_extract(trim(age_text), '^(-?[0-9]+)', 1) AS INTEGER) AS a FROM raw)"""
+ORACLE_SQL["tidy_fields"] = f"""WITH raw AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, {', '.join(f"{x.format(**b.DUCK_DATES)} AS {c}" for c, x in b.RAW_TEXTS.items())} FROM orders)
+SELECT o_orderkey, {_AGE_SQL} AS age, {_GENDER_SQL} AS gender, CASE WHEN date_text <> 'junk' THEN d END AS tidy_date FROM raw"""
 
 # -- visits -------------------------------------------------------------------
 
@@ -594,6 +588,110 @@ def weekday_target(spark, sf):
 
 ORACLE_SQL["weekday_target"] = b.with_(["visits", "city", "clean"], _DAILY + "SELECT CAST(isodow(date) - 1 AS INTEGER) AS weekday, district, CAST(sum(visit_amount) AS BIGINT) AS target, count(*) AS days FROM daily GROUP BY ALL")
 
+# -- from raw records to block histories ----------------------------------------
+
+
+def _from_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The raw visits cleaned: all that follows is made of raw codes and addresses. Written once, since several queries begin with it."""
+
+    def clean() -> dict[str, DataFrame]:
+        where = b.points(spark, sf).join(b.addresses(spark, sf), "c_custkey").select("address", "lon", "lat")
+        names = b.table(spark, sf, "region").select(F.col("r_name").alias("district"))
+        return {"clean-visits": cleaning.clean_visits(b.raw_visits(spark, sf), b.icd(spark, sf), b.blocks(spark), where, b.polygons(spark), names, b.LINE, b.CITY)}
+
+    return once(spark, f"clean visits {sf}", clean)["clean-visits"]
+
+
+_FROM_RAW_NAMES = ["icd", "dirty", "points", "edges", "addresses", "raw_visits"]
+_FROM_RAW = (
+    _SIMILAR
+    + f""", ex AS (SELECT DISTINCT raw, code, 1.0::DOUBLE AS score FROM raws JOIN icd ON upper(regexp_replace(raw, '\\s+', '', 'g')) = upper(regexp_replace(name, '\\s+', '', 'g'))),
+mp AS (SELECT raw, code, score FROM ex UNION ALL SELECT raw, code, score FROM best WHERE raw NOT IN (SELECT raw FROM ex)),
+bl AS (SELECT * FROM (VALUES ('D00_D01', 'D00', 'D01'), ('D02_D03', 'D02', 'D03'), ('D04_D05', 'D04', 'D05')) t(block, lo, hi)),
+hits AS (SELECT c_custkey, district FROM points, edges GROUP BY c_custkey, district
+  HAVING count(*) FILTER ((y1 > lat) <> (y2 > lat) AND CASE WHEN y2 = y1 THEN false ELSE lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0) + x1 END) % 2 = 1),
+place AS (SELECT c_custkey, coalesce((SELECT min(district) FROM hits WHERE hits.c_custkey = addresses.c_custkey), (SELECT r_name FROM region WHERE contains(address, r_name) ORDER BY length(r_name) DESC, r_name LIMIT 1)) AS district FROM addresses),
+kept AS (
+  SELECT *, {_AGE_SQL} AS age, {_GENDER_SQL} AS gender, day AS visit_date FROM raw_visits
+  WHERE date_text <> 'junk' AND (current_address LIKE '%{b.CITY}%' OR registered_address LIKE '%{b.CITY}%') AND patient_id <> '01'
+  QUALIFY row_number() OVER (PARTITION BY patient_id, day, gy_bm ORDER BY {', '.join(b.LINE)}) = 1),
+cleaned AS (SELECT kept.*, code, score, block, district FROM kept LEFT JOIN mp USING (raw) LEFT JOIN bl ON code[1:3] BETWEEN lo AND hi LEFT JOIN place USING (c_custkey))
+"""
+)
+
+
+@query
+def clean_visits(spark, sf):
+    """Raw visits with tidy fields, standard codes and districts of their own."""
+    return _from_raw(spark, sf).select("patient_id", "visit_date", "gy_bm", "age", "gender", "code", rnd("score").alias("score"), "block", "district")
+
+
+ORACLE_SQL["clean_visits"] = b.with_(_FROM_RAW_NAMES, _FROM_RAW + f"SELECT patient_id, visit_date, gy_bm, age, gender, code, {r('score')} AS score, block, district FROM cleaned")
+
+
+@query
+def clean_rejects(spark, sf):
+    """What cleaning could not read: diseases without a code, addresses without a district."""
+    return cleaning.rejects(_from_raw(spark, sf))
+
+
+ORACLE_SQL["clean_rejects"] = b.with_(
+    _FROM_RAW_NAMES,
+    _FROM_RAW + "SELECT 'disease' AS reason, raw AS value, count(*) AS n FROM cleaned WHERE code IS NULL GROUP BY raw UNION ALL SELECT 'address', current_address, count(*) FROM cleaned WHERE district IS NULL GROUP BY current_address",
+)
+
+
+def _block_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Visits per day, district and block of codes on the dense panel of the days, with the seven days before."""
+    features = cleaning.block_features(_from_raw(spark, sf)).select("date", "district", "disease", "visit_amount", "visit_age_mean")
+    places = b.polygons(spark).select("district").union(b.table(spark, sf, "region").select("r_name"))
+    base = panel.panel_over(b.days(spark, sf), places, b.blocks(spark).select(F.col("block").alias("disease")))
+    daily = panel.fill_counts(panel.merge_features(base, visits=features))
+    return panel.full_history(panel.add_weekday(panel.add_target(panel.add_history(daily, ["visit_amount", "visit_age_mean"]))), b.days(spark, sf))
+
+
+@query
+def block_history(spark, sf):
+    """The forecast's input made from raw records alone."""
+    return _block_history(spark, sf).select("date", "district", F.col("disease").alias("block"), "target", "weekday", *_LAGS)
+
+
+ORACLE_SQL["block_history"] = b.with_(
+    _FROM_RAW_NAMES,
+    _FROM_RAW
+    + f""", counted AS (SELECT visit_date AS date, district, block, count(*) AS n FROM cleaned GROUP BY ALL),
+daily AS (
+  SELECT CAST(d AS DATE) AS date, p.district, bl.block, coalesce(n, 0) AS visit_amount FROM (SELECT unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS d FROM ({b.CTE['days']}))
+  CROSS JOIN (SELECT DISTINCT district FROM edges UNION SELECT r_name FROM region) p CROSS JOIN bl LEFT JOIN counted c ON c.date = CAST(d AS DATE) AND c.district = p.district AND c.block = bl.block)
+SELECT * FROM (SELECT date, district, block, visit_amount AS target, CAST(isodow(date) - 1 AS INTEGER) AS weekday, {', '.join(f'lag(visit_amount, {i}) OVER (PARTITION BY district, block ORDER BY date) AS visit_amount_lag{i}' for i in range(1, 8))} FROM daily) WHERE date >= {_FIRST} + 7""",
+)
+
+
+def _block_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """date, district, block, target, predicted: a forest on the block histories, for the days after the split."""
+
+    def fit() -> dict[str, DataFrame]:
+        rows = _block_history(spark, sf).withColumn("block", F.col("disease"))
+        train, test = forecast.split_by_date(rows, _day(spark, sf, TRAINED))
+        codes = forecast.encode_categories(train, ["district", "block"])
+        features = [*_LAGS, *[f"visit_age_mean_lag{i}" for i in range(1, 8)], "weekday", "district_index", "block_index"]
+        forest = forecast.fit_forest(codes.transform(train), features)
+        return {"block-predictions": forecast.predict(forest, codes.transform(test)).select("date", "district", "block", "target", "predicted")}
+
+    return once(spark, f"block forest {sf}", fit)["block-predictions"]
+
+
+@query
+def block_predictions(spark, sf):
+    return _block_forest(spark, sf)
+
+
+@query
+def block_curve(spark, sf):
+    """The forest's curve of one disease block in one district, from raw codes and addresses."""
+    return forecast.curve(_block_forest(spark, sf), "D00_D01", "A")
+
+
 # -- model inputs, forecast, results ------------------------------------------
 
 _BINS = [0.0, 18.0, 40.0, 65.0, 121.0]
@@ -685,8 +783,8 @@ def crossed_features(spark, sf):
 
 #: Columns that are dates in the SQL.
 _DATES = {
-    **dict.fromkeys(("air_features", "air_pivot", "weather_features", "death_features", "visit_features", "emergency_features", "panel", "merge_features", "wide_table", "wide_filled", "embedding_as_of", "history_dense", "history_sparse", "multi_counts", "curve"), "date"),
-    **dict.fromkeys(("city_filter", "visit_dedup", "patients_as_of"), "visit_date"),
+    **dict.fromkeys(("air_features", "air_pivot", "weather_features", "death_features", "visit_features", "emergency_features", "panel", "merge_features", "wide_table", "wide_filled", "embedding_as_of", "block_history", "history_dense", "history_sparse", "multi_counts", "curve"), "date"),
+    **dict.fromkeys(("city_filter", "visit_dedup", "patients_as_of", "clean_visits"), "visit_date"),
     "tidy_fields": "tidy_date",
 }
 ORACLE_SQL.update({n: f"SELECT * REPLACE (CAST({c} AS VARCHAR) AS {c}) FROM ({ORACLE_SQL[n]})" for n, c in _DATES.items()})
