@@ -7,9 +7,9 @@ from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +24,10 @@ def _between(col: str, a: float, b: float) -> Column:
     return F.size(F.filter(F.col(col), lambda x: (x >= a) & (x < b)))
 
 
-def cross_features(df: DataFrame, cols: list[str], size: int = 1 << 12) -> DataFrame:
-    """df with `crossed`: the hashed combination of the columns' values."""
+def cross_features(df: DataFrame, cols: list[str], size: int = 1 << 12, output: str = "crossed") -> DataFrame:
+    """df with `output`: the hashed combination of the columns' values."""
     joined = df.withColumn("_crossed", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("?")) for c in cols]))
-    return FeatureHasher(inputCols=["_crossed"], outputCol="crossed", numFeatures=size).transform(joined).drop("_crossed")
+    return FeatureHasher(inputCols=["_crossed"], outputCol=output, numFeatures=size).transform(joined).drop("_crossed")
 
 
 def encode_categories(train: DataFrame, cols: list[str]) -> PipelineModel:
@@ -77,6 +77,48 @@ def predict(forest: Forest, df: DataFrame, features: list[str] | None = None) ->
     return forest.model.transform(forest.assembled(df)).select(*df.columns, F.col("prediction").alias("predicted"))
 
 
+@dataclass(frozen=True)
+class SparseInputs:
+    """What a linear model reads: numbers, one-hot categories, hashed crosses and binned multi-valued features in one sparse vector."""
+
+    numbers: list[str]
+    categories: list[str]
+    crosses: list[list[str]]
+    multi: dict[str, list[float]]
+    codes: PipelineModel | None = None
+    size: int = 1 << 12
+
+    def fitted(self, train: DataFrame) -> SparseInputs:
+        """With the categories of the training side; others share one slot."""
+        return replace(self, codes=encode_categories(train, self.categories))
+
+    def assembled(self, df: DataFrame) -> DataFrame:
+        """df with `features`; missing numbers are 0, a missing multi-valued feature has no value in any bin."""
+        out = self.codes.transform(df)
+        for i, cols in enumerate(self.crosses):
+            out = cross_features(out, cols, self.size, f"_cross{i}")
+        for c, bins in self.multi.items():
+            counts = [F.coalesce(_between(c, a, b), F.lit(0)).cast("double") for a, b in zip(bins, bins[1:], strict=False)]
+            out = out.withColumn(f"_multi_{c}", array_to_vector(F.array(*counts)))
+        out = out.withColumn("_numbers", array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.numbers])))
+        parts = ["_numbers", *[f"{c}_onehot" for c in self.categories], *[f"_cross{i}" for i in range(len(self.crosses))], *[f"_multi_{c}" for c in self.multi]]
+        return VectorAssembler(inputCols=parts, outputCol="features").transform(out).select(*df.columns, "features")
+
+
+def fit_linear(train: DataFrame, inputs: SparseInputs, label: str = "target", penalty: float = 0.1, rounds: int = 30) -> LinearRegressionModel:
+    """Ridge regression on the sparse vectors, by gradients summed over the tasks."""
+    data = inputs.assembled(train).select("features", F.col(label).cast("double").alias(label)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return LinearRegression(featuresCol="features", labelCol=label, regParam=penalty, maxIter=rounds, solver="l-bfgs").fit(data)
+    finally:
+        data.unpersist()
+
+
+def predict_linear(model: LinearRegressionModel, inputs: SparseInputs, df: DataFrame) -> DataFrame:
+    """df with `predicted`."""
+    return model.transform(inputs.assembled(df)).select(*df.columns, F.col("prediction").alias("predicted"))
+
+
 def r2(pred: DataFrame, by: list[str] | None = None, actual: str = "target", predicted: str = "predicted") -> DataFrame:
     """1 - residual / total sum of squares, whole or per series; null where the actual values don't vary."""
     keys = by or []

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,33 @@ ORACLE_SQL["profile"] = " UNION ALL ".join(
 )
 
 
+def _monthly(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of each month of the lines, stored once for the queries that merge them."""
+    lines = b.table(spark, sf, "lineitem").select(*PROFILED, "l_shipdate")
+    return once(spark, f"profile {sf}", lambda: {"profile-months": profile.sketches(lines, PROFILED, F.date_format("l_shipdate", "yyyy-MM"))})["profile-months"]
+
+
+@query
+def profile_merged(spark, sf):
+    """The exact figures of the profile, merged from the months' stored ones."""
+    p = profile.merged_profile(_monthly(spark, sf))
+    return p.select("column", "n", "nulls", *[rnd(c, 4).alias(c) for c in ("min", "max", "mean", "std")])
+
+
+ORACLE_SQL["profile_merged"] = f"SELECT * EXCLUDE (n_distinct) FROM ({ORACLE_SQL['profile']})"
+
+
+@query
+def profile_sketched(spark, sf):
+    """Estimated numbers of distinct values, from the same sketches."""
+    return profile.merged_profile(_monthly(spark, sf)).select("column", "n_distinct")
+
+
+@query
+def frequencies_sketched(spark, sf):
+    return profile.merged_frequencies(_monthly(spark, sf), 10)
+
+
 @query
 def frequencies(spark, sf):
     return profile.frequencies(b.table(spark, sf, "part"), "p_brand", 10)
@@ -773,6 +801,45 @@ def forest_r2(spark, sf):
     return forecast.r2(_forest(spark, sf)["predictions"], by=["district"])
 
 
+#: Multi-valued features of the day before, in bins of age.
+_MULTI = {"visit_age_multi_lag1": _BINS, "death_age_multi_lag1": _BINS}
+
+
+def _compared(spark: SparkSession, sf: str) -> DataFrame:
+    """R² of a linear model on sparse inputs and of a forest, each without and with multi-valued features, on one split."""
+
+    def fit() -> dict[str, DataFrame]:
+        split, clean, cols = _day(spark, sf, TRAINED), _clean(spark, sf), ["visit_amount", "death_amount", "visit_age_mean"]
+        merged = panel.fill_counts(panel.merge_features(_panel(spark, sf), visits=visits.visit_features(clean), deaths=visits.death_features(b.deaths(spark, sf)))).select("date", "district", "disease", *cols, "visit_age_multi", "death_age_multi")
+        lagged = panel.add_history(panel.add_weekday(panel.add_target(merged)), cols).drop(*cols)
+        # Of the lists only the day before is read, so only that one is carried.
+        lagged = panel.full_history(panel.add_history(lagged, ["visit_age_multi", "death_age_multi"], days=1).drop("visit_age_multi", "death_age_multi"), b.days(spark, sf))
+        rows = once(spark, f"compared input {sf}", lambda: {"compared-input": lagged})["compared-input"]
+        train, test = forecast.split_by_date(rows, split)
+        numbers = _lags(cols)
+        out = []
+        for name, multi in (("without", {}), ("with", _MULTI)):
+            inputs = forecast.SparseInputs(numbers, ["district", "disease", "weekday"], [["district", "disease"], ["disease", "weekday"]], multi).fitted(train)
+            linear = forecast.predict_linear(forecast.fit_linear(train, inputs), inputs, test)
+            counted = rows
+            for c, bins in multi.items():
+                counted = forecast.vectorise_multi(counted, c, bins).withColumns({f"{c}_{i}": F.get(f"{c}_counts", F.lit(i)) for i in range(len(bins) - 1)})
+            left, right = forecast.split_by_date(counted, split)
+            codes = forecast.encode_categories(left, ["district", "disease"])
+            features = [*numbers, "weekday", "district_index", "disease_index", *[f"{c}_{i}" for c, bins in multi.items() for i in range(len(bins) - 1)]]
+            forest = forecast.predict(forecast.fit_forest(codes.transform(left), features), codes.transform(right))
+            out += [forecast.r2(p).select(F.lit(model).alias("model"), F.lit(name).alias("multi"), "n", "r2") for model, p in (("linear", linear), ("forest", forest))]
+        return {"compared": reduce(DataFrame.unionByName, out)}
+
+    return once(spark, f"compared {sf}", fit)["compared"]
+
+
+@query
+def multi_comparison(spark, sf):
+    """What multi-valued features, crosses and one-hots are worth: R² with and without, for a linear model and a forest."""
+    return _compared(spark, sf)
+
+
 @query
 def crossed_features(spark, sf):
     """Hashed cross of district, disease and weekday, as the index that each row's cross falls on."""
