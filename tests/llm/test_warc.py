@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import zlib
 from pathlib import Path
 
 import pytest
 from conftest import SMALL, duck_rows, rows
+from pyspark.sql import functions as F
 
 from visitcast.llm import warc
 from visitcast.llm.common import scratch_path
@@ -37,6 +39,8 @@ def test_round_trip(spark, tmp_path, compression):
     files = list(Path(f"{tmp_path}/w").glob("part-*"))
     seen = [x for p in files for x in warc.parse(p.read_bytes()) if x[0]["warc-type"] != "warcinfo"]
     assert len({f["warc-record-id"] for f, _ in seen}) == len(PAGES) and len(files) > 3
+    assert all(p.name.endswith(".warc.gz" if compression == "gzip" else ".warc") for p in files)
+    assert all(next(warc.parse(p.read_bytes()))[0]["warc-type"] == "warcinfo" for p in files)
     if compression == "gzip":
         assert all(_members(p.read_bytes()) for p in files)
     assert len(seen) == len(PAGES) and sum(b.partition(b"\r\n\r\n")[2] == LONG.encode() for _, b in seen) == 2
@@ -66,6 +70,23 @@ def test_responses_are_not_joined(spark):
         assert all(r.payload_bytes and r.payload_digest for r in got)
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path):
+    """Large records first, then many small ones: no file passes the bound by more than a record; one larger than it is alone."""
+    size, bound = 200_000, 600_000
+    pages = [(i, "u", f"{i}" + "x" * size) for i in range(60)] + [(i, "u", f"small {i}") for i in range(60, 3000)] + [(3000, "u", "L" * 2 * bound)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("digest", "row", "first_id", "size", "payload", "value")}).coalesce(1)
+    warc.write(warc.typed(df).coalesce(1), f"{tmp_path}/w", archive=bound)
+    sizes = []
+    for p in Path(f"{tmp_path}/w").glob("*.warc.gz"):
+        found = list(warc.parse(p.read_bytes()))
+        assert found[0][0]["warc-type"] == "warcinfo" and [f["warc-type"] for f, _ in found].count("warcinfo") == 1
+        sizes.append((len(gzip.decompress(p.read_bytes())), len(found) - 1))
+    # Four bytes end each record.
+    assert all(s <= bound + 500 + 4 * n or n == 1 for s, n in sizes) and len(sizes) >= 30
+    assert sum(n for _, n in sizes) == len(pages) and [n for s, n in sizes if s > 2 * bound] == [1]
+    assert warc.resolve(warc.read(spark, f"{tmp_path}/w")).count() == len(pages)
+
+
 def test_broken_archives():
     good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
     assert len(list(warc.parse(good * 2))) == 2 and list(warc.parse(b"")) == []

@@ -5,9 +5,10 @@ Headers are shuffled by digest; of records with equal payloads of at least LEAST
 bytes the one with the smallest id stays a response, the others become revisits
 that refer to it. Archives hold one gzip member a record, each with fresh headers
 (a date of the run, an id of its own), after a `warcinfo` record; Spark's own
-writer puts them into the shared folder, in files of about ARCHIVE bytes. Reading
-parses records by their Content-Length; only revisits are joined to the responses
-that they refer to.
+writer puts them into the shared folder, in files `*.warc.gz` of at most ARCHIVE bytes
+before compression (or of one larger record), which bounds what a task holds. Reading
+parses records one by one by their Content-Length; only revisits are joined to the
+responses that they refer to.
 
 Payloads don't go through a shuffle as long as a count proves that the digests that
 occur more than once can be broadcast; beyond, they move once, in a join that
@@ -17,7 +18,7 @@ Defined results: a null payload is an empty one; records below LEAST bytes are a
 responses; a null id comes last, so such a record revisits another if there is one;
 rows that repeat an id and its payload are each a response, with ids of their own; a
 null URL leaves its header out; blanks in a URL are written %20; an empty table gives
-no rows; extra columns are ignored, whatever their names.
+no rows; extra columns are ignored, whatever their names (digest, row, size or first_id, too).
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import BROADCAST_ROWS, modest_batches, scratch_path, small, table, written
+from visitcast.llm.common import BROADCAST_ROWS, modest, modest_batches, scratch_path, small, table, written
 
 LEAST = 100
 ARCHIVE = 16 << 20
 NL = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, page_id long, url string, record_type string, refers_to_id string, header_digest string, payload_bytes long, payload_digest string"
-#: An empty gzip member. Spark's text writer puts something between records: this leaves the archive's content as it is.
+#: An empty gzip member. Spark's text writer ends each row with something: this leaves the archive's content as it is.
 NOTHING = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 
 
@@ -95,49 +96,66 @@ def _info(date: str) -> bytes:
     return f"WARC/1.1{NL}WARC-Type: warcinfo{NL}WARC-Record-ID: {name}{NL}WARC-Date: {date}{NL}Content-Type: application/warc-fields{NL}Content-Length: {len(block)}{NL * 2}".encode() + block
 
 
-def _members(batches: Iterator[pa.RecordBatch], date: str) -> Iterator[pa.RecordBatch]:
-    """One gzip member a record; a task's first is a `warcinfo` record."""
-    yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(_info(date) + b"\r\n\r\n", mtime=0)])], ["member"])
+def _archives(batches: Iterator[pa.RecordBatch], date: str, archive: int, packed: bool) -> Iterator[pa.RecordBatch]:
+    """The bytes of one archive a row: a `warcinfo` record, then records until the next would pass `archive` bytes; a gzip member each."""
+    pack = (lambda x: gzip.compress(x + b"\r\n\r\n", 6, mtime=0)) if packed else (lambda x: x)
+    join = (b"" if packed else b"\r\n\r\n").join
+    done = lambda parts: pa.RecordBatch.from_arrays([pa.array([join(parts)], pa.binary())], ["archive"])
+    parts, size = [], 0
     for batch in batches:
-        packed = [gzip.compress(x.as_buffer().to_pybytes() + b"\r\n\r\n", 6, mtime=0) for x in batch.column("value")]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
+        for x in batch.column("value"):
+            data = x.as_buffer().to_pybytes()
+            if parts and size + len(data) > archive:
+                yield done(parts)
+                parts, size = [], 0
+            parts += [pack(data)] if parts else [pack(_info(date)), pack(data)]
+            size += len(data)
+    if parts:
+        yield done(parts)
+
+
+def _renamed(spark: SparkSession, path: str, ending: str) -> None:
+    """Gives the files of Spark's text writer the ending of archives: one rename a file, however many records it has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for x in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(at, "part-*.txt")):
+        old = x.getPath()
+        files.rename(old, spark._jvm.org.apache.hadoop.fs.Path(at, old.getName().removesuffix(".txt") + ending))
 
 
 def write(records: DataFrame, path: str, archive: int = ARCHIVE, compression: str = "gzip") -> None:
-    """Writes typed() records as archives of about `archive` bytes, before compression, below `path`.
+    """Writes typed() records as archives of at most `archive` bytes before compression (or of one larger record) below `path`.
 
-    A task writes a new file after so many records as hold that many bytes on average.
+    A task gathers the bytes of one archive at a time, and Spark's text writer puts each row into a file of its own.
     """
-    spark, date = records.sparkSession, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    total, n = records.agg(F.coalesce(F.sum(F.when(F.col("first_id").isNull(), F.col("size")).otherwise(0) + 700), F.lit(0)), F.count("*")).first()
-    each = max(1, archive * n // max(1, total))
-    lines = records.select(record(records, date).alias("value"))
-    writer = lambda df: df.write.option("maxRecordsPerFile", each)
-    if compression == "none":
-        writer(lines).option("lineSep", NL * 2).text(path)
-        return
-    modest_batches(spark)
-    # The bytes of the members pass as they are: the writer takes strings for bytes, and the separator in this encoding.
-    packed = lines.mapInArrow(lambda it: _members(it, date), "member binary").select(F.col("member").cast("string").alias("value"))
-    writer(packed).option("lineSep", NOTHING.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    spark, date, packed = records.sparkSession, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), compression != "none"
+    rows = records.select(record(records, date).alias("value")).mapInArrow(lambda it: _archives(it, date, archive, packed), "archive binary")
+    # The bytes pass as they are: the writer takes strings for bytes, and the separator, once at the end of a file, in this encoding.
+    end = NOTHING.decode("latin-1") if packed else NL * 2
+    with modest(spark):
+        rows.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", end).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
+    _renamed(spark, path, ".warc.gz" if packed else ".warc")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()  # gzip.decompress() copies the rest of the file at each member
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        head = data[at:end].decode("utf-8").split(NL) if end >= 0 else [""]
-        if not head[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-        start, size = end + 4, int(fields["content-length"])
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, data[start : start + size]
-        at = start + size + 4
+    """Headers (names in lower case) and block of each record, unpacked one record at a time."""
+    file = io.BytesIO(data)
+    file = io.BufferedReader(gzip.GzipFile(fileobj=file)) if data[:2] == b"\x1f\x8b" else file
+    n = 0
+    while first := file.readline():
+        n += 1
+        if not first.startswith(b"WARC/"):
+            raise ValueError(f"record {n} doesn't begin as one")
+        fields = {}
+        while (line := file.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError(f"the headers of record {n} are cut off")
+            name, _, value = line.decode("utf-8").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        block = file.read(int(fields["content-length"]))
+        if len(block) < int(fields["content-length"]) or file.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {n} is cut off")
+        yield fields, block
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
