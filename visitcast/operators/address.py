@@ -1,4 +1,10 @@
-"""Addresses to districts: gazetteer, point in polygon, name in the text."""
+"""Addresses to districts: gazetteer, point in polygon, name in the text.
+
+Defined results: null addresses and coordinates have no district; an address with several
+coordinates takes the smallest; of several districts, the first name on a shared edge and
+the longest name in a text (ties by name) win; repeated rows are answered alike; without
+polygons, names or gazetteer the district is null.
+"""
 
 from __future__ import annotations
 

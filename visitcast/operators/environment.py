@@ -1,4 +1,9 @@
-"""Environment series: complete grid, Lagrange fill, daily features per district."""
+"""Environment series: complete grid, Lagrange fill, daily features per district.
+
+Defined results: null values are gaps; a series of nulls stays null; rows whose key is null are
+series of their own in a window but are not filled; several values at one t are each an
+observation; statistics of too few values are null; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Model inputs, random forest, scores and result curves."""
+"""Model inputs, random forest, scores and result curves.
+
+Defined results: a null list has null counts, one without values in the bins zeros; unseen
+categories share a slot; R² is null where the actual values don't vary; curves sum the rows of a
+day, days without rows are missing.
+"""
 
 from __future__ import annotations
 

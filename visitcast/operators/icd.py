@@ -2,6 +2,12 @@
 
 Similarity works on distinct strings only and meets the library in an equi-join on the
 rare ones of their character bigrams, so no cross join arises and no visit row is compared.
+Whether a library is small enough to broadcast is left to adaptive execution, which knows
+its size once it is there.
+
+Defined results: null texts match nothing and are counted by the reject table; repeated
+texts are matched once; a code or name that stands for several codes gives the smallest;
+an empty library or table gives no matches.
 """
 
 from __future__ import annotations
@@ -11,20 +17,11 @@ from pyspark.sql import functions as F
 
 from visitcast.functions.fields import normalise_code
 
-#: Rows up to which a dimension table is broadcast; beyond, Spark shuffles both sides.
-DIMENSION_ROWS = 200_000
-
-
-def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
-    """df marked for broadcast if a count proves it small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def match_exact(dirty: DataFrame, icd: DataFrame, raw: str = "raw") -> DataFrame:
     """raw, code, score 1.0 for the distinct raw strings equal to a code or a name of the library (normalised)."""
     keys = icd.select(F.explode(F.array(normalise_code(F.col("code")), normalise_code(F.col("name")))).alias("key"), "code").groupBy("key").agg(F.min("code").alias("code"))
     distinct = dirty.select(raw).filter(F.col(raw).isNotNull()).distinct()
-    return distinct.withColumn("key", normalise_code(F.col(raw))).join(dimension(keys), "key").select(raw, "code", F.lit(1.0).alias("score"))
+    return distinct.withColumn("key", normalise_code(F.col(raw))).join(keys, "key").select(raw, "code", F.lit(1.0).alias("score"))
 
 
 def _grams(text: Column, gram: int) -> Column:

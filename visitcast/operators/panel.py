@@ -1,8 +1,14 @@
-"""Dense panel, merge of the feature tables, history of the days before, target."""
+"""Dense panel, merge of the feature tables, history of the days before, target.
+
+Defined results: rows of feature tables whose keys are null or not in the panel are left
+out; repeated districts and diseases are one; without days, districts or diseases the panel is
+empty; days before the first one are null in the history.
+"""
 
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +38,18 @@ def panel_over(days: DataFrame, districts: DataFrame, diseases: DataFrame) -> Da
 def merge_features(base: DataFrame, visits: DataFrame | None = None, air: DataFrame | None = None, deaths: DataFrame | None = None, weather: DataFrame | None = None, emergency: DataFrame | None = None, embedding: DataFrame | None = None) -> DataFrame:
     """base with the given tables left-joined: by date, district and disease, or date and district.
 
-    Whether a table is small enough to broadcast is known once it is aggregated, so that is left to adaptive execution.
+    The tables by date and district are put together first, on the keys that they are grouped by already, so that
+    the panel, larger by the number of diseases, is shuffled for them once. Whether a table is small enough to
+    broadcast is known once it is aggregated, so that is left to adaptive execution.
     """
     out = base
     for t in (visits, embedding):
         if t is not None:
             out = out.join(t, ["date", "district", "disease"], "left")
-    for t in (air, deaths, weather, emergency):
-        if t is not None:
-            out = out.join(t, ["date", "district"], "left")
-    return out
+    daily = [t for t in (air, deaths, weather, emergency) if t is not None]
+    if not daily:
+        return out
+    return out.join(reduce(lambda a, b: a.join(b, ["date", "district"], "full_outer"), daily), ["date", "district"], "left")
 
 
 def fill_counts(df: DataFrame, counts: tuple[str, ...] = COUNTS, value: int = 0) -> DataFrame:

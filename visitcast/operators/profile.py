@@ -1,4 +1,8 @@
-"""Descriptive statistics of a table before cleaning."""
+"""Descriptive statistics of a table before cleaning.
+
+Defined results: nulls are counted and left out of all else; a column of nulls has null
+figures and 0 distinct values, a single value a null deviation; null is a value among the frequencies.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,9 @@
-"""Filters and dedup of visits; daily counts and statistics of visits, deaths and emergencies."""
+"""Filters and dedup of visits; daily counts and statistics of visits, deaths and emergencies.
+
+Defined results: a null address fits no city, a null patient is no placeholder; null keys
+are equal in the dedup, whose order has to be total; null ages and genders count as visits only,
+shares leave unknown genders out and are null without any known; groups with null keys stay.
+"""
 
 from __future__ import annotations
 
