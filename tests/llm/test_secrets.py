@@ -93,6 +93,40 @@ def test_markov_equals_brute_force(spark):
     assert got == want and sum(map(len, want.values())) > 60
 
 
+ALPHABETS = {"mixed": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "upper": string.ascii_uppercase + string.digits, "lower": string.ascii_lowercase + string.digits}
+#: Least share found of 400 random tokens of 8, 12, 16 and 24 characters; one that only has lower-case letters looks like a word to pairs of characters.
+RECALL = {"mixed": (0.5, 0.75, 0.85, 0.9), "base64": (0.5, 0.75, 0.85, 0.9), "upper": (0.5, 0.75, 0.85, 0.9), "lower": (0.3, 0.5, 0.6, 0.7)}
+
+
+def test_recall_by_length_and_alphabet(spark):
+    """Models fitted on the tables' texts: recall rises with length, without a jump at the least one, and no ordinary token is taken."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios, r = secrets.fit(docs), random.Random(11)
+    for name, letters in ALPHABETS.items():
+        found = []
+        for n in (8, 12, 16, 24):
+            scores = [_score("".join(r.choices(letters, k=n)), ratios) for _ in range(400)]
+            found.append(sum(x > secrets.MARGIN for x in scores) / 400)
+        assert all(a >= b for a, b in zip(found, RECALL[name], strict=True)), (name, found)
+        assert all(b >= a - 0.05 for a, b in zip(found, found[1:], strict=False)), (name, found)
+    plain = {m for row in docs.select("text").collect() for m in re.findall(r"[A-Za-z]{8,}", row.text or "")}
+    assert len(plain) > 5000 and sum(_score(t, ratios) > secrets.MARGIN for t in plain) <= len(plain) / 1000
+
+
+def test_hidden_secrets_leave_the_ordinary_model(spark, monkeypatch):
+    """Secrets without a keyword in every other document: cleaned of them, the models find more of the short ones."""
+    r = random.Random(12)
+    pick = lambda n: "".join(r.choices(ALPHABETS["mixed"], k=n))
+    plain = lambda: " ".join(r.choice(["Reading", "average", "Station", "patient", "counter42", "History", "features"]) for _ in range(40))
+    docs = documents(spark, [f"token = {pick(24)} {plain()} {pick(24) if i % 2 else ''}" for i in range(300)])
+    held_out, found = [pick(8) for _ in range(200)], []
+    for rounds in (0, 1):
+        monkeypatch.setattr(secrets, "CLEANED", rounds)
+        ratios = secrets.fit(docs)
+        found.append(sum(_score(t, ratios) > secrets.MARGIN for t in held_out) / 200)
+    assert found[1] >= 0.9 > found[0]
+
+
 def test_many_matches_in_one_text(spark):
     """The work on one text grows with its length, not with the square of its matches."""
     r = random.Random(8)

@@ -3,9 +3,9 @@
 Three patterns give the base spans. What they leave of a text is cut into tokens;
 those of TOKEN characters or more are scored under two first-order Markov models:
 of random strings, trained on the values of base spans, and of ordinary
-identifiers, trained on the other tokens of labelled documents. A token whose
-log-likelihood ratio exceeds MARGIN nats is a span of kind `markov`; short tokens
-must be the more unlike identifiers to reach it.
+identifiers, trained on the other tokens of labelled documents, less those that
+earlier fits take for random. A token whose log-likelihood ratio exceeds MARGIN nats is a span
+of kind `markov`; short tokens must be the more unlike identifiers to reach it.
 
 The models are fitted on at most `sample` documents, a documented bound: half of them
 drawn from documents that hold a base span, half from all (those with the smallest
@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from visitcast.llm.common import sampled, spread, table
+from visitcast.llm.common import sampled, spread, table, written
 
 #: The base patterns in order of rank. Letters of the assign keywords match in either case.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,12 +40,15 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters of tokens; the models know these and "other" (0).
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
-TOKEN = 16
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Shorter tokens aren't scored: they are nearly all words of a text, and hold less than eight characters' worth of a secret.
+TOKEN = 8
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{TOKEN},}}"
 MARGIN = 12.0
 #: Weight of the single characters' shares in the pairs' shares, as a count.
 BACKOFF = 10.0
 SAMPLE = 2000
+#: Times that the ordinary tokens are cleaned of what looks random, and the models fitted anew.
+CLEANED = 1
 
 
 SPANS = "array<struct<start:int,rank:int,end:int,what:string>>"
@@ -123,7 +126,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace("_text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))
     tokens = some.select(F.inline(F.concat(F.transform(secret, lambda x: F.struct(F.lit(1).alias("random"), x.alias("token"))), F.transform(ordinary, lambda x: F.struct(F.lit(0).alias("random"), x.alias("token"))))))
-    coded = tokens.select("random", _codes(F.col("token")).alias("c")).filter(F.size("c") > 1)
+    tokens = written(tokens.filter(F.length("token") > 1), "secret-tokens")
+    ratios = _ratios(tokens)
+    for _ in range(CLEANED):
+        # Secrets that no pattern knows stand among the ordinary tokens: what is likelier random under the last models is left out of the next.
+        ratios = _ratios(tokens.filter((F.col("random") == 1) | (_score(F.col("token"), ratios) <= 0)))
+    return ratios
+
+
+def _ratios(tokens: DataFrame) -> list[float]:
+    """The ratios of two models with the pairs of the tokens that are random (1) and ordinary (0)."""
+    coded = tokens.select("random", _codes(F.col("token")).alias("c"))
     pairs = coded.select("random", F.explode(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: a * SIZE + b)).alias("pair"))
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     table_: list[float] = []
@@ -137,23 +150,24 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> list[float]:
     return table_
 
 
+def _score(token: Column, ratios: list[float]) -> Column:
+    """Sum of the ratios of the token's pairs."""
+    codes, table_ = _codes(token), F.from_json(F.lit(json.dumps(ratios)), "array<double>")
+    return F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(token)), lambda a, b: F.coalesce(F.get(table_, a * SIZE + b), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
+
+
 def scan(docs: DataFrame, ratios: list[float] | None = None, margin: float = MARGIN, sample: int = SAMPLE) -> DataFrame:
     """docs with assign, access, hex and markov: arrays of (start, rank, end, what)."""
     ratios = ratios or fit(docs, sample)
     if len(ratios) != SIZE * SIZE:
         raise ValueError(f"{SIZE * SIZE} ratios are needed")
-    table_ = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
     found = base_spans(docs)
     there = _there(F.col("_text"))
     for kind, pattern, ok in (("assign", ASSIGN, _long_value), ("access", ACCESS, None), ("hex", HEX, None)):
         found = found.withColumn("_text", _blanked(F.col("_text"), pattern, there[kind] & (F.size(kind) > 0), ok))
     found = _matched(found, "_text", "markov", CANDIDATE, F.col("_text").rlike(CANDIDATE))
 
-    def score(token: Column) -> Column:
-        codes = _codes(token)
-        return F.aggregate(F.zip_with(codes, F.slice(codes, 2, F.length(token)), lambda a, b: F.coalesce(F.get(table_, a * SIZE + b), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
-
-    return found.withColumn("markov", F.filter("markov", lambda m: score(m["what"]) > margin)).drop("_text")
+    return found.withColumn("markov", F.filter("markov", lambda m: _score(m["what"], ratios) > margin)).drop("_text")
 
 
 def _joined(spans: Column) -> Column:
