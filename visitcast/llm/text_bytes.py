@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +30,23 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
-@lru_cache(maxsize=4)
+#: Powers are kept for texts of up to 2^KEPT bytes; those of longer ones are made for each.
+KEPT = 21
+_kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _BASE and of its inverse modulo 2^64, 2^bits of each."""
+    """Powers of _BASE and of its inverse modulo 2^64, 2^bits of each at least: one table serves all shorter texts."""
+    if _kept and len(_kept[0][0]) >= 1 << bits:
+        return _kept[0]
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
         p = np.ones(1, dtype=_U)
         for k in range(bits):
             p = np.concatenate([p, p * _U(pow(base, 1 << k, 1 << 64))])
         out.append(p)
+    if bits <= KEPT:
+        _kept[:] = [(out[0], out[1])]
     return out[0], out[1]
 
 
