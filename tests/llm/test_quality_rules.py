@@ -42,6 +42,36 @@ def test_small_groups_lean_on_the_language(spark):
     assert {r.source: r.kept for r in q.judge(df).collect()} == {"many": True, "few": False}
 
 
+def test_no_fence_is_a_fixed_share(spark):
+    """Lines return in one document of ten in both sources, far oftener in one; each source's own exceptions set its fence."""
+    def text(i, times):
+        own = [f"w{i} x{i * 7 % 13} y{j} z{j * 3} v{j * 5}" for j in range(60 - times)]
+        return "\n".join(own + own[:1] * times)
+
+    few = documents(spark, [text(i, 5 if i % 10 == 0 else 0) for i in range(200)] + [text(900, 25)], source="few")
+    many = documents(spark, [text(i, 25 if i % 10 == 0 else 0) for i in range(200)] + [text(900, 25)], source="many")
+    df = few.withColumn("lang", F.lit("a")).unionByName(many.withColumn("lang", F.lit("b")))
+    fences = {r.source: r.hi_dup_line for r in q.thresholds(q.features(q.written(q.metrics(df), "quality-test")), pull=0).collect()}
+    assert fences["few"] < 20_000 < fences["many"]
+    got = q.judge(df, pull=0).filter("doc_id = 200").select("source", "f_dup_line", "hi_dup_line").collect()
+    assert {r.source: r.f_dup_line <= r.hi_dup_line for r in got} == {"few": False, "many": True}
+
+
+def test_one_symbol_rejects_nothing(spark):
+    """Where nobody uses symbols the fence is 0, but up to three are within a count's noise; a hundred aren't."""
+    base = " ".join(f"w{i} x{i * 7 % 13}" for i in range(40))
+    df = documents(spark, [base] * 100 + [base + " $", base + " # $ |", base + " # $ | &", base + " $$$$$$$$$$" * 10])
+    assert [r.kept for r in q.judge(df).orderBy("doc_id").collect()[100:]] == [True, True, False, False]
+
+
+def test_group_without_passing_documents(spark):
+    """No document of the source passes the base rules: it has no fences and its documents go, none is lost."""
+    base = " ".join(f"w{i} x{i * 7 % 13}" for i in range(40))
+    df = documents(spark, [base] * 20, source="good").unionByName(documents(spark, ["too short"] * 3, source="bad"))
+    got = q.judge(df).groupBy("source", "base_failed", "kept").count().collect()
+    assert sorted(map(tuple, got)) == [("bad", True, False, 3), ("good", False, True, 20)]
+
+
 def test_bins_have_no_top(spark):
     """A bin's lower edge is within 1 / 2^(DIGITS - 1) of its values, however large they are."""
     values = [0, 1, 127, 128, 129, 5000, 14_400, 28_800, 10**9 + 7, 10**15]
