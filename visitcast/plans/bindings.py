@@ -12,6 +12,8 @@ CITY = "ASIA"
 AIR = ["click", "view", "purchase"]
 WEATHER = ["error", "signup"]
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+#: Visits have this in place of LINE: a visit's columns follow from the keys of its line, so rows that the rest of LINE would order are equal.
+KEYS = LINE[:3]
 POLYGONS = {
     "A": [(0, 0), (5, 0), (5, 5), (0, 5)],
     "B": [(5, 0), (9, 0), (9, 8), (7, 8), (7, 5), (5, 5)],
@@ -35,15 +37,24 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(_regions(spark, sf_dir, "district"), F.col("c_nationkey") == F.col("district_nation")).select("c_custkey", "district")
 
 
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(_regions(spark, sf_dir, "registered"), F.col("s_nationkey") == F.col("registered_nation")).select("s_suppkey", F.col("registered").alias("registered_address"))
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line that has an order, part, customer and supplier, with the line's KEYS alone.
+
+    Both addresses are there before the parts are met, so that a filter on them runs before that join.
+    """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("visit_date"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gy_bm"), F.col("p_type").alias("disease"))
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(_regions(spark, sf_dir, "registered"), F.col("s_nationkey") == F.col("registered_nation")).select("s_suppkey", F.col("registered").alias("registered_address"))
-    joined = table(spark, sf_dir, "lineitem").select(*LINE).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    people = orders.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf_dir, "lineitem").select(*KEYS).join(_registered(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = lines.join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"),
         "visit_date", "gy_bm", "disease", "district", F.col("district").alias("current_address"), "registered_address",
-        _gender("o_custkey").alias("gender"), (F.col("o_custkey") % 90 + 1).cast("int").alias("age"), *LINE,
+        _gender("o_custkey").alias("gender"), (F.col("o_custkey") % 90 + 1).cast("int").alias("age"), *KEYS,
     )
 
 
