@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL
+from conftest import SMALL, rows
+from pyspark.sql import functions as F
 
+from visitcast.operators import cleaning
 from visitcast.plans import bindings as b
 from visitcast.plans import queries as jobs
 
@@ -13,6 +15,11 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _lines(df) -> int:
+    """How often the plan reads the lines."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey")
+
+
 @pytest.mark.parametrize("name", ["visit_dedup", "visit_features", "history_dense", "history_sparse", "merge_features", "patient_sentences"])
 def test_visits_move_keys(spark, name):
     """No column of the lines but their keys is read."""
@@ -25,3 +32,23 @@ def test_lines_equal_in_their_keys_are_equal_visits(spark):
     v = b.visits(spark, SMALL)
     assert set(v.columns) & set(b.LINE) == set(b.KEYS)
     assert v.distinct().groupBy(*b.KEYS).count().filter("count > 1").count() == 0
+
+
+def test_raw_visits_joined_once(spark, monkeypatch):
+    """Codes, blocks and districts come from the dimensions, so that one reading of the lines makes the cleaned visits."""
+    made = {}
+    monkeypatch.setattr(jobs, "once", lambda spark, key, make: made.setdefault(key, make()))
+    jobs.QUERIES["clean_visits"](spark, SMALL)
+    (tables,) = made.values()
+    assert _lines(tables["clean-visits"]) == 1 and not [c for c in b.LINE if c in tables["clean-visits"].columns]
+
+
+def test_texts_given_or_gathered(spark):
+    """Tables of all texts and addresses give what is gathered from the visits gives."""
+    raw = b.raw_visits(spark, SMALL).filter(F.col("l_orderkey") % 5 == 0).localCheckpoint()
+    where = b.points(spark, SMALL).join(b.addresses(spark, SMALL), "c_custkey").select("address", "lon", "lat")
+    names = b.table(spark, SMALL, "region").select(F.col("r_name").alias("district"))
+    args = (raw, b.icd(spark, SMALL), b.blocks(spark), where, b.polygons(spark), names, b.KEYS, b.CITY)
+    texts, places = b.dirty(spark, SMALL).select(F.col("raw").alias("disease_raw")), b.addresses(spark, SMALL).select(F.col("address").alias("current_address"))
+    got = rows(cleaning.clean_visits(*args, texts=texts, places=places))
+    assert got and got == rows(cleaning.clean_visits(*args))

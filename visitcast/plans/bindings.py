@@ -120,12 +120,12 @@ def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The visits before cleaning: texts of age, gender, date, disease and addresses."""
-    part = dirty(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gy_bm")), "p_partkey").withColumnRenamed("raw", "disease_raw")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(_regions(spark, sf_dir, "registered"), F.col("s_nationkey") == F.col("registered_nation")).select("s_suppkey", F.col("registered").alias("registered_address"))
-    people = addresses(spark, sf_dir).withColumnRenamed("address", "current_address")
-    joined = table(spark, sf_dir, "lineitem").select(*LINE).join(raw_texts(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey")).join(people, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    return joined.select(F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"), "gy_bm", *RAW_TEXTS, "disease_raw", "current_address", "registered_address", *LINE)
+    """The visits before cleaning: texts of age, gender, date, disease and addresses; KEYS of the lines, as in visits()."""
+    part = dirty(spark, sf_dir, "p_brand").select("p_partkey", F.col("p_brand").alias("gy_bm"), F.col("raw").alias("disease_raw"))
+    people = raw_texts(spark, sf_dir).join(addresses(spark, sf_dir).withColumnRenamed("address", "current_address"), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf_dir, "lineitem").select(*KEYS).join(_registered(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = lines.join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return joined.select(F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"), "gy_bm", *RAW_TEXTS, "disease_raw", "current_address", "registered_address", *KEYS)
 
 
 def icd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,11 +136,11 @@ def icd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select(F.concat(F.lit("D"), F.lpad(F.row_number().over(Window.orderBy("name")).cast("string"), 3, "0")).alias("code"), "name")
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """p_partkey, raw: part names less the character that the key points at; every seventh key keeps its name."""
+def dirty(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """p_partkey, raw and columns of the parts: part names less the character that the key points at; every seventh key keeps its name."""
     at = (F.col("p_partkey") % F.length("p_name")).cast("int")
     cut = F.concat(F.substring(F.col("p_name"), F.lit(1), at), F.substring(F.col("p_name"), at + 2, F.length("p_name")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise(cut).alias("raw"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.col("p_name")).otherwise(cut).alias("raw"), *more)
 
 
 def blocks(spark: SparkSession) -> DataFrame:
