@@ -64,3 +64,8 @@ def test_dealt_by_patient_once(spark):
     """Codes, states and days of a patient meet where they were dealt to: no vector is shuffled for them."""
     moved = [x for x in _plan(jobs.QUERIES["patients_as_of"](spark, SMALL)).splitlines() if "Exchange hashpartitioning(patient_id" in x]
     assert len(moved) == 2 and all("REPARTITION_BY_COL" in x for x in moved)
+
+
+def test_forest_reads_stored_visits(spark):
+    """The wide table with vectors takes its counts, too, from the visits as they were written once."""
+    assert _lines(jobs._wide(spark, SMALL, jobs._word_vectors(spark, SMALL), filled=True)) == 0
