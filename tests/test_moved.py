@@ -69,3 +69,29 @@ def test_dealt_by_patient_once(spark):
 def test_forest_reads_stored_visits(spark):
     """The wide table with vectors takes its counts, too, from the visits as they were written once."""
     assert _lines(jobs._wide(spark, SMALL, jobs._word_vectors(spark, SMALL), filled=True)) == 0
+
+
+@pytest.mark.parametrize("name", ["curve", "r2_by_series", "wide_table", "weekday_target"])
+def test_more_visits_move_keys(spark, name):
+    """As test_visits_move_keys, for the queries on the history."""
+    plan = _plan(jobs.QUERIES[name](spark, SMALL))
+    assert "l_partkey" in plan and not [c for c in b.LINE[3:] if c in plan]
+
+
+@pytest.mark.parametrize("name", ["curve", "patient_sentences", "r2_by_series", "merge_features", "visit_features", "history_sparse", "wide_table"])
+def test_lines_not_dealt_by_supplier(spark, monkeypatch, name):
+    """Where tables are too large to be broadcast of themselves, the lines meet few suppliers where they are read; many are shuffled."""
+    monkeypatch.setattr(b, "SENT", b.SENT)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "hashpartitioning(l_suppkey" not in _plan(jobs.QUERIES[name](spark, SMALL))
+        b.SENT = 0
+        assert "hashpartitioning(l_suppkey" in _plan(jobs.QUERIES[name](spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_visits_with_few_or_many_suppliers(spark, monkeypatch):
+    few = rows(b.visits(spark, SMALL).filter("l_orderkey % 7 = 0"))
+    monkeypatch.setattr(b, "SENT", 0)
+    assert few and few == rows(b.visits(spark, SMALL).filter("l_orderkey % 7 = 0"))

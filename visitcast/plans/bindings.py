@@ -14,6 +14,8 @@ WEATHER = ["error", "signup"]
 LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 #: Visits have this in place of LINE: a visit's columns follow from the keys of its line, so rows that the rest of LINE would order are equal.
 KEYS = LINE[:3]
+#: Up to so many suppliers are broadcast; more are shuffled.
+SENT = 500_000
 POLYGONS = {
     "A": [(0, 0), (5, 0), (5, 5), (0, 5)],
     "B": [(5, 0), (9, 0), (9, 8), (7, 8), (7, 5), (5, 5)],
@@ -41,6 +43,17 @@ def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(_regions(spark, sf_dir, "registered"), F.col("s_nationkey") == F.col("registered_nation")).select("s_suppkey", F.col("registered").alias("registered_address"))
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KEYS of the lines and the region of their supplier.
+
+    Suppliers are counted first: while they are few, the lines needn't be shuffled for them and go to their orders as they are
+    stored, by order, which packs better than an order by supplier.
+    """
+    known = _registered(spark, sf_dir)
+    few = table(spark, sf_dir, "supplier").count() <= SENT
+    return table(spark, sf_dir, "lineitem").select(*KEYS).join(F.broadcast(known) if few else known, F.col("l_suppkey") == F.col("s_suppkey"))
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each line that has an order, part, customer and supplier, with the line's KEYS alone.
 
@@ -49,8 +62,7 @@ def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("visit_date"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gy_bm"), F.col("p_type").alias("disease"))
     people = orders.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    lines = table(spark, sf_dir, "lineitem").select(*KEYS).join(_registered(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-    joined = lines.join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    joined = _lines(spark, sf_dir).join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"),
         "visit_date", "gy_bm", "disease", "district", F.col("district").alias("current_address"), "registered_address",
@@ -123,8 +135,7 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visits before cleaning: texts of age, gender, date, disease and addresses; KEYS of the lines, as in visits()."""
     part = dirty(spark, sf_dir, "p_brand").select("p_partkey", F.col("p_brand").alias("gy_bm"), F.col("raw").alias("disease_raw"))
     people = raw_texts(spark, sf_dir).join(addresses(spark, sf_dir).withColumnRenamed("address", "current_address"), F.col("o_custkey") == F.col("c_custkey"))
-    lines = table(spark, sf_dir, "lineitem").select(*KEYS).join(_registered(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey"))
-    joined = lines.join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    joined = _lines(spark, sf_dir).join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"), "gy_bm", *RAW_TEXTS, "disease_raw", "current_address", "registered_address", *KEYS)
 
 
