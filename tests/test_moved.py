@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import SMALL, rows
 from pyspark.sql import functions as F
@@ -95,3 +97,30 @@ def test_visits_with_few_or_many_suppliers(spark, monkeypatch):
     few = rows(b.visits(spark, SMALL).filter("l_orderkey % 7 = 0"))
     monkeypatch.setattr(b, "SENT", 0)
     assert few and few == rows(b.visits(spark, SMALL).filter("l_orderkey % 7 = 0"))
+
+
+def _shuffled(df, by: str) -> list[set[str]]:
+    """The columns of each shuffle by a column."""
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    found = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\(" + by + r"#\d+L?, ", df._jdf.queryExecution().explainString(mode))
+    return [{c.split("#")[0].strip() for c in cols.split(",")} for cols in found]
+
+
+@pytest.mark.parametrize("name", ["patient_sentences", "r2_by_series", "merge_features", "visit_features", "history_sparse", "wide_table"])
+def test_shuffles_carry_what_cannot_be_had_later(spark, name):
+    """Lines go to their orders with their keys alone; visits go to their patients without gender and age."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = jobs.QUERIES[name](spark, SMALL)
+        assert set(b.KEYS) in _shuffled(df, "l_orderkey")
+        dealt = _shuffled(df, "patient_id")
+        assert dealt and all({"patient_id", *b.KEYS} <= d and not {"gender", "age", "registered_address"} & d for d in dealt)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_described_as_joined(spark):
+    """Gender and age found from the patient are those of the customer's key."""
+    v = b.visits(spark, SMALL).join(b.table(spark, SMALL, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    unlike = ~F.col("gender").eqNullSafe(b._gender("o_custkey")) | ~F.col("age").eqNullSafe((F.col("o_custkey") % 90 + 1).cast("int"))
+    assert v.count() and not v.filter(unlike).count()

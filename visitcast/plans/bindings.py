@@ -43,33 +43,43 @@ def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(_regions(spark, sf_dir, "registered"), F.col("s_nationkey") == F.col("registered_nation")).select("s_suppkey", F.col("registered").alias("registered_address"))
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KEYS of the lines and the region of their supplier.
+def _met(spark: SparkSession, sf_dir: str, people: DataFrame) -> DataFrame:
+    """KEYS of the lines with `people` by order and the region of the line's supplier.
 
-    Suppliers are counted first: while they are few, the lines needn't be shuffled for them and go to their orders as they are
-    stored, by order, which packs better than an order by supplier.
+    Suppliers are counted first: while they are few, they are broadcast to the lines that have met their orders, so that the
+    lines aren't shuffled for them and are shuffled for the orders, as they are stored, with nothing but their keys.
     """
-    known = _registered(spark, sf_dir)
-    few = table(spark, sf_dir, "supplier").count() <= SENT
-    return table(spark, sf_dir, "lineitem").select(*KEYS).join(F.broadcast(known) if few else known, F.col("l_suppkey") == F.col("s_suppkey"))
+    known, lines = _registered(spark, sf_dir), table(spark, sf_dir, "lineitem").select(*KEYS)
+    placed, ordered = F.col("l_suppkey") == F.col("s_suppkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    if table(spark, sf_dir, "supplier").count() <= SENT:
+        return lines.join(people, ordered).join(F.broadcast(known), placed)
+    return lines.join(known, placed).join(people, ordered)
 
 
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each line that has an order, part, customer and supplier, with the line's KEYS alone.
+def bare_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each line that has an order, part, customer and supplier, with the line's KEYS alone; described() adds the rest.
 
     Both addresses are there before the parts are met, so that a filter on them runs before that join.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("visit_date"))
     part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("gy_bm"), F.col("p_type").alias("disease"))
     people = orders.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    joined = _lines(spark, sf_dir).join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    joined = _met(spark, sf_dir, people).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
         F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"),
-        "visit_date", "gy_bm", "disease", "district", F.col("district").alias("current_address"), "registered_address",
-        _gender("o_custkey").alias("gender"), (F.col("o_custkey") % 90 + 1).cast("int").alias("age"), *KEYS,
+        "visit_date", "gy_bm", "disease", "district", F.col("district").alias("current_address"), "registered_address", *KEYS,
     )
 
 
+def described(df: DataFrame) -> DataFrame:
+    """df with gender and age, which follow from the patient: visits that are shuffled needn't carry them."""
+    return df.withColumn("_key", F.col("patient_id").cast("long")).withColumns({"gender": _gender("_key"), "age": (F.col("_key") % 90 + 1).cast("int")}).drop("_key")
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(bare_visits(spark, sf_dir))
+
+
 def emergency(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     return urgent.join(_customers(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")).select(F.to_date("o_orderdate").alias("visit_date"), "district", F.col("o_custkey").cast("string").alias("patient_id"))
@@ -135,7 +145,7 @@ def raw_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visits before cleaning: texts of age, gender, date, disease and addresses; KEYS of the lines, as in visits()."""
     part = dirty(spark, sf_dir, "p_brand").select("p_partkey", F.col("p_brand").alias("gy_bm"), F.col("raw").alias("disease_raw"))
     people = raw_texts(spark, sf_dir).join(addresses(spark, sf_dir).withColumnRenamed("address", "current_address"), F.col("o_custkey") == F.col("c_custkey"))
-    joined = _lines(spark, sf_dir).join(people, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    joined = _met(spark, sf_dir, people).join(part, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(F.when(F.col("o_custkey") == 1, "01").otherwise(F.col("o_custkey").cast("string")).alias("patient_id"), "gy_bm", *RAW_TEXTS, "disease_raw", "current_address", "registered_address", *KEYS)
 
 
